@@ -1,0 +1,5 @@
+"""Nothing here: the work covered by this package is batch only.
+
+Interval files are re-read whole, the hourly resample is a batch tumbling
+window, and no operator keeps state between runs.
+"""
