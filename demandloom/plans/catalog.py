@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from demandloom.plans import metric_queries  # noqa: F401
+from demandloom.plans import design_queries, metric_queries, schedule_queries  # noqa: F401
 from demandloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

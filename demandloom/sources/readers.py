@@ -34,21 +34,22 @@ def read_meter(
     return raw.withColumn("ts", interval_start(start, F.col("step_no"), step_minutes))
 
 
-def read_runs(spark: SparkSession, root: str, suffix: str = "csv") -> DataFrame:
-    """All wide per-run files below ``root``; the run id is the file stem.
+def read_runs(spark: SparkSession, root: str, layout: str = "partitions") -> DataFrame:
+    """Wide series of all runs below ``root``.
 
-    The time index is the unnamed first column of each file.
+    ``partitions``: folders ``run_id=<run>``, as :func:`write_wide` leaves them;
+    a filter on the run then skips folders. ``files``: one ``<run>.csv`` each.
     """
-    schema = f"index timestamp_ntz, `{OAT_HEADER}` double, `{ELEC_HEADER}` double"
-    stem = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.{suffix}$", 1)
-    return (
-        spark.read.option("header", True).option("pathGlobFilter", f"*.{suffix}").schema(schema).csv(root)
-        .select(
-            F.url_decode(stem).alias("run_id"),
-            F.col("index").alias("ts"),
-            F.col(f"`{OAT_HEADER}`").alias("oat_c"),
-            F.col(f"`{ELEC_HEADER}`").alias("elec_j"),
-        )
+    values = f"ts timestamp_ntz, `{OAT_HEADER}` double, `{ELEC_HEADER}` double"
+    reader = spark.read.option("header", True)
+    if layout == "partitions":
+        runs = reader.schema(values + ", run_id string").csv(root)
+    else:
+        stem = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
+        runs = reader.option("pathGlobFilter", "*.csv").schema(values).csv(root).withColumn("run_id", stem)
+    return runs.select(
+        "run_id", "ts",
+        F.col(f"`{OAT_HEADER}`").alias("oat_c"), F.col(f"`{ELEC_HEADER}`").alias("elec_j"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.sources.readers import ELEC_HEADER, OAT_HEADER
+
 
 def write_wide(
     wide: DataFrame,
@@ -37,6 +39,13 @@ def write_wide(
         writer.format(fmt).save(path)
 
 
+def with_published_headers(wide: DataFrame) -> DataFrame:
+    """Wide series with the column titles of the interval files."""
+    return wide.select(
+        "run_id", "ts", F.col("oat_c").alias(OAT_HEADER), F.col("elec_j").alias(ELEC_HEADER)
+    )
+
+
 def write_params_json(params: DataFrame, path: str) -> None:
     """Flat records, one JSON object per line."""
     params.write.mode("overwrite").json(path)
