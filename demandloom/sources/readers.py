@@ -115,7 +115,7 @@ def read_workflow_results(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_keys(requests: DataFrame) -> DataFrame:
     """One row per key of a comma list; no key means all objects."""
-    keys = F.transform(F.split("key", ","), F.trim)
+    keys = F.transform(F.split("key", ","), lambda k: F.trim(k))
     return requests.withColumn("key", F.explode_outer(keys))
 
 
