@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from demandloom.functions.units import convert
 
 TOLERANCE = 1e-4
-CELL = 0.01
+CELL = 0.02
+# Uneven weights keep points of a regular grid apart.
+AXIS_WEIGHTS = {"x": 1.0, "y": 2.7, "z": 7.3}
 
 
 # --- vertices --------------------------------------------------------------
@@ -184,35 +186,34 @@ def edge_length(p: str = "p", q: str = "q") -> Column:
     return F.sqrt(squares[0] + squares[1] + squares[2])
 
 
-def _cell(value: Column) -> Column:
-    return F.floor(value / CELL)
+def _position(point: str) -> Column:
+    """A point as one number, on which points within the tolerance differ little."""
+    return sum((F.col(f"{point}.{axis}") * w for axis, w in AXIS_WEIGHTS.items()), F.lit(0.0))
 
 
-def _cells_near(value: Column) -> Column:
-    return F.array_distinct(F.array(_cell(value - TOLERANCE), _cell(value + TOLERANCE)))
+def _cell(position: Column) -> Column:
+    return F.floor(position / CELL)
 
 
 def match_edges(floor_edges: DataFrame, wall_edges: DataFrame, space: Sequence[str]) -> DataFrame:
     """Floor edges that some wall has in the opposite direction, within the tolerance.
 
-    Space is cut into cells by the start of the floor edge. A floor edge lies in
-    one cell; a wall edge is entered in each cell its end may match into, mostly
-    one and at most eight. So only edges that nearly coincide meet, however many
-    a space has, and each pair meets once.
+    The start of a floor edge gives one number and the line of such numbers is
+    cut into cells. A floor edge lies in one cell; a wall edge is entered in the
+    one or two cells its end may match into. So only edges that nearly coincide
+    meet, however many a space has, and each pair meets once.
     """
     floors = floor_edges.select(
-        *space, F.col("p").alias("fp"), F.col("q").alias("fq"), _cell(F.col("p.x")).alias("_cx"),
-        _cell(F.col("p.y")).alias("_cy"), _cell(F.col("p.z")).alias("_cz"),
+        *space, F.col("p").alias("fp"), F.col("q").alias("fq"), _cell(_position("p")).alias("_cell")
     )
-    walls = wall_edges
-    for axis in ("x", "y", "z"):
-        walls = walls.withColumn(f"_c{axis}", F.explode(_cells_near(F.col(f"q.{axis}"))))
-    met = floors.join(walls, [*space, "_cx", "_cy", "_cz"])
+    reach = TOLERANCE * sum(AXIS_WEIGHTS.values())
+    near = F.array_distinct(F.array(_cell(_position("q") - reach), _cell(_position("q") + reach)))
+    met = floors.join(wall_edges.withColumn("_cell", F.explode(near)), [*space, "_cell"])
     close = F.lit(True)
-    for axis in ("x", "y", "z"):
+    for axis in AXIS_WEIGHTS:
         close = close & (F.abs(F.col(f"fp.{axis}") - F.col(f"q.{axis}")) <= TOLERANCE)
         close = close & (F.abs(F.col(f"fq.{axis}") - F.col(f"p.{axis}")) <= TOLERANCE)
-    return met.where(close).drop("_cx", "_cy", "_cz")
+    return met.where(close).drop("_cell")
 
 
 def perimeter(surfaces: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:

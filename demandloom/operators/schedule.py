@@ -18,7 +18,7 @@ from demandloom.functions.units import celsius_to_fahrenheit
 
 YEAR_KINDS = ("default", "rule")
 DESIGN_KIND = {"cooling": "summer", "heating": "winter"}
-AFTER_ALL_RULES = 2**31 - 1
+AFTER_ALL_RULES = 2**63 - 1
 
 
 # --- shape ---------------------------------------------------------------
@@ -39,7 +39,12 @@ def to_profiles(
 
 
 def to_points(profiles: DataFrame, keys: Sequence[str] = ("profile_id",)) -> DataFrame:
-    return profiles.select(*keys, F.inline("points"))
+    """One row per breakpoint.
+
+    The outer form is used because for the inner one Spark infers a size filter,
+    pushes it below the edits of ``points`` and so works them out several times.
+    """
+    return profiles.select(*keys, F.inline_outer("points")).where(F.col("until_min").isNotNull())
 
 
 def year_profiles(
@@ -286,8 +291,10 @@ def daily_profiles(
 ) -> DataFrame:
     """Profile in force on each date: the first rule that applies, else the default.
 
-    Rules unfold to the dates they cover and meet the default days in one
-    aggregation, which is combined before the shuffle. A range whose start is
+    ``rule_order`` is unique within a schedule. Rules unfold to the dates they
+    cover and meet the default days in one aggregation. It keeps one number per
+    schedule and date, so it runs as a hash aggregation and is combined before
+    the shuffle; the profile is looked up afterwards. A range whose start is
     after its end runs over the turn of the year.
     """
     y = F.lit(year)
@@ -296,19 +303,19 @@ def daily_profiles(
     covered = F.when(start <= end, F.sequence(start, F.greatest(start, end))).otherwise(
         F.concat(F.sequence(new_year, F.least(start, end)), F.sequence(F.greatest(start, end), year_end))
     )
-    ruled = rules.select(
-        *keys, "rule_order", "profile_id", "dow", F.explode(covered).alias("date")
-    ).where(F.get("dow", F.dayofweek("date") - 1))
+    order = F.col("rule_order").cast("long").alias("rule_order")
+    ruled = (
+        rules.select(*keys, order, "dow", F.explode(covered).alias("date"))
+        .where(F.get("dow", F.dayofweek("date") - 1)).drop("dow")
+    )
     default_days = defaults.select(
-        *keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), "profile_id",
-        F.explode(_year_days(y)).alias("date"),
+        *keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), F.explode(_year_days(y)).alias("date")
     )
-    return (
-        ruled.drop("dow").unionByName(default_days)
-        .groupBy(*keys, "date")
-        .agg(F.min(F.struct("rule_order", "profile_id")).alias("first"))
-        .select(*keys, "date", F.col("first.profile_id").alias("profile_id"))
+    first = ruled.unionByName(default_days).groupBy(*keys, "date").agg(F.min("rule_order").alias("rule_order"))
+    named = rules.select(*keys, order, "profile_id").unionByName(
+        defaults.select(*keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), "profile_id")
     )
+    return first.join(named, [*keys, "rule_order"]).select(*keys, "date", "profile_id")
 
 
 def half_hour_values(
@@ -321,7 +328,7 @@ def half_hour_values(
     samples = P.sample(F.col("points"), 30, include_midnight=not compat)
     sampled = profiles.select(*keys, "profile_id", samples.alias("samples"))
     return days.join(sampled, [*keys, "profile_id"]).select(
-        *keys, "date", F.posexplode("samples").alias("half_hour", "value")
+        *keys, "date", F.posexplode_outer("samples").alias("half_hour", "value")
     )
 
 

@@ -235,13 +235,13 @@ def distinct_day_shapes(spark, sf_dir):
 YEAR = 2017
 
 RULES_SQL = f"""
-item AS (SELECT l_suppkey AS schedule_id, l_orderkey * 10 + l_linenumber AS rule_order, l_returnflag AS profile_id,
+item AS (SELECT l_suppkey AS schedule_id, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS rule_order, l_returnflag AS profile_id,
   l_linenumber AS line, make_date({YEAR}, month(l_shipdate), least(day(l_shipdate), 28)) AS start_date,
   CAST(l_quantity AS INTEGER) AS days FROM lineitem),
 rules AS (SELECT *, CASE WHEN start_date + days > DATE '{YEAR}-12-31' THEN start_date + days - 365
   ELSE start_date + days END AS end_date FROM item),
 cal AS (SELECT CAST(unnest(generate_series(DATE '{YEAR}-01-01', DATE '{YEAR}-12-31', INTERVAL 1 DAY)) AS DATE) AS date),
-hit AS (SELECT r.schedule_id, c.date, arg_min(profile_id, rule_order * 1000 + ascii(profile_id)) AS profile_id
+hit AS (SELECT r.schedule_id, c.date, arg_min(profile_id, rule_order) AS profile_id
   FROM rules r JOIN cal c ON CASE WHEN start_date <= end_date THEN c.date BETWEEN start_date AND end_date
     ELSE c.date >= start_date OR c.date <= end_date END
   WHERE (dayofweek(c.date) + line) % 2 = 0 GROUP BY 1, 2),
@@ -260,7 +260,10 @@ def ruleset(spark, sf_dir):
     wrapped = F.when(F.year(end) > YEAR, F.date_sub(end, 365)).otherwise(end)
     rules = items.select(
         F.col("l_suppkey").alias("schedule_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rule_order"),
+        (
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000000
+            + F.round(F.col("l_extendedprice") * 100).cast("long")
+        ).alias("rule_order"),
         F.col("l_returnflag").alias("profile_id"),
         start.alias("start_date"),
         wrapped.alias("end_date"),
