@@ -173,9 +173,8 @@ def area_by_orientation(
 def edges(surfaces: DataFrame) -> DataFrame:
     """Directed edges of each surface, the last one back to the first vertex."""
     ring = F.col("vertices")
-    pairs = F.transform(
-        ring, lambda v, i: F.struct(v.alias("p"), F.get(ring, (i + 1) % F.size(ring)).alias("q"))
-    )
+    rotated = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    pairs = F.arrays_zip(ring.alias("p"), rotated.alias("q"))
     return surfaces.withColumn("_edge", F.explode(pairs)).select(
         *(c for c in surfaces.columns if c != "vertices"), "_edge.p", "_edge.q"
     )
@@ -201,14 +200,15 @@ def match_edges(floor_edges: DataFrame, wall_edges: DataFrame, space: Sequence[s
     The start of a floor edge gives one number and the line of such numbers is
     cut into cells. A floor edge lies in one cell; a wall edge is entered in the
     one or two cells its end may match into. So only edges that nearly coincide
-    meet, however many a space has, and each pair meets once.
+    meet, however many a space has, and each pair meets once. Edges are unfolded
+    rows of unknown number, so neither side is offered for broadcast.
     """
     floors = floor_edges.select(
         *space, F.col("p").alias("fp"), F.col("q").alias("fq"), _cell(_position("p")).alias("_cell")
     )
     reach = TOLERANCE * sum(AXIS_WEIGHTS.values())
     near = F.array_distinct(F.array(_cell(_position("q") - reach), _cell(_position("q") + reach)))
-    met = floors.join(wall_edges.withColumn("_cell", F.explode(near)), [*space, "_cell"])
+    met = floors.join(wall_edges.withColumn("_cell", F.explode(near)).hint("merge"), [*space, "_cell"])
     close = F.lit(True)
     for axis in AXIS_WEIGHTS:
         close = close & (F.abs(F.col(f"fp.{axis}") - F.col(f"q.{axis}")) <= TOLERANCE)

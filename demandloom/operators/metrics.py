@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.calendar import day_key
 from demandloom.functions.units import celsius_to_fahrenheit, joules_to_kw
+from demandloom.operators.pairing import spark_may_broadcast
 
 
 def to_meter(raw: DataFrame, keys: Sequence[str] = ("run_id", "ts"), interval_s: int = 900) -> DataFrame:
@@ -31,27 +32,26 @@ def pair_with_baseline(
 ) -> DataFrame:
     """Put each scenario next to its baseline, keeping every baseline interval.
 
-    ``link`` has one row per scenario: ``run_id, baseline_id, floor_area``. One
-    baseline may serve very many scenarios, so its copies are not produced by
-    one task: intervals fall into ``spread`` groups by time and ``link``, by far
-    the smaller table, is repeated per group. Spark broadcasts ``link`` on its
-    own when it knows it to be small. The second join is on (run, time), which
-    no single run or baseline can dominate.
+    ``link`` has one row per scenario: ``run_id, baseline_id, floor_area``. When
+    Spark finds it small enough to broadcast, the copies of a baseline come from
+    the tasks that read it. Otherwise one baseline may serve very many scenarios,
+    and its copies must not come from one task: intervals fall into ``spread``
+    groups by time and ``link`` is repeated per group. The second join is on
+    (run, time), which no single run or baseline can dominate.
     """
     base = baseline.select(
-        F.col("run_id").alias("baseline_id"),
-        "ts",
-        "oat_f",
-        F.col("bldg_kw").alias("base_kw"),
-        F.pmod(F.xxhash64("ts"), F.lit(spread)).cast("int").alias("_spread"),
+        F.col("run_id").alias("baseline_id"), "ts", "oat_f", F.col("bldg_kw").alias("base_kw")
     )
-    links = link.select(
-        "run_id",
-        "baseline_id",
-        "floor_area",
-        F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_spread"),
-    )
-    copies = base.join(links, ["baseline_id", "_spread"]).drop("_spread")
+    links = link.select("run_id", "baseline_id", "floor_area")
+    if spark_may_broadcast(links):
+        copies = base.join(links, "baseline_id")
+    else:
+        group = F.pmod(F.xxhash64("ts"), F.lit(spread)).cast("int")
+        repeated = links.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        copies = (
+            base.withColumn("_spread", group)
+            .join(repeated.hint("merge"), ["baseline_id", "_spread"]).drop("_spread")
+        )
     loads = scenario.select("run_id", "ts", F.col("bldg_kw").alias("scenario_kw"))
     return copies.join(loads, ["run_id", "ts"], "left")
 
@@ -95,7 +95,8 @@ def resample_mean(
             ).alias(ts),
         )
     )
-    return span.join(binned, [*keys, ts], "left")
+    # Sizes are not known for unfolded rows, so neither side is offered for broadcast.
+    return span.join(binned.hint("merge"), [*keys, ts], "left")
 
 
 def peak_shed(df: DataFrame, keys: Sequence[str] = ("run_id",), value: str = "shed_w_ft2") -> DataFrame:

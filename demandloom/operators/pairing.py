@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spark_may_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate puts a table under its broadcast limit.
+
+    Asked before a table is unfolded: afterwards the estimate no longer covers
+    the rows that unfolding adds.
+    """
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 <= estimate <= limit_bytes
+
+
 def _block(df: DataFrame, blocks: int):
     return F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
 
 
-def pair_all(left: DataFrame, right: DataFrame, left_blocks: int = 4, right_blocks: int = 4) -> DataFrame:
+def pair_all(left: DataFrame, right: DataFrame, left_blocks: int = 16, right_blocks: int = 4) -> DataFrame:
     """Every row of ``left`` with every row of ``right``.
 
     The work is cut into ``left_blocks x right_blocks`` tiles. A left row goes

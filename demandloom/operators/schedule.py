@@ -315,7 +315,8 @@ def daily_profiles(
     named = rules.select(*keys, order, "profile_id").unionByName(
         defaults.select(*keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), "profile_id")
     )
-    return first.join(named, [*keys, "rule_order"]).select(*keys, "date", "profile_id")
+    # ``first`` has a row per date, which Spark's estimate does not count: no broadcast.
+    return first.join(named.hint("merge"), [*keys, "rule_order"]).select(*keys, "date", "profile_id")
 
 
 def half_hour_values(
@@ -327,7 +328,7 @@ def half_hour_values(
     """
     samples = P.sample(F.col("points"), 30, include_midnight=not compat)
     sampled = profiles.select(*keys, "profile_id", samples.alias("samples"))
-    return days.join(sampled, [*keys, "profile_id"]).select(
+    return days.join(sampled.hint("merge"), [*keys, "profile_id"]).select(
         *keys, "date", F.posexplode_outer("samples").alias("half_hour", "value")
     )
 
