@@ -12,10 +12,9 @@ def spark_may_broadcast(df: DataFrame) -> bool:
     Asked before a table is unfolded: afterwards the estimate no longer covers
     the rows that unfolding adds.
     """
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 0 <= estimate <= limit_bytes
+    plan = df._jdf.queryExecution()
+    estimate = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    return estimate <= plan.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def _block(df: DataFrame, blocks: int):
