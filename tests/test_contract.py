@@ -3,6 +3,7 @@
 import os
 import re
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
@@ -46,12 +47,16 @@ def test_sources_keep_to_the_dataframe_api():
         assert not re.search(re.escape(banned) + r"\b", text), banned
 
 
+def session_like(master, **settings):
+    conf = SimpleNamespace(get=lambda key, default=None: settings.get(key.replace(".", "_"), default))
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
 def test_scratch_dir_follows_the_session(spark, tmp_path):
     from demandloom import scratch_dir
 
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert scratch_dir(spark, "x").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    shared = session_like("spark://host", spark_checkpoint_dir=str(tmp_path))
+    assert scratch_dir(shared, "x").startswith(str(tmp_path))
+    with pytest.raises(ValueError):
+        scratch_dir(session_like("spark://host"), "x")
