@@ -15,16 +15,25 @@ def weekday(ts: Column) -> Column:
     return F.dayofweek(ts) - F.lit(1)
 
 
+def two_digits(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
+
+
+def minute_stamp(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm`` of a zone-less timestamp, whatever the session zone is."""
+    return F.substring(ts.cast("string"), 1, 16)
+
+
 def with_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
     c = F.col(ts)
     return df.withColumns(
         {
-            "year": F.date_format(c, "yyyy"),
-            "time": F.date_format(c, "HH:mm"),
+            "year": F.year(c).cast("string"),
+            "time": F.concat_ws(":", two_digits(F.hour(c)), two_digits(F.minute(c))),
             "month": F.month(c),
-            "day": F.date_format(c, "dd"),
+            "day": two_digits(F.dayofmonth(c)),
             "hour": F.hour(c),
-            "minute": F.date_format(c, "mm"),
+            "minute": two_digits(F.minute(c)),
             "weekday": weekday(c),
         }
     )
@@ -42,9 +51,9 @@ def day_key(ts: Column, kind: str = "calendar_day") -> Column:
     equal days of all months share a key, for comparison with older results.
     """
     if kind == "calendar_day":
-        return F.date_format(ts, "yyyy-MM-dd")
+        return F.to_date(ts).cast("string")
     if kind == "year_dom":
-        return F.date_format(ts, "yyyy-dd")
+        return F.concat_ws("-", F.year(ts).cast("string"), two_digits(F.dayofmonth(ts)))
     raise ValueError(f"unknown day key {kind!r}")
 
 

@@ -110,12 +110,17 @@ def day_hour_cells(
     ts: str = "ts",
     day: str = "calendar_day",
 ) -> DataFrame:
-    """Long form of the day x hour table: one mean per run, day and hour."""
-    return (
-        hourly.where(F.col(value).isNotNull())
-        .groupBy(*keys, day_key(F.col(ts), day).alias("day"), F.hour(ts).alias("hour"))
-        .agg(F.avg(value).alias(value))
+    """Long form of the day x hour table: one mean per run, day and hour.
+
+    An hour of a calendar day is one row of ``hourly`` already, so only day keys
+    that fold several days together need an aggregation.
+    """
+    cells = hourly.where(F.col(value).isNotNull()).select(
+        *keys, day_key(F.col(ts), day).alias("day"), F.hour(ts).alias("hour"), value
     )
+    if day == "calendar_day":
+        return cells
+    return cells.groupBy(*keys, "day", "hour").agg(F.avg(value).alias(value))
 
 
 def day_hour_pivot(

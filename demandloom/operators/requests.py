@@ -24,9 +24,15 @@ def request_counts(matched: DataFrame, keys: Sequence[str] = ("model_id",)) -> D
     )
 
 
-def upsert_meters(existing: DataFrame, requested: DataFrame, keys: Sequence[str] = ("model_id", "name")) -> DataFrame:
-    """Meters after the requests: an existing name only changes its frequency."""
-    wanted = requested.select(*keys, F.col("reporting_frequency").alias("_wanted"))
+def upsert_meters(
+    existing: DataFrame, requested: DataFrame, keys: Sequence[str] = ("model_id", "name"), order: str | None = None
+) -> DataFrame:
+    """Meters after the requests: an existing name only changes its frequency.
+
+    Of several requests for one meter the last by ``order`` counts.
+    """
+    last = F.max_by("reporting_frequency", order) if order else F.max("reporting_frequency")
+    wanted = requested.groupBy(*keys).agg(last.alias("_wanted"))
     return existing.join(wanted, list(keys), "full").select(
         *keys,
         F.coalesce("_wanted", "reporting_frequency").alias("reporting_frequency"),

@@ -15,6 +15,7 @@ from demandloom import constants as K
 from demandloom.functions import profiles as P
 from demandloom.functions.timeparse import date_range, hhmm_to_minutes, weekday_flags
 from demandloom.functions.units import celsius_to_fahrenheit
+from demandloom.session import fixed_table
 
 YEAR_KINDS = ("default", "rule")
 DESIGN_KIND = {"cooling": "summer", "heating": "winter"}
@@ -400,7 +401,8 @@ def unconditioned_thermostats(thermostats: DataFrame, equipment: DataFrame) -> D
 
 
 def type_limits(spark) -> DataFrame:
-    return spark.createDataFrame(
+    return fixed_table(
+        spark,
         K.SCHEDULE_TYPE_LIMITS,
         "type_name string, lower double, upper double, numeric_type string, unit string",
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom import constants as K
+from demandloom.session import fixed_table
 
 
 def finding(when: Column, level: str, text: str | Column) -> Column:
@@ -128,7 +129,7 @@ def choice_table(spark) -> DataFrame:
         "template": K.PROTOTYPE_TEMPLATES, "climate_zone": K.PROTOTYPE_CLIMATES,
     }
     rows = [(param, value) for param, values in lists.items() for value in values]
-    return spark.createDataFrame(rows, "param string, value string")
+    return fixed_table(spark, rows, "param string, value string")
 
 
 def not_a_choice(arguments: DataFrame, choices: DataFrame) -> DataFrame:

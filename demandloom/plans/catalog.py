@@ -4,6 +4,7 @@ from demandloom.plans import (  # noqa: F401
     check_queries,
     design_queries,
     envelope_queries,
+    file_queries,
     geometry_queries,
     metric_queries,
     schedule_queries,

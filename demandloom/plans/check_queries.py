@@ -8,6 +8,7 @@ from demandloom import constants as K
 from demandloom.operators import logs, requests, validate
 from demandloom.plans import inputs
 from demandloom.plans.registry import query
+from demandloom.session import fixed_table
 from demandloom.sources.readers import explode_keys
 
 
@@ -141,7 +142,8 @@ WHEN param = 'c_nationkey' AND v <= 0 THEN 'c_nationkey too low' WHEN param = 'c
 def range_checks(spark, sf_dir):
     from demandloom.operators.design import design_long
 
-    rules = spark.createDataFrame(
+    rules = fixed_table(
+        spark,
         RANGE_RULES,
         "param string, low double, high double, low_inclusive boolean, high_inclusive boolean, default_value double",
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom import constants as K
+from demandloom.functions.calendar import minute_stamp
 from demandloom.operators import design, workflow
 from demandloom.plans import inputs
 from demandloom.plans.registry import query
-from demandloom.session import scratch_dir
+from demandloom.session import fixed_table, scratch_dir
 from demandloom.sources import readers, writers
 
 
@@ -235,7 +236,7 @@ def part_design(spark, sf_dir):
 
 
 def lookup(spark):
-    return spark.createDataFrame(LOOKUP, "param string, measure string, argument string")
+    return fixed_table(spark, LOOKUP, "param string, measure string, argument string")
 
 
 @query(
@@ -344,7 +345,7 @@ def wide_files_round_trip(spark, sf_dir):
     writers.write_wide(wide, path, order="ts")
     back = readers.read_runs(spark, path)
     return back.select(
-        "run_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"),
+        "run_id", minute_stamp(F.col("ts")).alias("ts"),
         F.round("oat_c", 6).alias("oat_c"), F.round("elec_j", 2).alias("elec_j"),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from demandloom.functions.calendar import minute_stamp
 from demandloom.operators import geometry, zones
 from demandloom.plans import inputs
 from demandloom.plans.registry import query
@@ -542,5 +543,5 @@ def choice_list(spark, sf_dir):
 def preview_meter(spark, sf_dir):
     head = zones.preview(inputs.meter(spark, sf_dir), ["run_id", "ts"])
     return head.select(
-        "run_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), F.round("bldg_kw", 6).alias("bldg_kw")
+        "run_id", minute_stamp(F.col("ts")).alias("ts"), F.round("bldg_kw", 6).alias("bldg_kw")
     )

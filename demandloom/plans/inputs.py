@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.operators import metrics
+from demandloom.session import fixed_table
 
 # Baseline run, the scenarios compared with it, and the floor area used for all.
 BASELINE_RUN = "view"
@@ -48,7 +49,7 @@ def meter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link(spark: SparkSession) -> DataFrame:
     rows = [(run, BASELINE_RUN, FLOOR_AREA) for run in SCENARIO_RUNS]
-    return spark.createDataFrame(rows, "run_id string, baseline_id string, floor_area double")
+    return fixed_table(spark, rows, "run_id string, baseline_id string, floor_area double")
 
 
 def baseline_and_scenarios(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

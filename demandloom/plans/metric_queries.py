@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom.constants import OUTPUT_SPEC
-from demandloom.functions.calendar import is_workday_in, with_calendar
+from demandloom.functions.calendar import is_workday_in, minute_stamp, with_calendar
 from demandloom.operators import collection, metrics
 from demandloom.plans import inputs, studies
 from demandloom.plans.registry import query
 
 
 def stamp(name: str = "ts"):
-    return F.date_format(name, "yyyy-MM-dd HH:mm").alias(name)
+    return minute_stamp(F.col(name)).alias(name)
 
 
 def r6(name: str):

@@ -286,7 +286,7 @@ def ruleset_days(spark, sf_dir):
 )
 def ruleset_year(spark, sf_dir):
     days = ruleset_days(spark, sf_dir)
-    return days.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return days.withColumn("date", F.col("date").cast("string"))
 
 
 @query(
@@ -328,7 +328,7 @@ WHERE day(date) <= 7 AND dayofweek(date) IN (0, 2, 6)""",
 def reporting_calendar(spark, sf_dir):
     years = inputs.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()
     days = schedule.reporting_calendar(years)
-    return days.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return days.withColumn("date", F.col("date").cast("string"))
 
 
 @query(
@@ -393,7 +393,7 @@ def compact_ruleset_rules(spark, sf_dir):
     rules = schedule.ruleset_rules(compact_specs(spark, sf_dir), 2017)
     return rules.select(
         "schedule_id", "rule_order", "profile_id",
-        *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("start_date", "end_date")),
+        *(F.col(c).cast("string").alias(c) for c in ("start_date", "end_date")),
         F.array_join(F.transform("dow", lambda d: d.cast("string")), ",").alias("dow"),
     )
 

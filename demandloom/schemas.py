@@ -15,8 +15,8 @@ WORKFLOW = (
 # ``value`` holds ints, doubles or strings in the documents; reading it as a
 # string keeps all of them, typed casts come later (validate.typed_arguments).
 WORKFLOW_RESULT = (
-    "completed_status string, started_at string, completed_at string, "
-    "steps array<struct<measure_dir_name:string, name:string, "
+    "completed_status:string, started_at:string, completed_at:string, "
+    "steps:array<struct<measure_dir_name:string, name:string, "
     "result:struct<step_result:string, "
     "step_values:array<struct<name:string,value:string>>, "
     "step_warnings:array<string>, step_info:array<string>, step_errors:array<string>>>>"

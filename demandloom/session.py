@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter for these plans: adaptive re-planning (partition
 # coalescing, skew-join splitting), a fixed zone because every timestamp here
@@ -46,3 +49,17 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="demandloom-")
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+def fixed_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """A short list of literals as a table whose size Spark knows.
+
+    A table made from Python rows counts as huge in the planner, which then
+    shuffles (or broadcasts!) the other side of a join with it.
+    """
+    fields = [field.strip().split(" ", 1) for field in schema.split(",")]
+    literals = [
+        F.struct(*(F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(row, fields)))
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*literals)))

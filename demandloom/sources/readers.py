@@ -77,42 +77,58 @@ def read_params(spark: SparkSession, path: str, names: Sequence[str]) -> DataFra
     return _header_csv(spark, path).toDF(*names)
 
 
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: ``file, value``."""
+    return spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value"
+    )
+
+
+def parse_params_json(texts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Arrays of flat objects (column ``value``) -> one row per object, all text."""
+    record = "struct<" + ",".join(f"{n}:string" for n in names) + ">"
+    return texts.select(F.inline(F.from_json("value", f"array<{record}>")))
+
+
 def read_params_json(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """Array of flat objects, all text."""
-    schema = ", ".join(f"{n} string" for n in names)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return parse_params_json(_whole_files(spark, path), names)
 
 
-def read_model_list(spark: SparkSession, path: str) -> DataFrame:
-    """Array of arrays of steps -> one row per model and step."""
-    text = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value"
-    )
-    lists = text.select("file", F.from_json("value", schemas.MODEL_LIST).alias("models"))
+def parse_model_list(texts: DataFrame, key: str = "file") -> DataFrame:
+    """Arrays of arrays of steps -> one row per model and step."""
+    lists = texts.select(key, F.from_json("value", schemas.MODEL_LIST).alias("models"))
     return (
-        lists.select("file", F.posexplode("models").alias("model_no", "steps"))
-        .select("file", "model_no", F.posexplode("steps").alias("step_pos", "step"))
+        lists.select(key, F.posexplode("models").alias("model_no", "steps"))
+        .select(key, "model_no", F.posexplode("steps").alias("step_pos", "step"))
     )
 
 
-def read_workflow_results(spark: SparkSession, path: str) -> DataFrame:
+def read_model_list(spark: SparkSession, path: str) -> DataFrame:
+    return parse_model_list(_whole_files(spark, path))
+
+
+def parse_workflow_results(texts: DataFrame, key: str = "file") -> DataFrame:
     """Result documents -> one row per document, step and step value."""
-    docs = spark.read.schema(schemas.WORKFLOW_RESULT).option("multiLine", True).json(path)
+    shape = "struct<" + schemas.WORKFLOW_RESULT + ">"
+    docs = texts.select(key, F.from_json("value", shape).alias("doc"))
     steps = docs.select(
-        F.col("_metadata.file_path").alias("document"), "completed_status",
-        F.posexplode("steps").alias("step_pos", "step"),
+        key, "doc.completed_status", F.posexplode("doc.steps").alias("step_pos", "step")
     )
     return steps.select(
-        "document", "completed_status", "step_pos",
+        key, "completed_status", "step_pos",
         F.col("step.measure_dir_name").alias("measure"),
         F.col("step.result.step_result").alias("step_result"),
         F.explode_outer("step.result.step_values").alias("step_value"),
     ).select(
-        "document", "completed_status", "step_pos", "measure", "step_result",
+        key, "completed_status", "step_pos", "measure", "step_result",
         F.col("step_value.name").alias("name"), F.col("step_value.value").alias("value"),
     )
 
 
+def read_workflow_results(spark: SparkSession, path: str) -> DataFrame:
+    return parse_workflow_results(_whole_files(spark, path)).withColumnRenamed("file", "document")
+
+
 def explode_keys(requests: DataFrame) -> DataFrame:
     """One row per key of a comma list; no key means all objects."""
     keys = F.transform(F.split("key", ","), lambda k: F.trim(k))
