@@ -16,11 +16,16 @@ WARMEST_RESET = 80
 
 # --- fixed values: ordinal codes of the grid columns ---
 CODES = {
-    "bldg_type": {v: i + 1 for i, v in enumerate(BLDG_TYPES)},
-    "bldg_vintage": {v: i + 1 for i, v in enumerate(BLDG_VINTAGES)},
-    "climate": {v: i + 1 for i, v in enumerate(CLIMATES)},
-    "hvac_tstat": {v: v - 69 for v in HVAC_TSTAT},
-    "event_start": {v: v - 5 for v in EVENT_START},
+    "bldg_type": {
+        "SmallOffice": 1, "MediumOffice": 2, "LargeOffice": 3, "SmallRetail": 4, "MediumRetail": 5,
+    },
+    "bldg_vintage": {"pre1980": 1, "post1980": 2, "2004": 3, "2010": 4, "2016": 5},
+    "climate": {"2A": 1, "2B": 2, "3A": 3, "3B": 4, "4A": 5},
+    "hvac_tstat": {70: 1, 71: 2, 72: 3, 73: 4, 74: 5, 75: 6, 76: 7},
+    "event_start": {
+        6: 1, 7: 2, 8: 3, 9: 4, 10: 5, 11: 6, 12: 7, 13: 8,
+        14: 9, 15: 10, 16: 11, 17: 12, 18: 13, 19: 14, 20: 15, 21: 16,
+    },
     "event_hours": {2: 5, 4: 8, 6: 11},
     "precool_hours": {4: 6, 6: 11},
     "precool_deg": {0: 6, 2: 11},

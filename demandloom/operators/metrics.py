@@ -27,8 +27,17 @@ def to_meter(raw: DataFrame, keys: Sequence[str] = ("run_id", "ts"), interval_s:
     )
 
 
+def bin_start(ts: str, minutes: int) -> Column:
+    return F.window(ts, f"{minutes} minutes")["start"]
+
+
+def _may_share_exchange(df: DataFrame) -> bool:
+    """Whether a join may use an exchange hashed on part of its keys."""
+    return df.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
+
+
 def pair_with_baseline(
-    baseline: DataFrame, scenario: DataFrame, link: DataFrame, spread: int = 32
+    baseline: DataFrame, scenario: DataFrame, link: DataFrame, spread: int = 32, bin_minutes: int | None = None
 ) -> DataFrame:
     """Put each scenario next to its baseline, keeping every baseline interval.
 
@@ -38,6 +47,10 @@ def pair_with_baseline(
     and its copies must not come from one task: intervals fall into ``spread``
     groups by time and ``link`` is repeated per group. The second join is on
     (run, time), which no single run or baseline can dominate.
+
+    With ``bin_minutes`` the result also has the time ``bin`` of each interval,
+    and both sides are placed by (run, bin) where the session lets the join use
+    that. Means per run and bin then need no further exchange.
     """
     base = baseline.select(
         F.col("run_id").alias("baseline_id"), "ts", "oat_f", F.col("bldg_kw").alias("base_kw")
@@ -53,7 +66,14 @@ def pair_with_baseline(
             .join(repeated.hint("merge"), ["baseline_id", "_spread"]).drop("_spread")
         )
     loads = scenario.select("run_id", "ts", F.col("bldg_kw").alias("scenario_kw"))
-    return copies.join(loads, ["run_id", "ts"], "left")
+    keys = ["run_id", "ts"]
+    if bin_minutes:
+        keys.append("bin")
+        copies = copies.withColumn("bin", bin_start("ts", bin_minutes))
+        loads = loads.withColumn("bin", bin_start("ts", bin_minutes))
+        if _may_share_exchange(base):
+            copies, loads = copies.repartition("run_id", "bin"), loads.repartition("run_id", "bin")
+    return copies.join(loads, keys, "left")
 
 
 def add_shed(paired: DataFrame) -> DataFrame:
@@ -67,6 +87,11 @@ def add_shed(paired: DataFrame) -> DataFrame:
     )
 
 
+def mean_per_bin(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Means per run and ``bin``, which becomes the time."""
+    return df.groupBy(*keys, F.col("bin").alias("ts")).agg(*(F.avg(c).alias(c) for c in columns))
+
+
 def resample_mean(
     df: DataFrame,
     columns: Sequence[str],

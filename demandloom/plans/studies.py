@@ -12,16 +12,18 @@ from demandloom.operators import metrics
 
 
 def shed_intervals(
-    baseline: DataFrame, scenario: DataFrame, link: DataFrame, months: Sequence[int] = SUMMER_MONTHS
+    baseline: DataFrame, scenario: DataFrame, link: DataFrame, months: Sequence[int] = SUMMER_MONTHS,
+    bin_minutes: int | None = None,
 ) -> DataFrame:
     """Shed per interval on workdays of ``months``.
 
     Both sides carry the time, so both are cut down before they meet.
     """
     wanted = is_workday_in(F.col("ts"), months)
-    return metrics.add_shed(
-        metrics.pair_with_baseline(baseline.where(wanted), scenario.where(wanted), link)
+    paired = metrics.pair_with_baseline(
+        baseline.where(wanted), scenario.where(wanted), link, bin_minutes=bin_minutes
     )
+    return metrics.add_shed(paired)
 
 
 def shed_hourly(
@@ -29,7 +31,7 @@ def shed_hourly(
 ) -> DataFrame:
     """Hourly means of the interval columns."""
     columns = ["oat_f", "base_kw", "scenario_kw", "shed_pct", "shed_w_ft2"]
-    return metrics.resample_mean(shed_intervals(baseline, scenario, link, months), columns)
+    return metrics.mean_per_bin(shed_intervals(baseline, scenario, link, months, 60), columns)
 
 
 def shed_box_study(baseline, scenario, link, months=SUMMER_MONTHS, day: str = "calendar_day") -> DataFrame:

@@ -31,7 +31,7 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-def difference(df, con, sql: str) -> str | None:
+def difference(df, con, sql: str, allow_empty: bool = False) -> str | None:
     """A description of the first difference, or None."""
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(sql)
@@ -41,7 +41,7 @@ def difference(df, con, sql: str) -> str | None:
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     if not got:
-        return "no rows"
+        return None if allow_empty else "no rows"
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return f"{len(bad)} of {len(got)} rows differ in {got_cols}: {bad[0][0]} != {bad[0][1]}"

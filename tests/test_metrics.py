@@ -168,3 +168,27 @@ def test_studies_run_end_to_end(spark):
     box = {r.hour: r.median for r in studies.shed_box_study(base, scen, link(spark)).collect()}
     assert box == {h: float(h) for h in range(24)}
     assert studies.shed_fit_study(base, scen, link(spark)).count() > 24
+
+
+def test_hourly_study_shuffles_each_side_once(spark, tmp_path, rows):
+    for name, kw in (("b", 100), ("s", 90)):
+        series(spark, name, lambda d, h, q: kw + h).write.parquet(str(tmp_path / name))
+    link(spark).write.parquet(str(tmp_path / "link"))
+    base, scen, links = (spark.read.parquet(str(tmp_path / n)) for n in ("b", "s", "link"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    hourly_rows = rows(studies.shed_hourly(base, scen, links))
+    try:
+        # Room for the link table only.
+        limit = str(links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit + "b")
+        plan = studies.shed_hourly(base, scen, links)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
+        assert text.count("Exchange hashpartitioning") == 2
+        assert rows(plan) == hourly_rows
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+        assert rows(studies.shed_hourly(base, scen, links)) == hourly_rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    assert len(hourly_rows) == 120

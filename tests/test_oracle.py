@@ -17,6 +17,11 @@ def duck():
     return connect(SF_DIR)
 
 
+# Nothing lies beyond the whiskers in the few events of the smallest tables.
+EMPTY_WHEN_SMALL = {"shed_box_outliers"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    assert difference(QUERIES[name](spark, SF_DIR), duck, ORACLES[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    assert difference(df, duck, ORACLES[name], allow_empty=name in EMPTY_WHEN_SMALL) is None
