@@ -120,7 +120,8 @@ def running_event_steps(cases: DataFrame, order: str = "event_pos") -> DataFrame
 def explode_steps(cases: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """One row per case, step and argument."""
     return (
-        cases.select(*keys, F.posexplode("steps").alias("step_pos", "step"))
+        cases.select(*keys, F.posexplode_outer("steps").alias("step_pos", "step"))
+        .where(F.col("step_pos").isNotNull())
         .select(
             *keys, "step_pos", F.col("step.measure_dir_name").alias("measure"),
             F.explode("step.arguments").alias("argument", "value"),

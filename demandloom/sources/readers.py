@@ -79,7 +79,7 @@ def read_params(spark: SparkSession, path: str, names: Sequence[str]) -> DataFra
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``file, value``."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value"
     )
 
@@ -97,10 +97,10 @@ def read_params_json(spark: SparkSession, path: str, names: Sequence[str]) -> Da
 def parse_model_list(texts: DataFrame, key: str = "file") -> DataFrame:
     """Arrays of arrays of steps -> one row per model and step."""
     lists = texts.select(key, F.from_json("value", schemas.MODEL_LIST).alias("models"))
-    return (
-        lists.select(key, F.posexplode("models").alias("model_no", "steps"))
-        .select(key, "model_no", F.posexplode("steps").alias("step_pos", "step"))
-    )
+    # Outer forms: for inner ones Spark infers a size filter that parses every text twice.
+    models = lists.select(key, F.posexplode_outer("models").alias("model_no", "steps"))
+    steps = models.select(key, "model_no", F.posexplode_outer("steps").alias("step_pos", "step"))
+    return steps.where(F.col("step_pos").isNotNull())
 
 
 def read_model_list(spark: SparkSession, path: str) -> DataFrame:
@@ -112,8 +112,8 @@ def parse_workflow_results(texts: DataFrame, key: str = "file") -> DataFrame:
     shape = "struct<" + schemas.WORKFLOW_RESULT + ">"
     docs = texts.select(key, F.from_json("value", shape).alias("doc"))
     steps = docs.select(
-        key, "doc.completed_status", F.posexplode("doc.steps").alias("step_pos", "step")
-    )
+        key, "doc.completed_status", F.posexplode_outer("doc.steps").alias("step_pos", "step")
+    ).where(F.col("step_pos").isNotNull())
     return steps.select(
         key, "completed_status", "step_pos",
         F.col("step.measure_dir_name").alias("measure"),
