@@ -12,6 +12,8 @@ def spark_may_broadcast(df: DataFrame) -> bool:
     Asked before a table is unfolded: afterwards the estimate no longer covers
     the rows that unfolding adds.
     """
+    if not hasattr(df, "_jdf"):  # remote sessions do not tell
+        return False
     plan = df._jdf.queryExecution()
     estimate = int(str(plan.optimizedPlan().stats().sizeInBytes()))
     return estimate <= plan.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()

@@ -100,7 +100,7 @@ st AS (
 
 def story(spark, sf_dir):
     surfaces = box_surfaces(spark, sf_dir)
-    spaces = surfaces.where(F.col("surface_type") == "Floor").select("model_id", "space_id", "multiplier")
+    spaces = rectangles(spark, sf_dir).select("model_id", "space_id", "multiplier")
     return geometry.story_edges(
         surfaces.drop("multiplier"), spaces, geometry.bounding_boxes(surfaces),
         ("Outdoors", "Ground", "Adiabatic"), multiplier_adjustment=2.0,
@@ -306,7 +306,7 @@ def space_areas(spark, sf_dir):
 
 @query(
     "largest_space_type_first",
-    """WITH t AS (SELECT p_brand AS model_id, p_type AS space_type, sum(p_size) AS floor_area FROM part GROUP BY 1, 2)
+    """WITH t AS (SELECT p_brand AS model_id, p_type AS space_type, CAST(sum(p_size) AS BIGINT) AS floor_area FROM part GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY floor_area DESC, space_type DESC) = 1 AS is_largest FROM t""",
 )
 def largest_space_type_first(spark, sf_dir):
