@@ -28,9 +28,11 @@ def pair_all(left: DataFrame, right: DataFrame, left_blocks: int = 16, right_blo
 
     The work is cut into ``left_blocks x right_blocks`` tiles. A left row goes
     to one tile row and is copied along it, a right row to one tile column, and
-    the two meet in an equi-join on the tile. So no side has to fit in one task
-    and neither is broadcast unless Spark itself finds it small enough.
+    the two meet in an equi-join on the tile, so no side has to fit in one task.
+    Spark may broadcast a side only if that was under the limit before it was
+    copied, which bounds it by the limit times the number of copies.
     """
+    may_broadcast = spark_may_broadcast(left) or spark_may_broadcast(right)
     tiled_left = left.withColumns(
         {
             "_tile_row": _block(left, left_blocks),
@@ -43,4 +45,6 @@ def pair_all(left: DataFrame, right: DataFrame, left_blocks: int = 16, right_blo
             "_tile_row": F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))),
         }
     )
+    if not may_broadcast:
+        tiled_right = tiled_right.hint("merge")
     return tiled_left.join(tiled_right, ["_tile_row", "_tile_col"]).drop("_tile_row", "_tile_col")

@@ -411,8 +411,8 @@ def type_limits(spark) -> DataFrame:
 def check_limits(profiles: DataFrame, limits: DataFrame, keys: Sequence[str] = ("profile_id",)) -> DataFrame:
     """Whether all values of a profile are within the limits of its type.
 
-    The join is on the handful of type names; ``limits`` is the fixed list of
-    13, which is small enough to broadcast by construction.
+    ``limits`` is :func:`type_limits` or a table like it; how it is joined is
+    left to Spark, which knows the size of that list.
     """
     values = F.transform("points", lambda p: p["value"])
     low, high = F.array_min(values), F.array_max(values)
@@ -422,7 +422,7 @@ def check_limits(profiles: DataFrame, limits: DataFrame, keys: Sequence[str] = (
         & F.coalesce(high <= F.col("upper"), F.lit(True))
         & ((F.col("numeric_type") != "Discrete") | whole)
     )
-    return profiles.join(F.broadcast(limits), "type_name", "left").select(
+    return profiles.join(limits, "type_name", "left").select(
         *keys, "type_name", low.alias("min_value"), high.alias("max_value"),
         F.when(F.col("numeric_type").isNull(), "unknown type")
         .when(ok, "ok").otherwise("out of range").alias("status"),

@@ -82,7 +82,9 @@ def test_broadcast_check_follows_the_session_limit(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_pair_all_is_the_full_product_once(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_pair_all_is_the_full_product_once(spark, monkeypatch, small):
+    monkeypatch.setattr(pairing, "spark_may_broadcast", lambda df: small)
     left, right = spark.range(100).toDF("a"), spark.range(37).toDF("b")
     paired = pairing.pair_all(left, right)
     assert paired.count() == 3700 and paired.distinct().count() == 3700
