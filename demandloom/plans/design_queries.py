@@ -137,6 +137,22 @@ def event_grid(spark, sf_dir):
     return design.event_grid(grid_models(spark, sf_dir))
 
 
+@query(
+    "event_grid_repeated_ids",
+    f"""SELECT model_id, count(*) AS n_cases, count(DISTINCT (t, s, h, pd, r)) AS n_ids
+FROM (SELECT DISTINCT 'model_' || s_nationkey AS model_id FROM supplier) m,
+(SELECT {listed(range(70, 77))} AS t), (SELECT {listed(range(6, 22))} AS s),
+(SELECT {listed([2, 4, 6])} AS h), (SELECT {listed([2, 4, 6])} AS ph),
+(SELECT {listed([0, 2, 4])} AS pd), (SELECT {listed([0, 2, 4, 6])} AS r)
+WHERE s + h <= 22 AND t - pd >= 70 AND t + r <= 80 GROUP BY 1""",
+)
+def event_grid_repeated_ids(spark, sf_dir):
+    grid = design.event_grid(grid_models(spark, sf_dir), compat=True)
+    return grid.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("n_cases"), F.count_distinct("case_id").alias("n_ids")
+    )
+
+
 @query(
     "model_grid",
     """SELECT 'model_' || a || '_' || b || '_' || c AS model_id, a AS bldg_type, b AS bldg_vintage, c AS climate

@@ -98,7 +98,7 @@ def insulation_layer_above_first(spark, sf_dir):
     return found.where(F.col("layer_index").isNotNull())
 
 
-def raised_sql(surface_type: str, percent: float, label: str) -> str:
+def raised_sql(surface_type: str, percent: float, label: str, raises_r: str = "true") -> str:
     return f"""{LAYER_SQL}, {SURFACE_SQL},
 best AS ({PICK_SQL.format(src='lay', min_r='1 / 5.678263341113488e0')}),
 target AS (SELECT model_id, construction_id, layer_index AS t FROM best WHERE found AND (model_id, construction_id) IN
@@ -106,7 +106,7 @@ target AS (SELECT model_id, construction_id, layer_index AS t FROM best WHERE fo
 raised AS (SELECT model_id, construction_id, layer_index,
   CASE WHEN layer_index = t THEN material_id || '_R-value {percent}% increase' ELSE material_id END AS material_id,
   CASE WHEN layer_index = t AND kind = 'massive' THEN thickness * (1 + {percent}e0 / 100) ELSE thickness END AS thickness,
-  CASE WHEN layer_index = t THEN r_value * (1 + {percent}e0 / 100) ELSE r_value END AS r_value,
+  CASE WHEN layer_index = t AND {raises_r} THEN r_value * (1 + {percent}e0 / 100) ELSE r_value END AS r_value,
   construction_id || ' adj {label}' AS new_construction_id
   FROM lay JOIN target USING (model_id, construction_id))"""
 
@@ -143,6 +143,15 @@ def raise_roof_insulation(spark, sf_dir):
     return rounded(raised.select(*RAISED_COLUMNS), thickness=6, r_value=6)
 
 
+@query(
+    "raise_insulation_by_thickness_only",
+    f"""WITH {raised_sql('Wall', 45.0, 'exterior wall insulation', "kind = 'massive'")} SELECT {RAISED_OUT}""",
+)
+def raise_insulation_by_thickness_only(spark, sf_dir):
+    raised = envelope.raise_insulation(layers(spark, sf_dir), surfaces(spark, sf_dir), 45, compat=True)
+    return rounded(raised.select(*RAISED_COLUMNS), thickness=6, r_value=6)
+
+
 @query(
     "replaced_surfaces",
     f"WITH {raised_sql('Wall', 45.0, 'exterior wall insulation')}, "

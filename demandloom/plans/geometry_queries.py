@@ -277,6 +277,16 @@ def absolute_azimuth(spark, sf_dir):
     return walls(spark, sf_dir).select("surface_id", F.round(azimuth(), 4).alias("azimuth"))
 
 
+@query(
+    "absolute_azimuth_unwrapped",
+    f"WITH {WALL_SQL} SELECT surface_id, round(CASE WHEN raw_azimuth >= 360 THEN raw_azimuth - 360 "
+    "ELSE raw_azimuth END, 4) AS azimuth FROM wall",
+)
+def absolute_azimuth_unwrapped(spark, sf_dir):
+    angle = geometry.absolute_azimuth(F.col("azimuth_rad"), F.col("space_north"), F.lit(-60.0), compat=True)
+    return walls(spark, sf_dir).select("surface_id", F.round(angle, 4).alias("azimuth"))
+
+
 def spaces_of_parts(spark, sf_dir):
     return inputs.table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("model_id"), F.col("p_partkey").alias("space_id"),

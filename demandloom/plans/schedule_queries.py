@@ -85,22 +85,34 @@ def profile_window_shift(spark, sf_dir):
     return out(schedule.shift_setpoints_in_window(profiles(spark, sf_dir), 4, 720, 1080))
 
 
-@query(
-    "profile_lighting_reduction",
-    f"WITH {cut_sql(780, 900)}, pct AS (SELECT CASE WHEN bool_or(o_orderstatus = 'F') THEN 30e0 ELSE 95e0 END AS percent, "
-    "o_custkey AS space_type FROM orders GROUP BY o_custkey), "
-    "own AS (SELECT o_orderkey AS profile_id, percent FROM orders JOIN pct ON o_custkey = space_type) "
-    "SELECT profile_id, until_min, round(CASE WHEN until_min > 780 AND until_min <= 900 "
-    "THEN value * (1 - percent / 100) ELSE value END, 6) AS value FROM cut JOIN own USING (profile_id)",
-)
-def profile_lighting_reduction(spark, sf_dir):
+def lighting_sql(factor: str) -> str:
+    return (
+        f"WITH {cut_sql(780, 900)}, pct AS (SELECT CASE WHEN bool_or(o_orderstatus = 'F') THEN 30e0 ELSE 95e0 END AS percent, "
+        "o_custkey AS space_type FROM orders GROUP BY o_custkey), "
+        "own AS (SELECT o_orderkey AS profile_id, percent FROM orders JOIN pct ON o_custkey = space_type) "
+        "SELECT profile_id, until_min, round(CASE WHEN until_min > 780 AND until_min <= 900 "
+        f"THEN value * ({factor}) ELSE value END, 6) AS value FROM cut JOIN own USING (profile_id)"
+    )
+
+
+def reduced_lights(spark, sf_dir, compat):
     orders = inputs.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("profile_id"), F.col("o_custkey").alias("space_type"),
         (F.col("o_orderstatus") == "F").alias("has_people"),
     )
     percent = schedule.lighting_percent(orders, 30, 95)
     lights = profiles(spark, sf_dir).join(orders.drop("has_people"), "profile_id").join(percent, "space_type")
-    return out(schedule.reduce_lighting(lights, "percent", 780, 900))
+    return out(schedule.reduce_lighting(lights, "percent", 780, 900, compat=compat))
+
+
+@query("profile_lighting_reduction", lighting_sql("1 - percent / 100"))
+def profile_lighting_reduction(spark, sf_dir):
+    return reduced_lights(spark, sf_dir, compat=False)
+
+
+@query("profile_lighting_remaining", lighting_sql("percent / 100"))
+def profile_lighting_remaining(spark, sf_dir):
+    return reduced_lights(spark, sf_dir, compat=True)
 
 
 @query(
@@ -289,9 +301,8 @@ def ruleset_year(spark, sf_dir):
     return days.withColumn("date", F.col("date").cast("string"))
 
 
-@query(
-    "ruleset_half_hours",
-    f"""WITH {RULES_SQL},
+def half_hour_sql(per_day: int) -> str:
+    return f"""WITH {RULES_SQL},
 pts AS (SELECT l_suppkey AS schedule_id, l_returnflag AS profile_id, l_linenumber * 180 AS u, max(l_extendedprice) AS value
   FROM lineitem GROUP BY 1, 2, 3
   UNION ALL SELECT l_suppkey, 'D', 1440, max(l_extendedprice) FROM lineitem GROUP BY 1),
@@ -300,10 +311,11 @@ prof AS (SELECT schedule_id, profile_id, value, CASE WHEN u = max(u) OVER w THEN
 seg AS (SELECT *, lag(until_min, 1, 0) OVER (PARTITION BY schedule_id, profile_id ORDER BY until_min) AS begin_min FROM prof)
 SELECT d.schedule_id, CAST(h AS INTEGER) AS half_hour, count(*) AS n, round(avg(s.value), 4) AS mean_value
 FROM days d JOIN seg s ON s.schedule_id = d.schedule_id AND s.profile_id = d.profile_id
-JOIN range(48) r(h) ON (h + 1) * 30 > s.begin_min AND (h + 1) * 30 <= s.until_min
-GROUP BY 1, 2""",
-)
-def ruleset_half_hours(spark, sf_dir):
+JOIN range({per_day}) r(h) ON (h + 1) * 30 > s.begin_min AND (h + 1) * 30 <= s.until_min
+GROUP BY 1, 2"""
+
+
+def half_hour_means(spark, sf_dir, compat):
     items = inputs.table(spark, sf_dir, "lineitem")
     keys = ("schedule_id", "profile_id")
     by_flag = items.select(
@@ -312,12 +324,22 @@ def ruleset_half_hours(spark, sf_dir):
     )
     flat = by_flag.select("schedule_id", F.lit("D").alias("profile_id"), F.lit(1440).alias("until_min"), "value")
     shapes = to_midnight(schedule.to_profiles(by_flag.unionByName(flat), keys))
-    values = schedule.half_hour_values(ruleset_days(spark, sf_dir), shapes)
+    values = schedule.half_hour_values(ruleset_days(spark, sf_dir), shapes, compat=compat)
     return values.groupBy("schedule_id", "half_hour").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value")
     )
 
 
+@query("ruleset_half_hours", half_hour_sql(48))
+def ruleset_half_hours(spark, sf_dir):
+    return half_hour_means(spark, sf_dir, compat=False)
+
+
+@query("ruleset_half_hours_without_midnight", half_hour_sql(47))
+def ruleset_half_hours_without_midnight(spark, sf_dir):
+    return half_hour_means(spark, sf_dir, compat=True)
+
+
 @query(
     "reporting_calendar",
     """WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
-
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +22,43 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    "spark.ui.enabled": "false",
 }
 
 
-def get_spark(app_name: str = "demandloom", master: str | None = None, **conf: str) -> SparkSession:
-    """Build (or get) a session carrying :data:`SETTINGS`; ``conf`` overrides."""
+# Shuffle partitions aim at this size, small enough to sort in an executor's
+# share of memory; more of them than the limit cost more in bookkeeping.
+PARTITION_BYTES = 256 * 1024**2
+MOST_PARTITIONS = 60_000
+
+
+def sized_for(data_bytes: int) -> dict[str, str]:
+    """Settings for a study that shuffles about ``data_bytes``.
+
+    Adaptive execution joins small partitions but cannot cut large ones, so it
+    has to start from enough of them.
+    """
+    partitions = min(MOST_PARTITIONS, max(200, math.ceil(data_bytes / PARTITION_BYTES)))
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+    }
+
+
+def get_spark(
+    app_name: str = "demandloom", master: str | None = None, data_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Build (or get) a session carrying :data:`SETTINGS`; ``conf`` overrides.
+
+    Give ``data_bytes`` on a cluster, see :func:`sized_for`.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+        if master.startswith("local"):
+            conf = {"spark.ui.enabled": "false", **conf}
+    sizes = sized_for(data_bytes) if data_bytes else {}
+    for key, value in {**SETTINGS, **sizes, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

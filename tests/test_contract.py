@@ -60,3 +60,12 @@ def test_scratch_dir_follows_the_session(spark, tmp_path):
     assert scratch_dir(shared, "x").startswith(str(tmp_path))
     with pytest.raises(ValueError):
         scratch_dir(session_like("spark://host"), "x")
+
+
+def test_shuffles_start_from_enough_partitions():
+    from demandloom.session import sized_for
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert sized_for(1)[key] == "200"
+    assert sized_for(10 * 1024**4)[key] == "40960"
+    assert sized_for(100 * 1024**4)[key] == "60000"
