@@ -44,6 +44,19 @@ def is_workday_in(ts: Column, months: Sequence[int] = SUMMER_MONTHS) -> Column:
     return weekday(ts).between(1, 5) & F.month(ts).isin(*months)
 
 
+def select_workdays(df: DataFrame, months: Sequence[int] = SUMMER_MONTHS, ts: str = "ts") -> DataFrame:
+    """Rows of workdays in ``months``.
+
+    Functions of the time do not reach a file scan. Where the table has a
+    ``month`` column, as the folders of a stored meter, it is asked as well, so
+    that the other months are not read.
+    """
+    wanted = is_workday_in(F.col(ts), months)
+    if "month" in df.columns:
+        wanted = F.col("month").isin(*months) & wanted
+    return df.where(wanted)
+
+
 def day_key(ts: Column, kind: str = "calendar_day") -> Column:
     """Key of a day.
 

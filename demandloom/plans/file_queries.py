@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom import schemas
-from demandloom.functions.calendar import minute_stamp
+from demandloom.functions.calendar import minute_stamp, select_workdays
 from demandloom.operators import schedule, workflow
 from demandloom.plans import design_queries, inputs, metric_queries
 from demandloom.plans.registry import query
@@ -40,6 +40,18 @@ def meter_files(spark, sf_dir):
     return meter.select("run_id", "step_no", minute_stamp(F.col("ts")).alias("ts"), "elec_j")
 
 
+@query(
+    "stored_meter",
+    f"WITH {inputs.RAW_METER_SQL} SELECT run_id, strftime(ts, '%Y-%m-%d %H:%M') AS ts, round(bldg_kw, 6) AS bldg_kw "
+    "FROM meter WHERE dayofweek(ts) BETWEEN 1 AND 5 AND month(ts) = 1",
+)
+def stored_meter(spark, sf_dir):
+    path = scratch_dir(spark, "stored-meter")
+    writers.write_meter(inputs.meter(spark, sf_dir), path)
+    workdays = select_workdays(readers.read_stored_meter(spark, path), inputs.MONTHS)
+    return workdays.select("run_id", minute_stamp(F.col("ts")).alias("ts"), F.round("bldg_kw", 6).alias("bldg_kw"))
+
+
 @query(
     "report_files",
     """SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total FROM events

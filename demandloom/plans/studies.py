@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from demandloom.functions.calendar import SUMMER_MONTHS, is_workday_in
+from demandloom.functions.calendar import SUMMER_MONTHS, select_workdays
 from demandloom.operators import metrics
 
 
@@ -19,9 +18,8 @@ def shed_intervals(
 
     Both sides carry the time, so both are cut down before they meet.
     """
-    wanted = is_workday_in(F.col("ts"), months)
     paired = metrics.pair_with_baseline(
-        baseline.where(wanted), scenario.where(wanted), link, bin_minutes=bin_minutes
+        select_workdays(baseline, months), select_workdays(scenario, months), link, bin_minutes=bin_minutes
     )
     return metrics.add_shed(paired)
 

@@ -34,6 +34,11 @@ def read_meter(
     return raw.withColumn("ts", interval_start(start, F.col("step_no"), step_minutes))
 
 
+def read_stored_meter(spark: SparkSession, path: str) -> DataFrame:
+    """Interval series stored by :func:`write_meter`."""
+    return spark.read.schema(schemas.METER + ", month int").parquet(path)
+
+
 def read_runs(spark: SparkSession, root: str, layout: str = "partitions") -> DataFrame:
     """Wide series of all runs below ``root``.
 

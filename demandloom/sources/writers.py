@@ -39,6 +39,20 @@ def write_wide(
         writer.format(fmt).save(path)
 
 
+def write_meter(meter: DataFrame, path: str, files_per_month: int = 8) -> None:
+    """Interval series of any number of runs, in one folder per month.
+
+    Studies look at some months only and then read no others. Within a month the
+    rows are spread by run and day, so that a large run does not end in one file.
+    """
+    spread = F.pmod(F.xxhash64("run_id", F.dayofmonth("ts")), F.lit(files_per_month))
+    (
+        meter.withColumn("month", F.month("ts")).repartition("month", spread)
+        .sortWithinPartitions("month", "run_id", "ts")
+        .write.mode("overwrite").partitionBy("month").parquet(path)
+    )
+
+
 def with_published_headers(wide: DataFrame) -> DataFrame:
     """Wide series with the column titles of the interval files."""
     return wide.select(

@@ -37,6 +37,22 @@ def test_runs_as_single_files(spark, tmp_path, rows):
     assert rows(back, "run_id", "oat_c") == [("run one", 1.0), ("run2", 3.0)]
 
 
+def test_stored_meter_reads_only_the_months_asked_for(spark, tmp_path, rows):
+    from demandloom.functions.calendar import select_workdays
+
+    ts = F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2017-01-01").cast("timestamp_ntz"))
+    meter = spark.range(8760).select(
+        F.lit("2010").alias("run_id"), ts.alias("ts"), F.lit(60.0).alias("oat_f"), F.col("id").cast("double").alias("bldg_kw")
+    )
+    writers.write_meter(meter, str(tmp_path / "meter"))
+    stored = readers.read_stored_meter(spark, str(tmp_path / "meter"))
+    picked = select_workdays(stored, (6, 7))
+    assert picked.count() == select_workdays(meter, (6, 7)).count() == 43 * 24
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "month" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert rows(picked.select("run_id").distinct()) == [("2010",)]
+
+
 def report(spark):
     zone, step = "Environment", "Zone Timestep"
     return spark.createDataFrame(
