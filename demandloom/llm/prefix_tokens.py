@@ -26,6 +26,7 @@ from demandloom.llm.common import slices
 
 _BLANK = "▁"
 _CACHED = 1 << 18
+_PAIRS = 1 << 19
 _LONG = 64
 
 
@@ -50,8 +51,9 @@ class PieceCounter:
         stop = "".join(map(re.escape, alone))
         single = f"|[{stop}]" if alone else ""
         self.words = re.compile(f"{_BLANK}*[^{_BLANK}{stop}]+{single}|{_BLANK}+")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        # pieces that their own merges arrive at; no other piece is ever a token
+        self.tokens = {piece: i for i, piece in enumerate(self.score) if self._merged(piece) == [piece]}
         self.known = _Counts(self)
 
     def _merged(self, text: str) -> list[str]:
@@ -68,29 +70,28 @@ class PieceCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _is_token(self, piece: str) -> bool:
-        if (known := self.whole.get(piece)) is None:
-            known = self.whole[piece] = len(piece) == 1 or piece in self.score and self._merged(piece) == [piece]
-        return known
-
     def _fits(self, left: str, right: str) -> bool:
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= _CACHED:
+        key = self.tokens[left] << 32 | self.tokens[right]
+        if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._merged(left + right) == [left, right]
+            known = self.pairs[key] = self._merged(left + right) == [left, right]
         return known
 
     def prefix_counts(self, word: str) -> list[int]:
         """The number of tokens of every prefix of ``word``, from one character on."""
+        tokens, longest = self.tokens, self.longest
         last, counts = [""], [0]
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - longest), end):
                 piece = word[start:end]
-                if self._is_token(piece) and (not start or self._fits(last[start], piece)):
-                    cost = 1 if piece in self.score else len(piece.encode())
+                if piece in tokens and (not last[start] or self._fits(last[start], piece)):
                     last.append(piece)
-                    counts.append(counts[start] + cost)
+                    counts.append(counts[start] + 1)
                     break
+            else:  # a character outside the vocabulary: its bytes, and nothing merges with them
+                last.append("")
+                counts.append(counts[-1] + len(word[end - 1].encode()))
         return counts[1:]
 
     def split(self, text: str) -> list[str]:
