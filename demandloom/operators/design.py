@@ -81,7 +81,7 @@ def encode(df: DataFrame, codes: Mapping[str, Mapping] = K.CODES) -> DataFrame:
     return df.withColumns(out)
 
 
-BASELINE_KEYS = ("model_id", "hvac_tstat", "event_start", "event_hours", "precool_hours")
+BASELINE_KEYS = ("model_id", "hvac_tstat", "event_start", "event_hours")
 
 
 def match_baseline(
@@ -117,8 +117,10 @@ def design_long(design: DataFrame, case_no: str = "case_no") -> DataFrame:
 
 
 def join_lookup(long: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Parameters with their measure description."""
-    return long.join(lookup, "param")
+    """Parameters with their measure description; ``error`` names a parameter that has none."""
+    described = long.join(lookup.withColumn("_described", F.lit(True)), "param", "left")
+    error = F.when(F.col("_described").isNull(), F.concat(F.lit("no description for "), F.col("param")))
+    return described.withColumn("error", error).drop("_described")
 
 
 def missing_params(long: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -35,29 +35,33 @@ def construction_r(layers: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def insulation_layer(
     layers: DataFrame, min_r: float = MIN_R_SI, considered: str = "all", keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Layer with the largest resistance, the outermost of equals.
+    """Layer with the largest resistance, the outermost of equals; ``layer_index`` tells the layers apart.
 
     ``considered="after_first"`` never picks the outermost layer nor counts its
     resistance; ``"above_first"`` also wants more than the resistance of the
     outermost layer. Both reproduce published results.
     """
-    rank = F.struct(F.col("r_value"), -F.col("layer_index"))
-    layer = F.struct("layer_index", "material_id", "kind", "thickness", "r_value")
-    if considered == "all":
-        best = layers.groupBy(*keys).agg(F.max_by(layer, rank).alias("best"))
-    else:
-        firsts = layers.groupBy(*keys).agg(
+    candidates, whole = layers, None
+    if considered != "all":
+        whole = layers.groupBy(*keys).agg(
             F.min("layer_index").alias("_first"), F.min_by("r_value", "layer_index").alias("_first_r")
         )
         usable = F.col("layer_index") > F.col("_first")
         if considered == "above_first":
             usable = usable & (F.col("r_value") > F.col("_first_r"))
-        best = layers.join(firsts, list(keys)).groupBy(*keys).agg(
-            F.max_by(F.when(usable, layer), F.when(usable, rank)).alias("best")
-        )
-    return best.select(
-        *keys, "best.*", F.coalesce(F.col("best.r_value") > F.lit(min_r), F.lit(False)).alias("found")
+        candidates = layers.join(whole, list(keys)).where(usable)
+    # Numbers only in the aggregation buffers, so that both are hash aggregations.
+    top = candidates.groupBy(*keys).agg(F.max("r_value").alias("_top"))
+    place = (
+        candidates.join(top, list(keys)).where(F.col("r_value").eqNullSafe(F.col("_top")))
+        .groupBy(*keys).agg(F.min("layer_index").alias("_place"))
+    )
+    best = candidates.join(place, list(keys)).where(F.col("layer_index") == F.col("_place")).select(
+        *keys, "layer_index", "material_id", "kind", "thickness", "r_value"
     )
+    if whole is not None:
+        best = whole.select(*keys).join(best, list(keys), "left")
+    return best.withColumn("found", F.coalesce(F.col("r_value") > F.lit(min_r), F.lit(False)))
 
 
 def scale_layer(percent, compat: bool = False) -> dict[str, Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.calendar import day_key
 from demandloom.functions.units import celsius_to_fahrenheit, joules_to_kw
-from demandloom.operators.pairing import spark_may_broadcast
+from demandloom.session import shuffle_width
 
 
 def to_meter(raw: DataFrame, keys: Sequence[str] = ("run_id", "ts"), interval_s: int = 900) -> DataFrame:
@@ -31,49 +31,68 @@ def bin_start(ts: str, minutes: int) -> Column:
     return F.window(ts, f"{minutes} minutes")["start"]
 
 
-def _may_share_exchange(df: DataFrame) -> bool:
-    """Whether a join may use an exchange hashed on part of its keys."""
-    return df.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
+def with_each_scenario(baseline: DataFrame, link: DataFrame, time: str = "ts", spread: int | None = None) -> DataFrame:
+    """A copy of the baseline rows (``baseline_id`` and ``time``) for each of its scenarios.
 
+    One baseline may serve very many scenarios, and its copies must not come from
+    one task: its times fall into ``spread`` groups (as many as the session has
+    shuffle partitions), and ``link`` is repeated per group.
+    """
+    spread = spread or shuffle_width(baseline.sparkSession)
+    group = F.pmod(F.xxhash64(time), F.lit(spread)).cast("int")
+    links = link.select("run_id", "baseline_id", "floor_area")
+    repeated = links.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    copies = baseline.withColumn("_spread", group).join(repeated.hint("merge"), ["baseline_id", "_spread"])
+    return copies.drop("_spread")
 
-def pair_with_baseline(
-    baseline: DataFrame, scenario: DataFrame, link: DataFrame, spread: int = 32, bin_minutes: int | None = None
-) -> DataFrame:
+
+def _as_baseline(baseline: DataFrame) -> DataFrame:
+    return baseline.select(
+        F.col("run_id").alias("baseline_id"), "ts", "oat_f", F.col("bldg_kw").alias("base_kw")
+    )
+
+
+def pair_with_baseline(baseline: DataFrame, scenario: DataFrame, link: DataFrame) -> DataFrame:
     """Put each scenario next to its baseline, keeping every baseline interval.
 
-    ``link`` has one row per scenario: ``run_id, baseline_id, floor_area``. When
-    Spark finds it small enough to broadcast, the copies of a baseline come from
-    the tasks that read it. Otherwise one baseline may serve very many scenarios,
-    and its copies must not come from one task: intervals fall into ``spread``
-    groups by time and ``link`` is repeated per group. The second join is on
-    (run, time), which no single run or baseline can dominate.
+    ``link`` has one row per scenario: ``run_id, baseline_id, floor_area``. The
+    result holds a copy of the baseline per scenario; for means over bins use
+    :func:`binned_shed`, which copies none. The second join is on (run, time),
+    which no single run or baseline can dominate.
+    """
+    loads = scenario.select("run_id", "ts", F.col("bldg_kw").alias("scenario_kw"))
+    return with_each_scenario(_as_baseline(baseline), link).join(loads, ["run_id", "ts"], "left")
+
 
-    With ``bin_minutes`` the result also has the time ``bin`` of each interval,
-    and both sides are placed by (run, bin) where the session lets the join use
-    that. Means per run and bin then need no further exchange.
+def binned_shed(baseline: DataFrame, scenario: DataFrame, link: DataFrame, step_minutes: int = 60) -> DataFrame:
+    """Means per run and time bin of what :func:`pair_with_baseline` and :func:`add_shed` give.
+
+    The intervals of a baseline within a bin are gathered (as many as a bin has
+    intervals) and scenario rows look their own time up there. They are placed by
+    (baseline, bin) for that and averaged where they are. Only the baseline's
+    means, a row per bin, are copied per scenario, for the bins without scenario rows.
     """
-    base = baseline.select(
-        F.col("run_id").alias("baseline_id"), "ts", "oat_f", F.col("bldg_kw").alias("base_kw")
+    base = _as_baseline(baseline).withColumn("bin", bin_start("ts", step_minutes))
+    bins = base.groupBy("baseline_id", "bin").agg(
+        F.collect_list(F.struct("ts", "base_kw")).alias("_intervals"),
+        F.avg("oat_f").alias("oat_f"), F.avg("base_kw").alias("base_kw"),
+    )
+    loads = scenario.select("run_id", "ts", F.col("bldg_kw").alias("scenario_kw")).join(
+        link.select("run_id", "baseline_id", "floor_area"), "run_id"
+    )
+    intervals = F.filter("_intervals", lambda interval: interval["ts"] == F.col("ts"))
+    met = (
+        loads.withColumn("bin", bin_start("ts", step_minutes))
+        .join(bins.select("baseline_id", "bin", "_intervals").hint("merge"), ["baseline_id", "bin"])
+        .select("run_id", "baseline_id", "bin", "floor_area", "scenario_kw", F.inline(intervals))
+    )
+    means = add_shed(met).groupBy("baseline_id", "bin", "run_id").agg(
+        *(F.avg(c).alias(c) for c in ("scenario_kw", "shed_pct", "shed_w_ft2"))
+    )
+    kept = with_each_scenario(bins.drop("_intervals"), link, "bin").drop("floor_area")
+    return kept.join(means.hint("merge"), ["baseline_id", "bin", "run_id"], "left").select(
+        "run_id", F.col("bin").alias("ts"), "oat_f", "base_kw", "scenario_kw", "shed_pct", "shed_w_ft2"
     )
-    links = link.select("run_id", "baseline_id", "floor_area")
-    if spark_may_broadcast(links):
-        copies = base.join(links, "baseline_id")
-    else:
-        group = F.pmod(F.xxhash64("ts"), F.lit(spread)).cast("int")
-        repeated = links.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-        copies = (
-            base.withColumn("_spread", group)
-            .join(repeated.hint("merge"), ["baseline_id", "_spread"]).drop("_spread")
-        )
-    loads = scenario.select("run_id", "ts", F.col("bldg_kw").alias("scenario_kw"))
-    keys = ["run_id", "ts"]
-    if bin_minutes:
-        keys.append("bin")
-        copies = copies.withColumn("bin", bin_start("ts", bin_minutes))
-        loads = loads.withColumn("bin", bin_start("ts", bin_minutes))
-        if _may_share_exchange(base):
-            copies, loads = copies.repartition("run_id", "bin"), loads.repartition("run_id", "bin")
-    return copies.join(loads, keys, "left")
 
 
 def add_shed(paired: DataFrame) -> DataFrame:
@@ -87,11 +106,6 @@ def add_shed(paired: DataFrame) -> DataFrame:
     )
 
 
-def mean_per_bin(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Means per run and ``bin``, which becomes the time."""
-    return df.groupBy(*keys, F.col("bin").alias("ts")).agg(*(F.avg(c).alias(c) for c in columns))
-
-
 def resample_mean(
     df: DataFrame,
     columns: Sequence[str],

@@ -5,34 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def spark_may_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate puts a table under its broadcast limit.
-
-    Asked before a table is unfolded: afterwards the estimate no longer covers
-    the rows that unfolding adds.
-    """
-    if not hasattr(df, "_jdf"):  # remote sessions do not tell
-        return False
-    plan = df._jdf.queryExecution()
-    estimate = int(str(plan.optimizedPlan().stats().sizeInBytes()))
-    return estimate <= plan.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+from demandloom.session import shuffle_width
 
 
 def _block(df: DataFrame, blocks: int):
     return F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
 
 
-def pair_all(left: DataFrame, right: DataFrame, left_blocks: int = 16, right_blocks: int = 4) -> DataFrame:
+def pair_all(left: DataFrame, right: DataFrame, left_blocks: int | None = None, right_blocks: int = 4) -> DataFrame:
     """Every row of ``left`` with every row of ``right``.
 
     The work is cut into ``left_blocks x right_blocks`` tiles. A left row goes
     to one tile row and is copied along it, a right row to one tile column, and
     the two meet in an equi-join on the tile, so no side has to fit in one task.
-    Spark may broadcast a side only if that was under the limit before it was
-    copied, which bounds it by the limit times the number of copies.
+    ``left_blocks`` defaults to the session's number of shuffle partitions, so
+    there are tiles for all of them whatever the sizes; give the larger table as
+    ``left``, the rows of the other one are copied more often.
     """
-    may_broadcast = spark_may_broadcast(left) or spark_may_broadcast(right)
+    left_blocks = left_blocks or shuffle_width(left.sparkSession)
     tiled_left = left.withColumns(
         {
             "_tile_row": _block(left, left_blocks),
@@ -45,6 +35,5 @@ def pair_all(left: DataFrame, right: DataFrame, left_blocks: int = 16, right_blo
             "_tile_row": F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))),
         }
     )
-    if not may_broadcast:
-        tiled_right = tiled_right.hint("merge")
-    return tiled_left.join(tiled_right, ["_tile_row", "_tile_col"]).drop("_tile_row", "_tile_col")
+    # Sizes are not known for unfolded rows, so neither side is offered for broadcast.
+    return tiled_left.join(tiled_right.hint("merge"), ["_tile_row", "_tile_col"]).drop("_tile_row", "_tile_col")

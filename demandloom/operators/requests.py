@@ -8,14 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def match_reporting_schedule(requests: DataFrame, schedules: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Requests with ``added``: false where a named reporting schedule does not exist."""
-    known = schedules.select(
-        *keys, F.col("name").alias("reporting_schedule"), F.lit(True).alias("_known")
-    ).distinct()
-    return requests.join(known, [*keys, "reporting_schedule"], "left").withColumn(
-        "added", F.col("reporting_schedule").isNull() | F.coalesce("_known", F.lit(False))
-    ).drop("_known")
+# --- fixed values: the reporting schedule that is made where a request names it ---
+THREE_DAYS_PER_MONTH = "reporting_schedule_3_days_per_month"
+
+
+def match_reporting_schedule(
+    requests: DataFrame, schedules: DataFrame, keys: Sequence[str] = ("model_id",)
+) -> DataFrame:
+    """Requests with ``added``: false where a named reporting schedule does not exist in the model.
+
+    :data:`THREE_DAYS_PER_MONTH` always exists, its days are those of
+    ``schedule.reporting_calendar``. Requests without a schedule, the common
+    case, go around the join, where they would all meet.
+    """
+    name = F.col("reporting_schedule")
+    needs_none = F.coalesce(name == THREE_DAYS_PER_MONTH, F.lit(True))
+    known = schedules.select(*keys, F.col("name").alias("reporting_schedule"), F.lit(True).alias("_known")).distinct()
+    named = requests.where(~needs_none).join(known, [*keys, "reporting_schedule"], "left")
+    named = named.withColumn("added", F.coalesce("_known", F.lit(False))).drop("_known")
+    return requests.where(needs_none).withColumn("added", F.lit(True)).unionByName(named)
 
 
 def request_counts(matched: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:

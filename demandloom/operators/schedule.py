@@ -389,10 +389,16 @@ def clones(users: DataFrame, column: str, suffix: Column, keys: Sequence[str] =
     )
 
 
-def without_schedule(users: DataFrame, schedules: DataFrame, column: str) -> DataFrame:
-    """Users whose schedule is missing or unknown."""
-    known = schedules.select(F.col("schedule_id").alias(column))
-    return users.join(known, column, "left_anti")
+def without_schedule(
+    users: DataFrame, schedules: DataFrame, column: str, keys: Sequence[str] = ("model_id",)
+) -> DataFrame:
+    """Users whose schedule is missing or unknown in their model.
+
+    Users without a schedule go around the join, where they would all meet.
+    """
+    known = schedules.select(*keys, F.col("schedule_id").alias(column))
+    named = users.where(F.col(column).isNotNull()).join(known, [*keys, column], "left_anti")
+    return users.where(F.col(column).isNull()).unionByName(named)
 
 
 def unconditioned_thermostats(thermostats: DataFrame, equipment: DataFrame) -> DataFrame:

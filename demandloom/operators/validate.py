@@ -112,15 +112,23 @@ def check_insulation(df: DataFrame, percent: str = "percent") -> DataFrame:
 
 
 def check_ranges(arguments: DataFrame, rules: DataFrame) -> DataFrame:
-    """Arguments in long form against ``param, low, high, low_inclusive, high_inclusive, default_value``."""
-    v = F.coalesce(F.col("value").try_cast("double"), F.col("default_value"))
+    """Arguments in long form against ``param, low, high, low_inclusive, high_inclusive, default_value``.
+
+    The default stands in for a missing value; a value that is no number is an
+    error. An argument without a rule is ok.
+    """
+    given = F.col("value").try_cast("double")
+    v = F.when(F.col("value").isNull(), F.col("default_value")).otherwise(given)
     too_low = F.when(F.col("low_inclusive"), v < F.col("low")).otherwise(v <= F.col("low"))
     too_high = F.when(F.col("high_inclusive"), v > F.col("high")).otherwise(v >= F.col("high"))
     return with_status(
-        arguments.join(rules, "param"),
+        arguments.join(rules.withColumn("_ruled", F.lit(True)), "param", "left"),
+        finding(
+            F.col("_ruled") & F.col("value").isNotNull() & given.isNull(), "error", F.concat(F.col("param"), F.lit(" is no number"))
+        ),
         finding(F.coalesce(too_low, F.lit(False)), "error", F.concat(F.col("param"), F.lit(" too low"))),
         finding(F.coalesce(too_high, F.lit(False)), "error", F.concat(F.col("param"), F.lit(" too high"))),
-    )
+    ).drop("_ruled")
 
 
 def choice_table(spark) -> DataFrame:
@@ -197,7 +205,7 @@ def typed_arguments(df: DataFrame, types: Mapping[str, tuple[str, object]]) -> D
 
 
 def change_report(old: DataFrame, new: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Old and new value of each parameter per model, in long form."""
+    """Old and new value of each parameter per model, in long form; NULL where a model is on one side only."""
     before = old.select(*keys, *(F.col(c).cast("string").alias("_old_" + c) for c in columns))
     after = new.select(*keys, *(F.col(c).cast("string").alias("_new_" + c) for c in columns))
     entries = [
@@ -206,4 +214,4 @@ def change_report(old: DataFrame, new: DataFrame, columns: Sequence[str], keys:
         )
         for c in columns
     ]
-    return before.join(after, list(keys)).select(*keys, F.inline(F.array(*entries)))
+    return before.join(after, list(keys), "full").select(*keys, F.inline(F.array(*entries)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +85,19 @@ STEP_KINDS: dict[str, Callable[[], Column]] = {
 }
 
 
+def dispatch_steps(rows: DataFrame, builders: Mapping[str, Column], kind: str = "measure") -> DataFrame:
+    """The ``step`` of each row, by its ``kind`` and the built column of that kind.
+
+    ``builders`` holds those of :data:`STEP_KINDS` that occur, over the columns of
+    ``rows``. A row without a kind, or of another one, has no step; its ``error`` tells
+    why, one that is there already stays.
+    """
+    made = F.coalesce(*(F.when(F.col(kind) == name, built) for name, built in builders.items()))
+    known = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    unknown = F.when(F.col("step").isNull(), F.concat(F.lit("no step of kind "), F.coalesce(F.col(kind), F.lit("?"))))
+    return rows.withColumn("step", made).withColumn("error", F.coalesce(known, unknown))
+
+
 def event_cases(models: DataFrame, events: DataFrame) -> DataFrame:
     """Every base model with every thermostat event, with its ordered steps.
 
@@ -99,22 +112,17 @@ def event_cases(models: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def running_event_steps(cases: DataFrame, order: str = "event_pos") -> DataFrame:
-    """Steps as they pile up over the events of one base model, in event order.
+    """How many steps a case carries when those of earlier events are not taken out again.
 
-    Reproduces documents written without a fresh copy per event: case ``k``
-    carries the event steps of cases 1..k. Its output grows with the square of
-    the number of events per model; use it for comparison only.
+    Documents written without a fresh copy per event pile up: case ``k`` has the two
+    model steps and the two event steps of cases 1..k. ``n_steps`` is that number and
+    ``last_step_pos`` where the last one stands; the piled-up steps are those of the
+    cases up to ``k`` in event order, which a join on the model gives where they
+    are wanted.
     """
-    so_far = (
-        Window.partitionBy("BaseModelId")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    event_part = F.slice(F.col("steps"), 3, 2)
-    return cases.withColumn(
-        "steps",
-        F.concat(F.slice("steps", 1, 2), F.flatten(F.collect_list(event_part).over(so_far))),
-    )
+    nth = F.row_number().over(Window.partitionBy("BaseModelId").orderBy(order))
+    steps = (2 + 2 * nth).cast("int")
+    return cases.withColumns({"n_steps": steps, "last_step_pos": steps - 1})
 
 
 def explode_steps(cases: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -137,14 +145,19 @@ def assemble_steps(
     A case has one step per design column and appended request, so the array
     is as long as a document has steps.
     """
-    ordered = F.sort_array(
-        F.collect_list(F.struct(F.col(pos).alias("pos"), F.to_json(step_col).alias("body")))
-    )
-    shape = "struct<measure_dir_name:string,arguments:map<string,string>>"
-    return steps.groupBy(*keys).agg(
-        F.transform(ordered, lambda s: F.from_json(s["body"], shape)).alias("steps")
+    entries = F.transform(F.map_entries(F.col(f"{step_col}.arguments")), lambda e: F.struct(e["key"], e["value"]))
+    listed = F.struct(
+        F.col(pos).alias("pos"), F.col(f"{step_col}.measure_dir_name").alias("measure"), entries.alias("entries")
     )
 
+    def rebuilt(part: Column) -> Column:
+        return F.struct(
+            part["measure"].alias("measure_dir_name"), F.map_from_entries(part["entries"]).alias("arguments")
+        )
+
+    ordered = F.sort_array(F.collect_list(listed))
+    return steps.groupBy(*keys).agg(F.transform(ordered, rebuilt).alias("steps"))
+
 
 def append_steps(parts: Sequence[DataFrame], keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """Steps of several sources behind each other, in the order given."""
@@ -181,15 +194,15 @@ def documents(
     return cases.select(case, F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
 
 
-def seed_models(model_lists: DataFrame) -> DataFrame:
-    """Seed id of each model of a step list (``model_no, step_pos, step``)."""
+def seed_models(model_lists: DataFrame, keys: Sequence[str] = ("file", "model_no")) -> DataFrame:
+    """Seed id of each model of a step list (``file, model_no, step_pos, step``); files number their own models."""
     proto = F.when(F.col("step.measure_dir_name") == K.STEP_PROTOTYPE, F.col("step.arguments"))
     last = F.max_by(proto, F.when(proto.isNotNull(), F.col("step_pos")))
     return (
-        model_lists.groupBy("model_no")
+        model_lists.groupBy(*keys)
         .agg(last.alias("_args"), F.count(F.lit(1)).alias("n_steps"))
         .select(
-            "model_no",
+            *keys,
             seed_id(
                 F.col("_args")["building_type"], F.col("_args")["template"], F.col("_args")["climate_zone"]
             ).alias("seed_id"),

@@ -34,7 +34,9 @@ def used_space_types(space_types: DataFrame, spaces: DataFrame) -> DataFrame:
 def space_type_standards(spaces: DataFrame, space_types: DataFrame) -> DataFrame:
     """Standards building and space type of each space; NULL where none is given."""
     info = space_types.select("model_id", "space_type", "standards_building", "standards_space_type")
-    return spaces.join(info, ["model_id", "space_type"], "left")
+    typed = spaces.where(F.col("space_type").isNotNull()).join(info, ["model_id", "space_type"], "left")
+    # Spaces without a type would all meet in one task of the join.
+    return typed.unionByName(spaces.where(F.col("space_type").isNull()), allowMissingColumns=True)
 
 
 def untyped_zones(spaces: DataFrame, zones: DataFrame) -> DataFrame:
@@ -145,11 +147,15 @@ def hard_assigned_schedules(loads: DataFrame, keys: Sequence[str] = ("model_id",
 
 
 def lights_with_schedule(lights: DataFrame, schedules: DataFrame) -> DataFrame:
-    """Lights of each space type with their schedule; none is reported."""
-    known = schedules.select("model_id", "schedule_id", F.lit(True).alias("_known"))
-    return lights.join(known, ["model_id", "schedule_id"], "left").withColumn(
+    """Lights of each space type with their schedule; none is reported.
+
+    Lights without a schedule go around the join, where they would all meet.
+    """
+    known = schedules.select("model_id", "schedule_id", F.lit(True).alias("_known")).distinct()
+    named = lights.where(F.col("schedule_id").isNotNull()).join(known, ["model_id", "schedule_id"], "left").withColumn(
         "status", F.when(F.col("_known"), "ok").otherwise("no schedule")
     ).drop("_known")
+    return lights.where(F.col("schedule_id").isNull()).withColumn("status", F.lit("no schedule")).unionByName(named)
 
 
 def climate_zone_number(zone: Column) -> Column:

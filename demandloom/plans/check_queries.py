@@ -129,15 +129,17 @@ def insulation_checks(spark, sf_dir):
 RANGE_RULES = [
     ("c_acctbal", 0.0, 9000.0, True, False, None),
     ("c_nationkey", 0.0, 20.0, False, True, None),
+    ("c_phone", 0.0, 1.0, True, True, 0.5),
 ]
 
 
 @query(
     "range_checks",
-    """WITH a AS (SELECT c_custkey, param, v FROM customer, LATERAL (VALUES ('c_acctbal', c_acctbal), ('c_nationkey', c_nationkey * 1e0)) x(param, v))
+    """WITH a AS (SELECT c_custkey, param, v FROM customer, LATERAL (VALUES ('c_acctbal', c_acctbal), ('c_nationkey', c_nationkey * 1e0),
+  ('c_mktsegment', NULL), ('c_phone', NULL)) x(param, v))
 SELECT c_custkey, param, CASE WHEN bad = '' THEN 'ok' ELSE 'error' END AS status, bad AS messages FROM (
 SELECT c_custkey, param, CASE WHEN param = 'c_acctbal' AND v < 0 THEN 'c_acctbal too low' WHEN param = 'c_acctbal' AND v >= 9000 THEN 'c_acctbal too high'
-WHEN param = 'c_nationkey' AND v <= 0 THEN 'c_nationkey too low' WHEN param = 'c_nationkey' AND v > 20 THEN 'c_nationkey too high' ELSE '' END AS bad FROM a)""",
+WHEN param = 'c_phone' THEN 'c_phone is no number' WHEN param = 'c_nationkey' AND v <= 0 THEN 'c_nationkey too low' WHEN param = 'c_nationkey' AND v > 20 THEN 'c_nationkey too high' ELSE '' END AS bad FROM a)""",
 )
 def range_checks(spark, sf_dir):
     from demandloom.operators.design import design_long
@@ -147,7 +149,9 @@ def range_checks(spark, sf_dir):
         RANGE_RULES,
         "param string, low double, high double, low_inclusive boolean, high_inclusive boolean, default_value double",
     )
-    customer = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    customer = inputs.table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment", F.concat(F.lit("no. "), F.col("c_custkey")).alias("c_phone")
+    )
     arguments = design_long(customer, "c_custkey")
     return shown(validate.check_ranges(arguments, rules), "c_custkey", "param")
 
@@ -244,13 +248,17 @@ def typed_arguments(spark, sf_dir):
 
 @query(
     "change_report",
-    """SELECT p_partkey AS model_id, param, old_value, new_value FROM part, LATERAL (VALUES
-('p_size', CAST(p_size AS VARCHAR), CAST(p_size + 2 AS VARCHAR)), ('p_brand', p_brand, upper(p_brand))) v(param, old_value, new_value)""",
+    """WITH o AS (SELECT p_partkey AS model_id, CAST(p_size AS VARCHAR) AS s, p_brand AS b FROM part WHERE p_partkey % 7 > 0),
+n AS (SELECT p_partkey AS model_id, CAST(p_size + 2 AS VARCHAR) AS s2, upper(p_brand) AS b2 FROM part WHERE p_partkey % 5 > 0),
+j AS (SELECT * FROM o FULL JOIN n USING (model_id))
+SELECT model_id, 'p_size' AS param, s AS old_value, s2 AS new_value FROM j UNION ALL SELECT model_id, 'p_brand', b, b2 FROM j""",
 )
 def change_report(spark, sf_dir):
     old = inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("model_id"), "p_size", "p_brand")
-    new = old.select("model_id", (F.col("p_size") + 2).alias("p_size"), F.upper("p_brand").alias("p_brand"))
-    return validate.change_report(old, new, ["p_size", "p_brand"])
+    new = old.where(F.col("model_id") % 5 > 0).select(
+        "model_id", (F.col("p_size") + 2).alias("p_size"), F.upper("p_brand").alias("p_brand")
+    )
+    return validate.change_report(old.where(F.col("model_id") % 7 > 0), new, ["p_size", "p_brand"])
 
 
 # --- requests and results --------------------------------------------------
@@ -261,13 +269,13 @@ def output_requests(spark, sf_dir):
     return inputs.table(spark, sf_dir, "part").select(
         (size % 5).alias("model_id"), "p_partkey",
         F.when(size % 4 > 0, F.concat(F.col("p_brand"), F.lit(" , "), F.col("p_type"))).alias("key"),
-        F.when(size % 3 == 0, F.col("p_type")).alias("reporting_schedule"),
+        F.when(size % 9 == 0, requests.THREE_DAYS_PER_MONTH).when(size % 3 == 0, F.col("p_type")).alias("reporting_schedule"),
     )
 
 
 REQUEST_SQL = """
 r AS (SELECT p_size % 5 AS model_id, p_partkey, unnest(CASE WHEN p_size % 4 > 0 THEN [p_brand, p_type] ELSE [NULL] END) AS key,
-  CASE WHEN p_size % 3 = 0 THEN p_type END AS sched FROM part)"""
+  CASE WHEN p_size % 9 = 0 THEN 'reporting_schedule_3_days_per_month' WHEN p_size % 3 = 0 THEN p_type END AS sched FROM part)"""
 
 
 @query(
@@ -281,11 +289,14 @@ def request_keys(spark, sf_dir):
 
 @query(
     "request_counts",
-    f"WITH {REQUEST_SQL} SELECT model_id, count(*) AS n_requested, count(*) FILTER (sched IS NULL OR sched IN "
-    "(SELECT p_type FROM part WHERE p_size = 50)) AS n_added FROM r GROUP BY 1",
+    f"WITH {REQUEST_SQL} SELECT model_id, count(*) AS n_requested, count(*) FILTER (sched IS NULL OR "
+    "sched = 'reporting_schedule_3_days_per_month' OR (model_id, sched) IN "
+    "(SELECT (p_size % 5, p_type) FROM part WHERE p_size > 45)) AS n_added FROM r GROUP BY 1",
 )
 def request_counts(spark, sf_dir):
-    schedules = inputs.table(spark, sf_dir, "part").where(F.col("p_size") == 50).select(F.col("p_type").alias("name"))
+    schedules = inputs.table(spark, sf_dir, "part").where(F.col("p_size") > 45).select(
+        (F.col("p_size") % 5).alias("model_id"), F.col("p_type").alias("name")
+    )
     matched = requests.match_reporting_schedule(explode_keys(output_requests(spark, sf_dir)), schedules)
     return requests.request_counts(matched)
 

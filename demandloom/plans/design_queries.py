@@ -79,17 +79,12 @@ def case_steps(spark, sf_dir):
     "case_steps_running",
     f"""WITH {CASES_SQL}
 SELECT case_id, 2 + 2 * CAST(row_number() OVER w AS INTEGER) AS n_steps,
-       string_agg((-(k % 5)) || '/' || (k % 6), '/') OVER w AS adjustments
+       1 + 2 * CAST(row_number() OVER w AS INTEGER) AS last_step_pos
 FROM cases WINDOW w AS (PARTITION BY s_name ORDER BY k)""",
 )
 def case_steps_running(spark, sf_dir):
     cases = workflow.event_cases(base_models(spark, sf_dir), events(spark, sf_dir))
-    grown = workflow.running_event_steps(cases)
-    cooling = F.transform("steps", lambda s: s["arguments"]["cooling_adjustment"])
-    return grown.select(
-        "case_id", F.size("steps").alias("n_steps"),
-        F.array_join(F.filter(cooling, lambda c: c.isNotNull()), "/").alias("adjustments"),
-    )
+    return workflow.running_event_steps(cases).select("case_id", "n_steps", "last_step_pos")
 
 
 @query(
@@ -209,13 +204,13 @@ def grid_codes(spark, sf_dir):
     "baseline_match",
     """WITH c AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS case_id, l_suppkey AS model_id,
-         70 + l_linenumber AS hvac_tstat, month(l_shipdate) + 6 AS event_start,
+         70 + l_linenumber AS hvac_tstat, month(l_shipdate) + 6 AS event_start, l_linestatus AS event_hours,
          CAST(round(l_discount * 100) AS INTEGER) % 3 AS precool_deg,
          CAST(round(l_tax * 100) AS INTEGER) % 3 AS reset_deg FROM lineitem),
-b AS (SELECT model_id, hvac_tstat, event_start, min(case_id) AS baseline_id FROM c
-      WHERE precool_deg = 0 AND reset_deg = 0 GROUP BY 1, 2, 3)
+b AS (SELECT model_id, hvac_tstat, event_start, event_hours, min(case_id) AS baseline_id FROM c
+      WHERE precool_deg = 0 AND reset_deg = 0 GROUP BY 1, 2, 3, 4)
 SELECT case_id, precool_deg, reset_deg, coalesce(baseline_id, 'none') AS baseline_id
-FROM c LEFT JOIN b USING (model_id, hvac_tstat, event_start)""",
+FROM c LEFT JOIN b USING (model_id, hvac_tstat, event_start, event_hours)""",
 )
 def baseline_match(spark, sf_dir):
     cases = inputs.table(spark, sf_dir, "lineitem").select(
@@ -223,20 +218,22 @@ def baseline_match(spark, sf_dir):
         F.col("l_suppkey").alias("model_id"),
         (F.col("l_linenumber") + 70).alias("hvac_tstat"),
         (F.month("l_shipdate") + 6).alias("event_start"),
+        F.col("l_linestatus").alias("event_hours"),
+        (F.col("l_linenumber") % 3).alias("precool_hours"),
         (F.round(F.col("l_discount") * 100).cast("int") % 3).alias("precool_deg"),
         (F.round(F.col("l_tax") * 100).cast("int") % 3).alias("reset_deg"),
     )
-    matched = design.match_baseline(cases, ("model_id", "hvac_tstat", "event_start"))
+    matched = design.match_baseline(cases)
     return matched.select(
         "case_id", "precool_deg", "reset_deg", F.coalesce("baseline_id", F.lit("none")).alias("baseline_id")
     )
 
 
-# Measure and argument of each design column; ``p_type`` is left out on purpose.
+# Measure and argument of each design column; ``p_type`` has none and is reported.
 LOOKUP = [
     ("p_brand", "prototype", "building_type"),
-    ("p_size", "wall", "r_value"),
-    ("p_retailprice", "cost", "price"),
+    ("p_size", "wall_r", "r_value"),
+    ("p_retailprice", "timestep", "price"),
 ]
 LOOKUP_SQL = "lookup(param, measure, argument) AS (VALUES " + ", ".join(str(r) for r in LOOKUP) + ")"
 LONG_SQL = """
@@ -257,8 +254,8 @@ def lookup(spark):
 
 @query(
     "design_lookup",
-    f"WITH {LOOKUP_SQL}, {LONG_SQL} SELECT case_no, CAST(param_pos AS INTEGER) AS param_pos, param, value, "
-    "measure, argument FROM long JOIN lookup USING (param)",
+    f"WITH {LOOKUP_SQL}, {LONG_SQL} SELECT case_no, CAST(param_pos AS INTEGER) AS param_pos, param, value, measure, argument, "
+    "CASE WHEN measure IS NULL THEN 'no description for ' || param END AS error FROM long LEFT JOIN lookup USING (param)",
 )
 def design_lookup(spark, sf_dir):
     return design.join_lookup(part_design(spark, sf_dir), lookup(spark))
@@ -275,47 +272,48 @@ def design_missing(spark, sf_dir):
 
 @query(
     "design_steps",
-    f"""WITH {LOOKUP_SQL}, {LONG_SQL},
-s AS (SELECT case_no, 0 AS src, param_pos, measure, argument, value FROM long JOIN lookup USING (param)
-      UNION ALL SELECT p_partkey, 1, 0, 'AddOutputVariable', 'variable_name', 'Site Outdoor Air Drybulb Temperature' FROM part)
-SELECT 'part_Inst_' || case_no AS run, CAST(row_number() OVER (PARTITION BY case_no ORDER BY src, param_pos) - 1 AS INTEGER) AS step_pos,
-measure, argument, value FROM s""",
+    """WITH a(pos, measure, argument, p) AS (VALUES (0, 'CreateDOEPrototypeBuilding', 'building_type', 0), (0, 'CreateDOEPrototypeBuilding', 'template', 1),
+(0, 'CreateDOEPrototypeBuilding', 'climate_zone', 2), (1, 'IncreaseWallRValue', 'r_value', 3), (2, 'AddOutputVariable', 'variable_name', 4),
+(2, 'AddOutputVariable', 'reporting_frequency', 5))
+SELECT 'part_Inst_' || p_partkey AS run, 'no description for p_type' AS errors, pos AS step_pos, measure, argument,
+[p_brand, 'building_type', 'p_brand', CAST(p_size AS VARCHAR), 'Site Outdoor Air Drybulb Temperature', 'timestep'][p + 1] AS value FROM part, a""",
 )
 def design_steps(spark, sf_dir):
     from demandloom.functions.naming import instance_name
 
+    builders = {
+        "prototype": workflow.STEP_KINDS["prototype"]("value", "argument", "param"),
+        "wall_r": workflow.STEP_KINDS["wall_r"]("value"),
+    }
     described = design.join_lookup(part_design(spark, sf_dir), lookup(spark))
-    steps = described.select(
-        "case_no", F.col("param_pos").alias("pos"),
-        F.struct(
-            F.col("measure").alias("measure_dir_name"),
-            F.create_map("argument", "value").alias("arguments"),
-        ).alias("step"),
-    )
+    built = workflow.dispatch_steps(described, builders).withColumn("pos", F.col("param_pos"))
     outdoor = inputs.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("case_no"), F.lit(0).alias("pos"),
-        workflow.step(K.STEP_OUTPUT_VARIABLE, variable_name=F.lit(K.OUTDOOR_TEMPERATURE)).alias("step"),
-    )
-    cases = workflow.assemble_steps(workflow.append_steps([steps, outdoor], ["case_no"]), ["case_no"])
-    named = cases.withColumn("run", instance_name(F.lit("part"), F.col("case_no")))
-    return workflow.explode_steps(named, ["run"])
+        F.lit(K.OUTDOOR_TEMPERATURE).alias("variable_name"), F.lit("timestep").alias("reporting_frequency"),
+    ).withColumn("step", workflow.STEP_KINDS["output_variable"]())
+    parts = [built.where(F.col("step").isNotNull()), outdoor]
+    cases = workflow.assemble_steps(workflow.append_steps(parts, ["case_no"]), ["case_no"])
+    errors = built.groupBy("case_no").agg(F.array_join(F.sort_array(F.collect_list("error")), "; ").alias("errors"))
+    named = cases.join(errors, "case_no", "left").withColumn("run", instance_name(F.lit("part"), F.col("case_no")))
+    return workflow.explode_steps(named, ["run", "errors"])
 
 
 @query(
     "seed_ids",
-    """SELECT s_suppkey AS model_no, s_name || '-' || (s_nationkey + 1980) || '-' || s_nationkey || 'B' AS seed_id,
+    """SELECT 'list' || s_suppkey % 10 AS file, s_suppkey // 10 AS model_no, s_name || '-' || (s_nationkey + 1980) || '-' || s_nationkey || 'B' AS seed_id,
 CAST(2 AS BIGINT) AS n_steps FROM supplier""",
 )
 def seed_ids(spark, sf_dir):
     models = inputs.table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("model_no"),
+        F.concat(F.lit("list"), (F.col("s_suppkey") % 10).cast("string")).alias("file"),
+        F.floor(F.col("s_suppkey") / 10).alias("model_no"),
         F.col("s_name").alias("bldg_type"),
         text("DOE Ref ", (F.col("s_nationkey") + 1980).cast("string")).alias("bldg_vintage"),
         text("ASHRAE 169-2006-", F.col("s_nationkey").cast("string"), "B").alias("climate_zone"),
         F.col("s_acctbal").alias("WallRValue"),
     )
     steps = models.select(
-        "model_no",
+        "file", "model_no",
         F.posexplode(F.array(workflow.prototype_step(), workflow.wall_r_step())).alias("step_pos", "step"),
     )
     return workflow.seed_models(steps)

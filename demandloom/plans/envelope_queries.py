@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from demandloom.functions.units import neat_number, neat_with_unit, solar_reflectance_index
@@ -11,14 +12,14 @@ from demandloom.plans.registry import query
 
 LAYER_SQL = """
 lay AS (
-  SELECT l_orderkey % 10 AS model_id, l_orderkey AS construction_id, CAST(l_linenumber - 1 AS INTEGER) AS layer_index,
+  SELECT l_orderkey % 10 AS model_id, l_orderkey AS construction_id,
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+           l_extendedprice, l_discount, l_tax, l_returnflag) - 1 AS INTEGER) AS layer_index,
          'mat' || l_partkey AS material_id,
          CASE l_returnflag WHEN 'A' THEN 'massive' WHEN 'N' THEN 'massless' ELSE 'airgap' END AS kind,
          (l_partkey % 20 + 1) / 100e0 AS thickness, l_quantity / 10 AS r_value,
          l_discount + 0.5e0 AS solar_abs, l_tax + 0.8e0 AS thermal_abs
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-          ORDER BY l_quantity DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem)
-  WHERE rn = 1)"""
+  FROM lineitem)"""
 
 SURFACE_SQL = """
 surf AS (
@@ -29,24 +30,21 @@ surf AS (
 
 
 def layers(spark, sf_dir):
-    """Order as construction, line number as layer, quantity as resistance."""
-    row = F.max(
-        F.struct(
-            "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_discount", "l_tax"
-        )
-    ).alias("r")
-    top = inputs.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(row)
-    return top.select(
+    """Order as construction, each of its lines as a layer, quantity as resistance."""
+    order = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
+    )
+    flag = F.col("l_returnflag")
+    return inputs.table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") % 10).alias("model_id"),
         F.col("l_orderkey").alias("construction_id"),
-        (F.col("l_linenumber") - 1).alias("layer_index"),
-        F.concat(F.lit("mat"), F.col("r.l_partkey").cast("string")).alias("material_id"),
-        F.when(F.col("r.l_returnflag") == "A", "massive")
-        .when(F.col("r.l_returnflag") == "N", "massless").otherwise("airgap").alias("kind"),
-        ((F.col("r.l_partkey") % 20 + 1) / 100.0).alias("thickness"),
-        (F.col("r.l_quantity") / 10).alias("r_value"),
-        (F.col("r.l_discount") + 0.5).alias("solar_abs"),
-        (F.col("r.l_tax") + 0.8).alias("thermal_abs"),
+        (F.row_number().over(order) - 1).alias("layer_index"),
+        F.concat(F.lit("mat"), F.col("l_partkey").cast("string")).alias("material_id"),
+        F.when(flag == "A", "massive").when(flag == "N", "massless").otherwise("airgap").alias("kind"),
+        ((F.col("l_partkey") % 20 + 1) / 100.0).alias("thickness"),
+        (F.col("l_quantity") / 10).alias("r_value"),
+        (F.col("l_discount") + 0.5).alias("solar_abs"),
+        (F.col("l_tax") + 0.8).alias("thermal_abs"),
     )
 
 

@@ -17,6 +17,12 @@ from demandloom.session import scratch_dir
 from demandloom.sources import readers, writers
 
 
+def text_files(texts, path, name):
+    """One file per row with its ``value``, below a folder named after the row."""
+    texts.select(name, "value").write.partitionBy(name).text(path)
+    return f"{path}/*"
+
+
 def write_csv(df, path):
     df.write.option("header", True).csv(path)
 
@@ -99,40 +105,82 @@ def params_csv_files(spark, sf_dir):
     return readers.read_params(spark, path, schemas.BASE_MODEL_NAMES)
 
 
-@query("params_json_texts", BASE_MODEL_SQL)
-def params_json_texts(spark, sf_dir):
+def cut_off(broken, text):
+    """The text, or its first half where it is broken."""
+    return F.when(broken, F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).otherwise(text)
+
+
+PARAMS_JSON_SQL = """SELECT s_suppkey, CASE WHEN ok THEN s_name END AS "BaseModelId", CASE WHEN ok THEN 'Type' || s_nationkey END AS bldg_type,
+CASE WHEN ok THEN 'DOE Ref ' || s_nationkey END AS bldg_vintage, CASE WHEN ok THEN 'ASHRAE 169-2006-' || s_nationkey END AS climate_zone,
+CASE WHEN ok THEN '4' END AS time_step, CASE WHEN ok THEN 'ok' ELSE 'unreadable' END AS status
+FROM (SELECT *, s_suppkey % 4 > 0 AS ok FROM supplier)"""
+
+
+def params_texts(spark, sf_dir):
     models = design_queries.base_models(spark, sf_dir)
-    texts = models.select(F.to_json(F.array(F.struct(*models.columns))).alias("value"))
-    return readers.parse_params_json(texts, schemas.BASE_MODEL_NAMES)
+    number = F.regexp_extract("BaseModelId", "([0-9]+)$", 1).cast("long")
+    text = F.to_json(F.array(F.struct(*models.columns)))
+    return models.select(number.alias("s_suppkey"), cut_off(number % 4 == 0, text).alias("value"))
 
 
-@query(
-    "model_list_texts",
-    """SELECT s_suppkey AS list_no, CAST(m AS INTEGER) AS model_no, CAST(pos AS INTEGER) AS step_pos, measure, argument, value
+@query("params_json_texts", PARAMS_JSON_SQL)
+def params_json_texts(spark, sf_dir):
+    return readers.parse_params_json(params_texts(spark, sf_dir), schemas.BASE_MODEL_NAMES, ["s_suppkey"])
+
+
+@query("params_json_files", PARAMS_JSON_SQL.replace("SELECT s_suppkey, ", "SELECT ", 1))
+def params_json_files(spark, sf_dir):
+    path = text_files(params_texts(spark, sf_dir), scratch_dir(spark, "params-json"), "s_suppkey")
+    return readers.read_params_json(spark, path, schemas.BASE_MODEL_NAMES).drop("file")
+
+
+MODEL_STEP_SQL = """SELECT s_suppkey AS list_no, CAST(m AS INTEGER) AS model_no, CAST(pos AS INTEGER) AS step_pos, measure, argument, value
 FROM supplier, LATERAL (VALUES (0, 0, 'SetTimestep', 'timestep', '4'), (0, 1, 'IncreaseWallRValue', 'r_value', CAST(s_nationkey AS VARCHAR)),
-(1, 0, 'SetTimestep', 'timestep', '4')) v(m, pos, measure, argument, value)""",
-)
-def model_list_texts(spark, sf_dir):
+(1, 0, 'SetTimestep', 'timestep', '4')) v(m, pos, measure, argument, value)"""
+
+MODEL_LIST_SQL = f"""SELECT *, 'ok' AS status FROM ({MODEL_STEP_SQL}) WHERE list_no % 5 > 1
+UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, NULL, CASE s_suppkey % 5 WHEN 0 THEN 'unreadable' ELSE 'no_steps' END
+FROM supplier WHERE s_suppkey % 5 < 2"""
+
+
+def model_lists(spark, sf_dir):
     timestep = workflow.step("SetTimestep", timestep=F.lit(4))
     wall = workflow.step("IncreaseWallRValue", r_value=F.col("s_nationkey"))
     lists = F.array(F.array(timestep, wall), F.array(timestep))
-    texts = inputs.table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("list_no"), F.to_json(lists).alias("value")
-    )
-    steps = readers.parse_model_list(texts, "list_no")
+    number = F.col("s_suppkey")
+    text = F.when(number % 5 == 1, "[]").otherwise(cut_off(number % 5 == 0, F.to_json(lists)))
+    return inputs.table(spark, sf_dir, "supplier").select(number.alias("list_no"), text.alias("value"))
+
+
+def listed_steps(steps, *keys):
     return steps.select(
-        "list_no", "model_no", "step_pos", F.col("step.measure_dir_name").alias("measure"),
-        F.explode("step.arguments").alias("argument", "value"),
+        *keys, "model_no", "step_pos", F.col("step.measure_dir_name").alias("measure"),
+        F.explode_outer("step.arguments").alias("argument", "value"), "status",
     )
 
 
-@query(
-    "workflow_result_texts",
-    """SELECT l_orderkey AS run, l_linenumber AS line, l_partkey AS part, CASE WHEN l_linestatus = 'O' THEN 'Success' ELSE 'Fail' END AS completed_status,
+@query("model_list_texts", MODEL_LIST_SQL)
+def model_list_texts(spark, sf_dir):
+    return listed_steps(readers.parse_model_list(model_lists(spark, sf_dir), "list_no"), "list_no")
+
+
+@query("model_list_files", f"SELECT * EXCLUDE (list_no) FROM ({MODEL_LIST_SQL})")
+def model_list_files(spark, sf_dir):
+    path = text_files(model_lists(spark, sf_dir), scratch_dir(spark, "model-lists"), "list_no")
+    return listed_steps(readers.read_model_list(spark, path))
+
+
+RESULT_SQL = """SELECT l_orderkey AS run, l_linenumber AS line, l_partkey AS part, CASE WHEN l_linestatus = 'O' THEN 'Success' ELSE 'Fail' END AS completed_status,
 CAST(pos AS INTEGER) AS step_pos, name, value FROM lineitem, LATERAL (VALUES (0, 'timestep', CAST(l_linenumber AS VARCHAR)),
-(1, 'flag', l_returnflag), (1, 'part', CAST(l_partkey AS VARCHAR))) v(pos, name, value)""",
-)
-def workflow_result_texts(spark, sf_dir):
+(1, 'flag', l_returnflag), (1, 'part', CAST(l_partkey AS VARCHAR))) v(pos, name, value)"""
+
+# Every ninth document broke off, every ninth failed before its first step.
+RESULT_STATUS_SQL = f"""SELECT *, 'ok' AS status FROM ({RESULT_SQL}) WHERE part % 9 > 1
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 9 WHEN 1 THEN 'Fail' END, NULL, NULL, NULL,
+CASE l_partkey % 9 WHEN 1 THEN 'no_steps' ELSE 'unreadable' END FROM lineitem WHERE l_partkey % 9 < 2"""
+
+
+def result_texts(spark, sf_dir):
     text = F.format_string(
         '{"completed_status": "%s", "steps": [{"measure_dir_name": "SetTimestep", "result": {"step_values": '
         '[{"name": "timestep", "value": %d}]}}, {"measure_dir_name": "Other", "result": {"step_values": '
@@ -140,14 +188,40 @@ def workflow_result_texts(spark, sf_dir):
         F.when(F.col("l_linestatus") == "O", "Success").otherwise("Fail"),
         "l_linenumber", "l_returnflag", "l_partkey",
     )
-    texts = inputs.table(spark, sf_dir, "lineitem").select(
+    part = F.col("l_partkey") % 9
+    text = F.when(part == 1, '{"completed_status": "Fail"}').when(part == 0, F.substring(text, 1, 70)).otherwise(text)
+    return inputs.table(spark, sf_dir, "lineitem").select(
         F.struct(
             F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")
         ).alias("id"),
         text.alias("value"),
     )
-    values = readers.parse_workflow_results(texts, "id")
-    return values.select("id.*", "completed_status", "step_pos", "name", "value")
+
+
+@query("workflow_result_texts", RESULT_STATUS_SQL)
+def workflow_result_texts(spark, sf_dir):
+    values = readers.parse_workflow_results(result_texts(spark, sf_dir), "id")
+    completed = F.when(F.col("status") != "unreadable", F.col("completed_status")).alias("completed_status")
+    return values.select("id.*", completed, "step_pos", "name", "value", "status")
+
+
+@query(
+    "workflow_result_files",
+    """WITH d AS (SELECT s_suppkey AS document, s_nationkey AS n FROM supplier)
+SELECT document, CASE WHEN document % 4 > 0 THEN 'Success' END AS completed_status, CASE WHEN document % 4 > 1 THEN CAST(n AS VARCHAR) END AS value,
+['unreadable', 'no_steps', 'ok', 'ok'][document % 4 + 1] AS status FROM d""",
+)
+def workflow_result_files(spark, sf_dir):
+    number = F.col("s_suppkey")
+    whole = F.format_string(
+        '{"completed_status": "Success", "steps": [{"measure_dir_name": "SetTimestep", '
+        '"result": {"step_values": [{"name": "timestep", "value": %d}]}}]}', "s_nationkey",
+    )
+    text = F.when(number % 4 == 1, '{"completed_status": "Success"}').when(number % 4 == 0, '{"completed').otherwise(whole)
+    texts = inputs.table(spark, sf_dir, "supplier").select(number.alias("n"), text.alias("value"))
+    values = readers.read_workflow_results(spark, text_files(texts, scratch_dir(spark, "results"), "n"))
+    document = F.regexp_extract("document", r"/n=(\d+)/", 1).cast("long").alias("document")
+    return values.select(document, "completed_status", "value", "status")
 
 
 @query(

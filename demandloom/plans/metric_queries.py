@@ -92,7 +92,8 @@ fit AS (
     "round(x_min, 6) AS x_min, round(x_max, 6) AS x_max FROM fit",
 )
 def shed_piecewise_fit(spark, sf_dir):
-    return metrics.piecewise_fit(hourly(spark, sf_dir)).select(
+    base, scen = inputs.baseline_and_scenarios(spark, sf_dir)
+    return studies.shed_fit_study(base, scen, inputs.link(spark), inputs.MONTHS).select(
         "run_id", "hour", "panel_hour", "segment", "n", r6("slope"),
         F.round("intercept", 4).alias("intercept"), r6("r2"), r6("x_min"), r6("x_max"),
     )
@@ -133,7 +134,8 @@ marked AS (
     "count(*) FILTER (NOT inside) AS n_outliers FROM marked GROUP BY 1, 2",
 )
 def shed_box_stats(spark, sf_dir):
-    box = metrics.box_stats(cells(spark, sf_dir))
+    base, scen = inputs.baseline_and_scenarios(spark, sf_dir)
+    box = studies.shed_box_study(base, scen, inputs.link(spark), inputs.MONTHS)
     return box.select(
         "run_id", "hour", "n_days", r6("mean"), r6("q1"), r6("median"), r6("q3"),
         r6("whisker_low"), r6("whisker_high"), "n_outliers",

@@ -490,13 +490,17 @@ def schedule_relinked(spark, sf_dir):
 @query(
     "thermostats_without_schedule",
     """SELECT l_suppkey AS model_id, l_orderkey AS zone_id, count(*) AS n FROM lineitem
-WHERE l_linenumber <= 1 OR l_returnflag || l_linenumber NOT IN (SELECT DISTINCT l_returnflag || l_linenumber FROM lineitem WHERE l_returnflag <> 'A')
+WHERE l_linenumber <= 1 OR (l_suppkey, l_returnflag || l_linenumber) NOT IN
+  (SELECT (l_suppkey, l_returnflag || l_linenumber) FROM lineitem WHERE l_returnflag <> 'A' AND l_linestatus = 'O')
 GROUP BY 1, 2""",
 )
 def thermostats_without_schedule(spark, sf_dir):
     schedules = (
-        inputs.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "A")
-        .select(F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("schedule_id")).distinct()
+        inputs.table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") != "A") & (F.col("l_linestatus") == "O"))
+        .select(
+            F.col("l_suppkey").alias("model_id"),
+            F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("schedule_id"),
+        ).distinct()
     )
     lost = schedule.without_schedule(thermostats(spark, sf_dir), schedules, "cooling")
     return lost.groupBy("model_id", "zone_id").agg(F.count(F.lit(1)).alias("n"))

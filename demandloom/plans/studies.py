@@ -11,15 +11,14 @@ from demandloom.operators import metrics
 
 
 def shed_intervals(
-    baseline: DataFrame, scenario: DataFrame, link: DataFrame, months: Sequence[int] = SUMMER_MONTHS,
-    bin_minutes: int | None = None,
+    baseline: DataFrame, scenario: DataFrame, link: DataFrame, months: Sequence[int] = SUMMER_MONTHS
 ) -> DataFrame:
     """Shed per interval on workdays of ``months``.
 
     Both sides carry the time, so both are cut down before they meet.
     """
     paired = metrics.pair_with_baseline(
-        select_workdays(baseline, months), select_workdays(scenario, months), link, bin_minutes=bin_minutes
+        select_workdays(baseline, months), select_workdays(scenario, months), link
     )
     return metrics.add_shed(paired)
 
@@ -28,8 +27,7 @@ def shed_hourly(
     baseline: DataFrame, scenario: DataFrame, link: DataFrame, months: Sequence[int] = SUMMER_MONTHS
 ) -> DataFrame:
     """Hourly means of the interval columns."""
-    columns = ["oat_f", "base_kw", "scenario_kw", "shed_pct", "shed_w_ft2"]
-    return metrics.mean_per_bin(shed_intervals(baseline, scenario, link, months, 60), columns)
+    return metrics.binned_shed(select_workdays(baseline, months), select_workdays(scenario, months), link)
 
 
 def shed_box_study(baseline, scenario, link, months=SUMMER_MONTHS, day: str = "calendar_day") -> DataFrame:

@@ -12,23 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Settings that matter for these plans: adaptive re-planning (partition
-# coalescing, skew-join splitting), a fixed zone because every timestamp here
-# is zone-less, and permission to reuse an exchange that is hashed on a subset
-# of the join keys.
+# coalescing, skew-join splitting) and a fixed zone because every timestamp here
+# is zone-less.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
 # Shuffle partitions aim at this size, small enough to sort in an executor's
-# share of memory; more of them than the limit cost more in bookkeeping.
+# share of memory.
 PARTITION_BYTES = 256 * 1024**2
-MOST_PARTITIONS = 60_000
 
 
 def sized_for(data_bytes: int) -> dict[str, str]:
@@ -37,7 +34,7 @@ def sized_for(data_bytes: int) -> dict[str, str]:
     Adaptive execution joins small partitions but cannot cut large ones, so it
     has to start from enough of them.
     """
-    partitions = min(MOST_PARTITIONS, max(200, math.ceil(data_bytes / PARTITION_BYTES)))
+    partitions = max(200, math.ceil(data_bytes / PARTITION_BYTES))
     return {
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
@@ -63,6 +60,12 @@ def get_spark(
     return builder.getOrCreate()
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Number of partitions that shuffles of this session start from."""
+    started = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(started or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder for a written table.
 

@@ -39,17 +39,17 @@ def write_wide(
         writer.format(fmt).save(path)
 
 
-def write_meter(meter: DataFrame, path: str, files_per_month: int = 8) -> None:
+def write_meter(meter: DataFrame, path: str, rows_per_file: int = 50_000_000) -> None:
     """Interval series of any number of runs, in one folder per month.
 
-    Studies look at some months only and then read no others. Within a month the
-    rows are spread by run and day, so that a large run does not end in one file.
+    Studies look at some months only and then read no others. The rows are
+    rebalanced by month: adaptive execution cuts a large month into as many tasks
+    as its size asks for, so their number grows with the data.
     """
-    spread = F.pmod(F.xxhash64("run_id", F.dayofmonth("ts")), F.lit(files_per_month))
     (
-        meter.withColumn("month", F.month("ts")).repartition("month", spread)
+        meter.withColumn("month", F.month("ts")).hint("rebalance", "month")
         .sortWithinPartitions("month", "run_id", "ts")
-        .write.mode("overwrite").partitionBy("month").parquet(path)
+        .write.mode("overwrite").partitionBy("month").option("maxRecordsPerFile", rows_per_file).parquet(path)
     )
 
 

@@ -58,35 +58,21 @@ def test_zero_baseline_gives_null(spark):
     assert paired.where("shed_pct is not null").count() == 0
 
 
-def test_spread_baseline_equals_broadcast_baseline(spark, rows, monkeypatch):
-    base = series(spark, "b", lambda d, h, q: 100 + h)
-    scens = series(spark, "s1", lambda d, h, q: 90).unionByName(series(spark, "s2", lambda d, h, q: 80))
+@pytest.mark.parametrize("spread", [1, 7])
+def test_baseline_copies_do_not_depend_on_the_spread(spark, spread):
+    base = series(spark, "b", lambda d, h, q: 100 + h).withColumnRenamed("run_id", "baseline_id")
     links = spark.createDataFrame(
         [("s1", "b", 10.0), ("s2", "b", 20.0)], "run_id string, baseline_id string, floor_area double"
     )
-    columns = ["run_id", "ts", "base_kw", "scenario_kw", "floor_area"]
-    small = rows(metrics.pair_with_baseline(base, scens, links), *columns)
-    monkeypatch.setattr(metrics, "spark_may_broadcast", lambda df: False)
-    large = rows(metrics.pair_with_baseline(base, scens, links), *columns)
-    assert small == large and len(small) == 960
-
-
-def test_broadcast_check_follows_the_session_limit(spark):
-    df = spark.range(1000)
-    assert pairing.spark_may_broadcast(df)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert not pairing.spark_may_broadcast(df)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
-@pytest.mark.parametrize("small", [True, False])
-def test_pair_all_is_the_full_product_once(spark, monkeypatch, small):
-    monkeypatch.setattr(pairing, "spark_may_broadcast", lambda df: small)
+    copies = metrics.with_each_scenario(base, links, spread=spread)
+    assert copies.count() == 960 and copies.distinct().count() == 960
+    assert {(r.run_id, r.floor_area) for r in copies.collect()} == {("s1", 10.0), ("s2", 20.0)}
+
+
+@pytest.mark.parametrize("blocks", [None, 1, 16])
+def test_pair_all_is_the_full_product_once(spark, blocks):
     left, right = spark.range(100).toDF("a"), spark.range(37).toDF("b")
-    paired = pairing.pair_all(left, right)
+    paired = pairing.pair_all(left, right, blocks)
     assert paired.count() == 3700 and paired.distinct().count() == 3700
 
 
@@ -172,25 +158,27 @@ def test_studies_run_end_to_end(spark):
     assert studies.shed_fit_study(base, scen, link(spark)).count() > 24
 
 
-def test_hourly_study_shuffles_each_side_once(spark, tmp_path, rows):
+def test_hourly_study_equals_means_of_the_intervals(spark, rows):
+    base = series(spark, "b", lambda d, h, q: 100 + h + q)
+    part = series(spark, "s", lambda d, h, q: 90 - q).where((F.hour("ts") > 3) & (F.minute("ts") < 45))
+    extra = series(spark, "s", lambda d, h, q: 1).withColumn("ts", F.expr("ts + interval 5 minutes")).limit(7)
+    scen = part.unionByName(extra)  # the extra rows have no baseline interval
+    slow = metrics.resample_mean(
+        studies.shed_intervals(base, scen, link(spark)), ["oat_f", "base_kw", "scenario_kw", "shed_pct", "shed_w_ft2"]
+    )
+    def rounded(df):
+        return rows(df.select("run_id", "ts", *(F.round(c, 9) for c in df.columns[2:])))
+    fast = rounded(studies.shed_hourly(base, scen, link(spark)))
+    assert fast == rounded(slow) and len(fast) == 120
+
+
+def test_hourly_study_moves_the_scenario_once_and_copies_no_interval(spark, tmp_path):
     for name, kw in (("b", 100), ("s", 90)):
         series(spark, name, lambda d, h, q: kw + h).write.parquet(str(tmp_path / name))
     link(spark).write.parquet(str(tmp_path / "link"))
     base, scen, links = (spark.read.parquet(str(tmp_path / n)) for n in ("b", "s", "link"))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    hourly_rows = rows(studies.shed_hourly(base, scen, links))
-    try:
-        # Room for the link table only.
-        limit = str(links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit + "b")
-        plan = studies.shed_hourly(base, scen, links)
-        text = plan._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
-        assert text.count("Exchange hashpartitioning") == 2
-        assert rows(plan) == hourly_rows
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
-        assert rows(studies.shed_hourly(base, scen, links)) == hourly_rows
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    assert len(hourly_rows) == 120
+    plan = studies.shed_hourly(base, scen, links)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_spread" in line for line in exchanges) <= 2  # the baseline's means and the link, no interval
+    assert sum("run_id" in line and "hashpartitioning(baseline_id" in line and "bin" not in line for line in exchanges) == 0
