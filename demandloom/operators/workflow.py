@@ -13,10 +13,10 @@ from demandloom.operators.pairing import pair_all
 
 
 def step(measure: str, **arguments: Column) -> Column:
-    """One step; arguments are text, as in the documents."""
+    """One step; an argument keeps the type of its column, as numbers and texts stand side by side in the documents."""
     flat = []
     for name, value in arguments.items():
-        flat += [F.lit(name), value.cast("string")]
+        flat += [F.lit(name), value.cast("variant")]
     return F.struct(
         F.lit(measure).alias("measure_dir_name"), F.create_map(*flat).alias("arguments")
     )
@@ -134,6 +134,7 @@ def explode_steps(cases: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataF
             *keys, "step_pos", F.col("step.measure_dir_name").alias("measure"),
             F.explode("step.arguments").alias("argument", "value"),
         )
+        .withColumn("value", F.col("value").cast("string"))
     )
 
 
@@ -145,18 +146,13 @@ def assemble_steps(
     A case has one step per design column and appended request, so the array
     is as long as a document has steps.
     """
-    entries = F.transform(F.map_entries(F.col(f"{step_col}.arguments")), lambda e: F.struct(e["key"], e["value"]))
-    listed = F.struct(
-        F.col(pos).alias("pos"), F.col(f"{step_col}.measure_dir_name").alias("measure"), entries.alias("entries")
-    )
+    listed = F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(step_col).alias("step")))
 
-    def rebuilt(part: Column) -> Column:
-        return F.struct(
-            part["measure"].alias("measure_dir_name"), F.map_from_entries(part["entries"]).alias("arguments")
-        )
+    def by_pos(left: Column, right: Column) -> Column:
+        return F.when(left["pos"] < right["pos"], -1).when(left["pos"] > right["pos"], 1).otherwise(0)
 
-    ordered = F.sort_array(F.collect_list(listed))
-    return steps.groupBy(*keys).agg(F.transform(ordered, rebuilt).alias("steps"))
+    ordered = F.array_sort(listed, by_pos)
+    return steps.groupBy(*keys).agg(F.transform(ordered, lambda part: part["step"]).alias("steps"))
 
 
 def append_steps(parts: Sequence[DataFrame], keys: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -204,7 +200,7 @@ def seed_models(model_lists: DataFrame, keys: Sequence[str] = ("file", "model_no
         .select(
             *keys,
             seed_id(
-                F.col("_args")["building_type"], F.col("_args")["template"], F.col("_args")["climate_zone"]
+                *(F.col("_args")[name].cast("string") for name in ("building_type", "template", "climate_zone"))
             ).alias("seed_id"),
             "n_steps",
         )

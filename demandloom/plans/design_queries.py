@@ -357,7 +357,7 @@ def wide_files_round_trip(spark, sf_dir):
     path = scratch_dir(spark, "wide")
     wide = writers.with_published_headers(inputs.raw_meter(spark, sf_dir))
     writers.write_wide(wide, path, order="ts")
-    back = readers.read_runs(spark, path)
+    back = readers.read_runs(spark, path, layout="buckets")
     return back.select(
         "run_id", minute_stamp(F.col("ts")).alias("ts"),
         F.round("oat_c", 6).alias("oat_c"), F.round("elec_j", 2).alias("elec_j"),

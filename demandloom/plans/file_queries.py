@@ -276,10 +276,29 @@ def document_files(spark, sf_dir):
         .withColumn("steps", F.array(workflow.wall_r_step()))
     )
     writers.write_documents(workflow.documents(cases), path)
-    back = spark.read.schema("value string, case_id string").text(path)
+    return readers.read_documents(spark, path).select(
+        "case_id", F.get_json_object("document", "$.run_directory").alias("run_directory"),
+        F.get_json_object("document", "$.steps[0].arguments.r_value").alias("r_value"),
+    )
+
+
+@query(
+    "published_run_files",
+    f"WITH {inputs.RAW_METER_SQL} SELECT strftime(ts, '%Y-%m-%d %H:%M') AS ts, round(oat_c, 6) AS oat_c, "
+    "round(elec_j, 2) AS elec_j FROM raw_meter",
+)
+def published_run_files(spark, sf_dir):
+    """One headed file per run, outputs in another order and one more of them."""
+    path = scratch_dir(spark, "published")
+    titled = writers.with_published_headers(inputs.raw_meter(spark, sf_dir))
+    titled = titled.select(
+        "run_id", F.col("ts").cast("string").alias(" "), F.col(f"`{readers.ELEC_HEADER}`"), F.lit(0.5).alias("Gas [J]"),
+        F.col(f"`{readers.OAT_HEADER}`"),
+    )
+    titled.repartition("run_id").write.partitionBy("run_id").option("header", True).csv(path)
+    back = readers.read_runs(spark, f"{path}/*", layout="files")
     return back.select(
-        "case_id", F.get_json_object("value", "$.run_directory").alias("run_directory"),
-        F.get_json_object("value", "$.steps[0].arguments.r_value").alias("r_value"),
+        minute_stamp(F.col("ts")).alias("ts"), F.round("oat_c", 6).alias("oat_c"), F.round("elec_j", 2).alias("elec_j")
     )
 
 

@@ -98,6 +98,11 @@ def _published_runs(spark, root, start, step_minutes, outputs) -> DataFrame:
     )
 
 
+def read_documents(spark: SparkSession, path: str, case: str = "case_id") -> DataFrame:
+    """Documents in buckets, as :func:`write_documents` leaves them."""
+    return spark.read.schema(f"{case} string, document string, bucket int").json(path).select(case, "document")
+
+
 def read_report(
     spark: SparkSession, path: str, spec: Mapping[str, tuple] | None = OUTPUT_SPEC
 ) -> DataFrame:

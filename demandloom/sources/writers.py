@@ -7,32 +7,48 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.session import shuffle_width
 from demandloom.sources.readers import ELEC_HEADER, OAT_HEADER
 
 
+def _in_buckets(df: DataFrame, path: str, key: str, order: Sequence[str], buckets: int | None, rows_per_file: int):
+    """A writer of ``df`` in folders by a hash of ``key``, which stays a column.
+
+    The number of folders follows the session's shuffle width and not the number of
+    keys; adaptive execution cuts a large bucket into several files.
+    """
+    count = buckets or shuffle_width(df.sparkSession)
+    placed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(count)).cast("int")).hint("rebalance", "bucket")
+    return (
+        placed.sortWithinPartitions("bucket", key, *order)
+        .write.mode("overwrite").partitionBy("bucket").option("maxRecordsPerFile", rows_per_file)
+    )
+
+
 def write_wide(
     wide: DataFrame,
     path: str,
     run: str = "run_id",
     order: str = "step_no",
     fmt: str = "csv",
-    parts_per_run: int = 1,
-    partitions: int | None = None,
+    buckets: int | None = None,
     rows_per_file: int = 5_000_000,
+    folder_per_run: bool = False,
+    parts_per_run: int = 1,
 ) -> None:
-    """Wide series in one folder per run.
+    """Wide series in buckets of runs, or on request in one folder per run.
 
-    Rows of a run meet in ``parts_per_run`` tasks before writing; without that
-    every task would leave a small file in every folder. Give more parts when
-    single runs are very large.
+    A folder per run suits few runs: rows of a run meet in ``parts_per_run`` tasks
+    before writing, or every task would leave a small file in every folder.
     """
-    salt = F.pmod(F.xxhash64(order), F.lit(parts_per_run))
-    keys = [F.col(run), salt]
-    placed = wide.repartition(partitions, *keys) if partitions else wide.repartition(*keys)
-    writer = (
-        placed.sortWithinPartitions(run, order)
-        .write.mode("overwrite").partitionBy(run).option("maxRecordsPerFile", rows_per_file)
-    )
+    if folder_per_run:
+        placed = wide.repartition(F.col(run), F.pmod(F.xxhash64(order), F.lit(parts_per_run)))
+        writer = (
+            placed.sortWithinPartitions(run, order)
+            .write.mode("overwrite").partitionBy(run).option("maxRecordsPerFile", rows_per_file)
+        )
+    else:
+        writer = _in_buckets(wide, path, run, [order], buckets, rows_per_file)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
@@ -65,9 +81,16 @@ def write_params_json(params: DataFrame, path: str) -> None:
     params.write.mode("overwrite").json(path)
 
 
-def write_documents(documents: DataFrame, path: str, case: str = "case_id") -> None:
-    """One JSON document per case, in a folder named after it."""
-    documents.select(case, "document").repartition(case).write.mode("overwrite").partitionBy(case).text(path)
+def write_documents(
+    documents: DataFrame, path: str, case: str = "case_id", buckets: int | None = None, folder_per_case: bool = False,
+    rows_per_file: int = 1_000_000,
+) -> None:
+    """JSON documents with their case as records in buckets, or on request one text file per case, in its folder."""
+    rows = documents.select(case, "document")
+    if folder_per_case:
+        rows.repartition(case).write.mode("overwrite").partitionBy(case).text(path)
+    else:
+        _in_buckets(rows, path, case, [], buckets, rows_per_file).json(path)
 
 
 def _write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:

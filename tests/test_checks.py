@@ -142,11 +142,12 @@ def test_meter_upsert(spark, rows):
 
 def test_unknown_reporting_schedule_is_dropped(spark):
     asked = spark.createDataFrame(
-        [("m", None), ("m", "known"), ("m", "lost")], "model_id string, reporting_schedule string"
+        [("m", None), ("m", "known"), ("m", "lost"), ("m", requests.THREE_DAYS_PER_MONTH)],
+        "model_id string, reporting_schedule string",
     )
-    known = spark.createDataFrame([("known",)], "name string")
+    known = spark.createDataFrame([("m", "known"), ("other", "lost")], "model_id string, name string")
     row = requests.request_counts(requests.match_reporting_schedule(asked, known)).first()
-    assert (row.n_requested, row.n_added) == (3, 2)
+    assert (row.n_requested, row.n_added) == (4, 3)
 
 
 def test_log_messages(spark, rows):

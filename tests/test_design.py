@@ -90,7 +90,9 @@ def test_lookup_keeps_column_order_and_reports_missing(spark, rows):
     lookup = spark.createDataFrame([("second", "m2")], "param string, measure string")
     long = design.design_long(table)
     assert rows(long, "case_no", "param_pos", "param", "value")[0] == (1, 0, "second", "a")
-    assert design.join_lookup(long, lookup).count() == 2
+    assert {(r.param, r.measure, r.error) for r in design.join_lookup(long, lookup).collect()} == {
+        ("second", "m2", None), ("first", None, "no description for first")
+    }
     assert rows(design.missing_params(long, lookup)) == [("first", 2)]
 
 
@@ -106,7 +108,10 @@ def test_params_json_round_trip(spark, tables, tmp_path, rows):
     back = spark.read.schema(models.schema).json(str(tmp_path / "json"))
     assert rows(back) == rows(models)
     (tmp_path / "array.json").write_text(json.dumps([r.asDict() for r in models.collect()]))
-    assert rows(readers.read_params_json(spark, str(tmp_path / "array.json"), BASE_MODEL_NAMES)) == rows(models)
+    read = readers.read_params_json(spark, str(tmp_path / "array.json"), BASE_MODEL_NAMES)
+    assert rows(read.drop("file", "status")) == rows(models)
+    (tmp_path / "array.json").write_text("[{")
+    assert [r.status for r in readers.read_params_json(spark, str(tmp_path / "array.json"), BASE_MODEL_NAMES).collect()] == ["unreadable"]
 
 
 SETPOINT = "ChangeHeatingAndCoolingSetpoint"
@@ -114,8 +119,8 @@ EXPECTED_STEPS = [
     ("CreateDOEPrototypeBuilding",
      {"building_type": "MediumOffice", "template": "90.1-2010", "climate_zone": "ASHRAE 169-2006-3B"}),
     ("SetTimestep", {"timestep": "4"}),
-    (SETPOINT, {"cooling_adjustment": "-2", "heating_adjustment": "0", "start_hour": "6", "end_hour": "12"}),
-    (SETPOINT, {"cooling_adjustment": "4", "heating_adjustment": "0", "start_hour": "12", "end_hour": "18"}),
+    (SETPOINT, {"cooling_adjustment": -2, "heating_adjustment": 0, "start_hour": 6, "end_hour": "12"}),
+    (SETPOINT, {"cooling_adjustment": "4", "heating_adjustment": 0, "start_hour": "12", "end_hour": "18"}),
 ]
 
 
@@ -128,7 +133,11 @@ def test_documents_equal_the_published_one(spark, tables, tmp_path):
     assert document["seed_file"] is None and document["weather_file"] is None
     assert [(s["measure_dir_name"], s["arguments"]) for s in document["steps"]] == EXPECTED_STEPS
     writers.write_documents(docs, str(tmp_path / "docs"))
-    back = spark.read.text(str(tmp_path / "docs"))
+    back = readers.read_documents(spark, str(tmp_path / "docs"))
+    assert {r.case_id: json.loads(r.document) for r in back.collect()} == got
+    assert all(p.name.startswith("bucket=") for p in (tmp_path / "docs").iterdir() if p.is_dir())
+    writers.write_documents(docs, str(tmp_path / "folders"), folder_per_case=True)
+    back = spark.read.text(str(tmp_path / "folders"))
     assert {r.case_id: json.loads(r.value) for r in back.collect()} == got
 
 
@@ -139,8 +148,22 @@ def test_running_steps_pile_up(spark, tables):
     )
     cases = workflow.event_cases(models, events)
     apart = {r.n for r in cases.select(F.size("steps").alias("n")).collect()}
-    piled = sorted(r.n for r in workflow.running_event_steps(cases).select(F.size("steps").alias("n")).collect())
-    assert apart == {4} and piled == [4, 4, 6, 6]
+    piled = sorted((r.n_steps, r.last_step_pos) for r in workflow.running_event_steps(cases).collect())
+    assert apart == {4} and piled == [(4, 3), (4, 3), (6, 5), (6, 5)]
+
+
+TEXT_STEP = "struct<measure_dir_name:string,arguments:map<string,string>>"
+
+
+def test_rows_without_a_known_kind_have_no_step_and_say_so(spark):
+    rows = spark.createDataFrame(
+        [("a", "wall_r", "45", None), ("b", "roof", "1", None), ("c", None, "1", "no description for c")],
+        "param string, measure string, value string, error string",
+    )
+    built = workflow.dispatch_steps(rows, {"wall_r": workflow.STEP_KINDS["wall_r"]("value")})
+    got = {r.param: (r.body, r.error) for r in built.select("param", F.to_json("step").alias("body"), "error").collect()}
+    assert json.loads(got["a"][0]) == {"measure_dir_name": "IncreaseWallRValue", "arguments": {"r_value": "45"}}
+    assert (got["a"][1], got["b"][1], got["c"][1]) == (None, "no step of kind roof", "no description for c")
 
 
 def test_each_step_kind_builds(spark):
@@ -150,7 +173,9 @@ def test_each_step_kind_builds(spark):
         "reset_deg string, start_hour string, end_hour string, precool_deg string, precool_hours string, "
         "variable_name string, reporting_frequency string, report string",
     )
-    built = row.select(*(make().alias(kind) for kind, make in workflow.STEP_KINDS.items()))
+    built = row.select(
+        *(F.from_json(F.to_json(make()), TEXT_STEP).alias(kind) for kind, make in workflow.STEP_KINDS.items())
+    )
     step = built.first()
     assert step.wall_r.arguments == {"r_value": "45"}
     assert step.precool.arguments["cooling_adjustment"] == "-2" and step.precool.arguments["start_hour"] == "6"
@@ -165,7 +190,7 @@ def test_assembled_steps_keep_source_and_position(spark):
 
     whole = workflow.append_steps([steps(("a", 1, "second"), ("a", 0, "first")), steps(("a", 0, "last"))])
     built = workflow.assemble_steps(whole).first()
-    assert [s.arguments["name"] for s in built.steps] == ["first", "second", "last"]
+    assert [s.arguments["name"].toPython() for s in built.steps] == ["first", "second", "last"]
 
 
 def test_seed_ids_per_model(spark, tmp_path):
@@ -178,6 +203,9 @@ def test_seed_ids_per_model(spark, tmp_path):
     wall = {"measure_dir_name": "IncreaseWallRValue", "arguments": {"r_value": 45}}
     path = tmp_path / "list.json"
     path.write_text(json.dumps([[proto("MediumOffice", "DOE Ref 1980-2004"), wall], [proto("LargeOffice", "90.1-2010")]]))
-    steps = readers.read_model_list(spark, str(path))
+    (tmp_path / "other.json").write_text(json.dumps([[proto("SmallOffice", "90.1-2010")]]))
+    steps = readers.read_model_list(spark, str(tmp_path / "*.json"))
     got = sorted((r.model_no, r.seed_id, r.n_steps) for r in workflow.seed_models(steps).collect())
-    assert got == [(0, "MediumOffice-1980-2004-3B", 2), (1, "LargeOffice-90.1-2010-3B", 1)]
+    assert got == [
+        (0, "MediumOffice-1980-2004-3B", 2), (0, "SmallOffice-90.1-2010-3B", 1), (1, "LargeOffice-90.1-2010-3B", 1)
+    ]

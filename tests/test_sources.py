@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from demandloom.operators import collection, requests
 from demandloom.plans.metric_queries import REPORT_SPEC
 from demandloom.sources import readers, writers
@@ -23,10 +25,15 @@ def wide(spark):
 
 def test_runs_in_folders(spark, tmp_path, rows):
     path = str(tmp_path / "runs")
-    writers.write_wide(writers.with_published_headers(wide(spark)), path, order="ts", parts_per_run=2)
-    back = readers.read_runs(spark, path)
-    assert rows(back, "run_id", "oat_c", "elec_j") == rows(wide(spark), "run_id", "oat_c", "elec_j")
-    assert dict(back.dtypes)["run_id"] == "string"
+    titled = writers.with_published_headers(wide(spark))
+    writers.write_wide(titled, path, order="ts", folder_per_run=True, parts_per_run=2)
+    writers.write_wide(titled, path + "-buckets", order="ts", buckets=3)
+    for back in (readers.read_runs(spark, path), readers.read_runs(spark, path + "-buckets", layout="buckets")):
+        assert rows(back, "run_id", "oat_c", "elec_j") == rows(wide(spark), "run_id", "oat_c", "elec_j")
+        assert dict(back.dtypes)["run_id"] == "string"
+    writers.write_wide(titled.select("run_id", "ts", readers.ELEC_HEADER, readers.OAT_HEADER), path, order="ts", folder_per_run=True)
+    with pytest.raises(Exception, match="header|Header"):
+        readers.read_runs(spark, path).collect()
 
 
 def test_runs_as_single_files(spark, tmp_path, rows):
@@ -37,6 +44,18 @@ def test_runs_as_single_files(spark, tmp_path, rows):
     assert rows(back, "run_id", "oat_c") == [("run one", 1.0), ("run2", 3.0)]
 
 
+def test_published_files_are_read_by_header(spark, tmp_path):
+    swapped = f'"{readers.ELEC_HEADER}",Gas [J],{readers.OAT_HEADER}\r\n900000,7,20\r\n800000,7,\r\n'
+    (tmp_path / "two words.csv").write_bytes(swapped.encode())
+    got = sorted(map(tuple, readers.read_runs(spark, str(tmp_path), layout="files").collect()), key=lambda r: r[1])
+    assert [(r[0], str(r[1]), *r[2:]) for r in got] == [
+        ("two words", "2017-01-01 00:00:00", 20.0, 900000.0), ("two words", "2017-01-01 00:15:00", None, 800000.0)
+    ]
+    (tmp_path / "bad.csv").write_text(f",{readers.OAT_HEADER}\n2017-01-01 00:00:00,1\n")
+    with pytest.raises(Exception, match="no column"):
+        readers.read_runs(spark, str(tmp_path), layout="files").collect()
+
+
 def test_stored_meter_reads_only_the_months_asked_for(spark, tmp_path, rows):
     from demandloom.functions.calendar import select_workdays
 
@@ -121,6 +140,15 @@ def test_output_requests(spark, tmp_path, rows):
     assert "reporting_schedule" in got.columns
 
 
+def test_failed_and_broken_documents_stay(spark, tmp_path):
+    for name, text in {"good": '{"steps": [{"measure_dir_name": "m"}]}', "failed": '{"completed_status": "Fail"}', "broken": '{"steps": ['}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = readers.read_workflow_results(spark, str(tmp_path)).collect()
+    assert {(r.document.split("/")[-1], r.status) for r in got} == {
+        ("good.json", "ok"), ("failed.json", "no_steps"), ("broken.json", "unreadable")
+    }
+
+
 def test_workflow_results(spark, tmp_path):
     document = {
         "completed_status": "Success",
