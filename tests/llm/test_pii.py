@@ -1,0 +1,88 @@
+import hashlib
+import re
+
+from demandloom.llm import pii
+from demandloom.llm.queries import QUERIES
+from tests.llm.cases import SF_DIR, awkward, clashing, docs
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def digits(text):
+    return re.sub("[^0-9]", "", text)
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            ok = {
+                "email": lambda s: True,
+                "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+                "card": lambda s: 13 <= len(digits(s)) <= 19 and pii.luhn(digits(s)),
+                "phone": lambda s: 9 <= len(digits(s)) <= 15,
+            }[kind](m[0])
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_query_against_the_plain_patterns(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    found = 0
+    for row in QUERIES["op3_pii"](spark, SF_DIR).collect():
+        want = plain(texts[row.doc_id])
+        found += len(want)
+        assert [row[f"n_{k}"] for k in PLAIN] == [sum(w[0] == k for w in want) for k in PLAIN]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) <= set(row.spans.split(",")) or not joined
+    assert found
+
+
+def test_edges_of_the_base_patterns():
+    texts = [
+        "a@b.c@d.e.f", "x@@y.z", "@a.b", "a@b", "é.b@c.d.", "a@b..c", "a@-.-@b.c", "p.q@r.s.t@u.v",
+        "1.2.3.4.5", "1.2.3.4.5.6.7.8", "999.1.1.1.1", "1.2.3", "0001.2.3.255", "1.2.3.256 1.1.1.1", "1..2.3.4", "٣.1.1.1",
+        "4539 5787 6362 1486", "4539-5787-6362-1486", "45395787636214865", "4539  5787 6362 1486", "0" * 13, "1" * 25, "4 5 3",
+        "+1 (743) 555-3824", "+1+234567890123", "+12345678", "++123456789", "+1 23 45 67 89 ) (", "+", "+1-", "+1234567890123456",
+    ]
+    for text in texts + [" ".join(texts), "".join(texts)]:
+        assert [s[:3] for s in pii.spans_of(text) if s[0] in pii.BASE_KINDS] == plain(text), text
+
+
+def test_added_kinds_need_a_checksum_or_context():
+    iban = "GB82 WEST 1234 5698 7654 32"
+    assert [s[0] for s in pii.spans_of(f"to {iban} NOW") if s[0] not in PLAIN] == ["iban"]
+    assert [s for s in pii.spans_of(f"to {iban[:-1]}3") if s[0] == "iban"] == []
+    assert [s[0] for s in pii.spans_of("my SSN is 078-05-1120.")] == ["ssn"]
+    assert pii.spans_of("part 078-05-1120") == []
+    with_word, without = pii.spans_of("mail a@b.c")[0][3], pii.spans_of("zzz a@b.c")[0][3]
+    assert with_word > without
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 150_000, "a@" * 150_000, "A1" * 150_000, "1 " * 150_000):
+        pii.spans_of(text)
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a.b@c.de now"), (2, None), (3, "clean"), (4, "1.2.3.4 +1 (743) 555-3824"), (None, "")]
+    table = clashing(docs(spark, rows), ["spans", "kind", "end"])
+    got = pii.redact(table, length_col="n_chars")
+    assert got.columns == table.columns
+    by_id = {r.doc_id: (r.text, r.n_chars) for r in got.collect()}
+    assert by_id == {1: ("mail [EMAIL] now", 16), 2: (None, None), 3: ("clean", 5), 4: ("[IP] [PHONE]", 12), None: ("", 0)}
+    assert pii.redacted("abcdef", [("a", 1, 4, 1.0), ("b", 2, 5, 1.0)]) == "a[A]f"
+
+
+def test_awkward_rows(spark):
+    table = clashing(awkward(spark), ["spans"])
+    assert pii.find_pii(table).count() == table.count()
+    assert pii.find_pii(table.limit(0)).count() == 0
+    assert pii.redact(table.limit(0)).count() == 0
