@@ -19,12 +19,6 @@ def hhmm_to_minutes(text: Column) -> Column:
     return F.substring(text, 1, 2).cast("int") * 60 + F.substring(text, 3, 2).cast("int")
 
 
-def clock_to_minutes(text: Column) -> Column:
-    """Minutes of day of ``hh:mm``."""
-    parts = F.split(text, ":")
-    return parts[0].cast("int") * 60 + parts[1].cast("int")
-
-
 def month_day(text: Column, year: int) -> Column:
     parts = F.split(text, "/")
     return F.make_date(F.lit(year), parts[0].cast("int"), parts[1].cast("int"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from demandloom import constants as K
 from demandloom.functions.naming import case_id, model_id
 from demandloom.operators.pairing import pair_all
-from demandloom.session import fixed_table
 
 
 def _choices(values: Sequence[int]):
@@ -63,11 +62,6 @@ def model_grid(types: DataFrame, vintages: DataFrame, climates: DataFrame) -> Da
     )
 
 
-def code_table(spark, codes: Mapping[str, Mapping] = K.CODES) -> DataFrame:
-    rows = [(col, str(value), code) for col, m in codes.items() for value, code in m.items()]
-    return fixed_table(spark, rows, "param string, value string, code int")
-
-
 def encode(df: DataFrame, codes: Mapping[str, Mapping] = K.CODES) -> DataFrame:
     """Ordinal code of each coded column; NULL where the value has none.
 

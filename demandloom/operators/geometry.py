@@ -242,12 +242,13 @@ def story_edges(
     used = edges(surfaces)
     floors = used.where(F.col("surface_type") == "Floor")
     walls = used.where((F.col("surface_type") == "Wall") & F.col("boundary").isin(*boundaries))
+    # A space without its row stands for itself once.
     matched = match_edges(floors, walls, keys).join(
-        spaces.select("model_id", "space_id", "multiplier"), ["model_id", "space_id"]
-    )
+        spaces.select("model_id", "space_id", "multiplier"), ["model_id", "space_id"], "left"
+    ).withColumn("multiplier", F.coalesce("multiplier", F.lit(1)))
     length, party = edge_length("p", "q"), F.lit(False)
     if boxes is not None:
-        matched = matched.join(boxes, "model_id")
+        matched = matched.join(boxes, "model_id", "left")
         on_box = F.lit(False)
         for axis in ("x", "y"):
             for end in ("min", "max"):
@@ -257,7 +258,7 @@ def story_edges(
                     & (F.abs(side - F.col(f"q.{axis}")) < TOLERANCE)
                 )
         adiabatic = F.col("boundary") == "Adiabatic"
-        party = adiabatic & (on_box | (F.col("multiplier") == 1))
+        party = adiabatic & (F.coalesce(on_box, F.lit(False)) | (F.col("multiplier") == 1))
         length = F.when(adiabatic & ~party, F.lit(0.0)).otherwise(length)
     if multiplier_adjustment is not None:
         length = length * (F.col("multiplier") / F.lit(float(multiplier_adjustment)))

@@ -160,19 +160,46 @@ def rate_of_change(profiles: DataFrame) -> DataFrame:
     return edit(profiles, P.rate_of_change(F.col("points")))
 
 
+ALL_DAYS = (True,) * 7
+
+
 def change_hours_of_operation(
-    profiles: DataFrame, start, finish, delta_length=0.0, shift=0.0
+    profiles: DataFrame,
+    start,
+    finish,
+    delta_length=0.0,
+    shift=0.0,
+    default: bool = True,
+    weekdays: Sequence[bool] = ALL_DAYS,
+    summer: bool = False,
+    winter: bool = False,
 ) -> DataFrame:
     """Lengthen and shift the hours of operation (see ``functions.profiles``).
 
+    Which profiles change goes by their ``kind``: the default profile, rules that apply
+    on one of ``weekdays`` (Sunday first, as in their ``dow``; a rule without one applies
+    on all days) and, on request, the design days. The others stay as they are.
+
     The steps are separate columns, because each looks at the whole array of
     the step before and should find it computed.
     """
+    chosen = F.array(*(F.lit(bool(day)) for day in weekdays))
+    rule_days = F.lit(True)
+    if "dow" in profiles.columns:
+        both = F.zip_with("dow", chosen, lambda applies, asked: applies & asked)
+        rule_days = F.coalesce(F.exists(both, lambda day: day), F.lit(any(weekdays)))
+    kind = F.col("kind")
+    changes = (
+        F.when(kind == "default", F.lit(default)).when(kind == "rule", rule_days & F.lit(any(weekdays)))
+        .when(kind == "summer", F.lit(summer)).when(kind == "winter", F.lit(winter)).otherwise(F.lit(False))
+    )
     moved = P.moved_hours(F.col("points"), start, finish, delta_length, shift)
     return (
-        profiles.withColumn("points", moved)
-        .withColumn("points", P.without_overlaps(F.col("points")))
-        .withColumn("points", P.close_day(F.col("points")))
+        profiles.withColumn("_moved", moved)
+        .withColumn("_moved", P.without_overlaps(F.col("_moved")))
+        .withColumn("_moved", P.close_day(F.col("_moved")))
+        .withColumn("points", F.when(changes, F.col("_moved")).otherwise(F.col("points").cast("array<struct<until_min:double,value:double>>")))
+        .drop("_moved")
     )
 
 
@@ -293,9 +320,10 @@ def daily_profiles(
     """Profile in force on each date: the first rule that applies, else the default.
 
     ``rule_order`` is unique within a schedule. Rules unfold to the dates they
-    cover and meet the default days in one aggregation. It keeps one number per
+    cover and meet the default days in one aggregation. It keeps two numbers per
     schedule and date, so it runs as a hash aggregation and is combined before
-    the shuffle; the profile is looked up afterwards. A range whose start is
+    the shuffle; the profile of the number is looked up among the schedule's few
+    different profiles. A range whose start is
     after its end runs over the turn of the year.
     """
     y = F.lit(year)
@@ -305,19 +333,21 @@ def daily_profiles(
         F.concat(F.sequence(new_year, F.least(start, end)), F.sequence(F.greatest(start, end), year_end))
     )
     order = F.col("rule_order").cast("long").alias("rule_order")
+    number = F.xxhash64("profile_id").alias("_number")
     ruled = (
-        rules.select(*keys, order, "dow", F.explode(covered).alias("date"))
+        rules.select(*keys, order, number, "dow", F.explode(covered).alias("date"))
         .where(F.get("dow", F.dayofweek("date") - 1)).drop("dow")
     )
     default_days = defaults.select(
-        *keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), F.explode(_year_days(y)).alias("date")
+        *keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), number, F.explode(_year_days(y)).alias("date")
     )
-    first = ruled.unionByName(default_days).groupBy(*keys, "date").agg(F.min("rule_order").alias("rule_order"))
-    named = rules.select(*keys, order, "profile_id").unionByName(
-        defaults.select(*keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), "profile_id")
+    first = ruled.unionByName(default_days).groupBy(*keys, "date").agg(F.min_by("_number", "rule_order").alias("_number"))
+    named = (
+        rules.select(*keys, "profile_id").unionByName(defaults.select(*keys, "profile_id"))
+        .distinct().withColumn("_number", number)
     )
     # ``first`` has a row per date, which Spark's estimate does not count: no broadcast.
-    return first.join(named.hint("merge"), [*keys, "rule_order"]).select(*keys, "date", "profile_id")
+    return first.join(named.hint("merge"), [*keys, "_number"]).select(*keys, "date", "profile_id")
 
 
 def half_hour_values(

@@ -537,12 +537,18 @@ a AS (SELECT profile_id, list({{'t': t, 'v': value}} ORDER BY t) AS l FROM p GRO
 th AS (SELECT profile_id, list_reduce(list_transform(l, lambda x: [x]),
        lambda acc, x: CASE WHEN x[1].t - acc[-1].t > 1 THEN list_concat(acc, x) ELSE acc END) AS l FROM a),
 u AS (SELECT profile_id, unnest(l) AS q FROM th)
-SELECT profile_id, round(q.t, 4) AS until_min, q.v AS value FROM u"""
+SELECT profile_id, round(q.t, 4) AS until_min, q.v AS value FROM u WHERE profile_id % 4 = 0 OR (profile_id % 4 = 1 AND profile_id % 3 > 0)
+UNION ALL SELECT profile_id, CAST(until_min AS DOUBLE), value FROM prof WHERE profile_id % 4 > 1 OR (profile_id % 4 = 1 AND profile_id % 3 = 0)"""
 
 
 @query("operating_hours_warp", WARP_SQL)
 def operating_hours_warp(spark, sf_dir):
-    warped = schedule.change_hours_of_operation(profiles(spark, sf_dir), *WARP)
+    """Default profiles and rules of Mondays change; rules of Sundays and design days stay."""
+    sunday = F.col("profile_id") % 3 == 0
+    days = F.array(sunday, ~sunday, *(F.lit(False) for _ in range(5)))
+    shaped = profiles(spark, sf_dir).withColumn("dow", F.when(F.col("kind") == "rule", days))
+    monday = [day == 1 for day in range(7)]
+    warped = schedule.change_hours_of_operation(shaped, *WARP, weekdays=monday).drop("dow")
     return schedule.to_points(warped).withColumn("until_min", F.round("until_min", 4))
 
 

@@ -8,10 +8,6 @@ REPORT = (
 )
 STEP = "struct<measure_dir_name:string,arguments:map<string,string>>"
 MODEL_LIST = f"array<array<{STEP}>>"
-WORKFLOW = (
-    "file_paths array<string>, measure_paths array<string>, seed_file string, "
-    f"weather_file string, run_directory string, steps array<{STEP}>"
-)
 # ``value`` holds ints, doubles or strings in the documents; reading it as a
 # string keeps all of them, typed casts come later (validate.typed_arguments).
 WORKFLOW_RESULT = (
@@ -21,30 +17,18 @@ WORKFLOW_RESULT = (
     "step_values:array<struct<name:string,value:string>>, "
     "step_warnings:array<string>, step_info:array<string>, step_errors:array<string>>>>"
 )
-MODEL_DIM = "model_id string, bldg_type string, bldg_vintage string, climate string"
 GRID = (
     "case_id string, hvac_tstat int, event_start int, event_hours int, "
     "precool_hours int, precool_deg int, reset_deg int"
 )
-OUTPUT_REQUEST = (
-    "key string, report string, variable_name string, reporting_frequency string"
-)
-PROFILE_POINT = (
-    "model_id string, schedule_id string, profile_id string, kind string, "
-    "until_min int, value double"
-)
 POINTS = "array<struct<until_min:int,value:double>>"
-SCHEDULE_RULE = (
-    "model_id string, schedule_id string, rule_order int, start_date date, "
-    "end_date date, dow array<boolean>, profile_id string"
-)
 LAYER = (
     "model_id string, construction_id string, layer_index int, material_id string, "
     "kind string, thickness double, r_value double, solar_abs double, thermal_abs double"
 )
 LOG = "run_id string, channel string, level string, message string"
 
-# Column names that replace the header of the two parameter files.
+# --- fixed values: column names that replace the header of the two parameter files ---
 BASE_MODEL_NAMES = ["BaseModelId", "bldg_type", "bldg_vintage", "climate_zone", "time_step"]
 EVENT_NAMES = [
     "MeasureId", "base_tstat", "start_hour", "end_hour",

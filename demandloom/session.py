@@ -78,7 +78,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="demandloom-")
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    if hasattr(spark, "_jvm"):  # goes when the session's JVM ends
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def fixed_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:

@@ -73,10 +73,6 @@ def test_codes(one_model):
     assert {(r.precool_hours, r.precool_hours_code) for r in coded.collect()} == {(2, None), (4, 6), (6, 11)}
 
 
-def test_code_table_lists_every_code(spark):
-    assert design.code_table(spark).count() == sum(len(m) for m in K.CODES.values())
-
-
 def test_baseline_of_each_case(one_model):
     cases = design.event_grid(one_model)
     matched = design.match_baseline(cases)
