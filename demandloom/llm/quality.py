@@ -3,7 +3,14 @@
 Every rule looks at one count or share of a text and votes keep (1), reject (-1) or
 abstains (0). How often each rule gives each vote on good and on bad texts is not
 known; expectation-maximisation estimates it, and the share of good texts, from
-how the rules agree over the whole corpus. A text's posterior probability decides.
+how the rules agree over the whole corpus. A text's posterior probability of being
+good decides.
+
+Bad texts are of several kinds (all symbols, all capitals, the same line again and
+again), and within a kind the rules are independent; one class for all of them
+would be taken by the kind on which two rules agree. So there is a kind for each
+rule that rejects at most ``MOST_BAD`` of the texts: rules that reject more are not
+believed on their own, only as far as they agree with the kinds of others.
 
 All work on texts is DataFrame functions. The rules' votes are counted by pattern,
 of which there are at most ``3 ** rules`` whatever the size of the corpus; the
@@ -22,6 +29,8 @@ from demandloom.llm.common import BLANKS, durable
 
 WINDOW = 8
 ROUNDS = 50
+MOST_BAD = 0.3
+_LEAST = 0.001
 FEATURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits",
 )
@@ -127,42 +136,68 @@ def rules() -> dict[str, Column]:
 
 
 class Model:
-    """``good``: share of good texts. ``weight[rule][vote]``: log odds that the vote adds."""
+    """Log shares of the classes, good first, and ``weight[class][rule][vote]``, log probabilities of votes.
+
+    An abstention says nothing about the class.
+    """
+
+    def __init__(self, names: list[str], share: list[float], weight: list[list[dict[int, float]]]):
+        self.names, self.share, self.weight = names, share, weight
+
+    def scores(self, votes: tuple[int, ...]) -> list[float]:
+        return [s + sum(own[v] for own, v in zip(rules, votes)) for s, rules in zip(self.share, self.weight)]
 
-    def __init__(self, names: list[str], good: float, weight: list[dict[int, float]]):
-        self.names, self.good, self.weight = names, good, weight
+    def good(self, votes: tuple[int, ...]) -> float:
+        return _shares(self.scores(votes))[0]
 
     def posterior(self) -> Column:
-        odds = F.lit(math.log(self.good / (1 - self.good)))
-        for name, own in zip(self.names, self.weight):
-            odds = odds + F.element_at(F.create_map(*(F.lit(x) for pair in sorted(own.items()) for x in pair)), F.col(name))
-        return 1 / (1 + F.exp(-odds))
+        """The probability of being good, over vote columns of ``names``."""
 
+        def score(share: float, rules: list[dict[int, float]]) -> Column:
+            total = F.lit(share)
+            for name, own in zip(self.names, rules):
+                total = total + F.element_at(F.create_map(*(F.lit(x) for pair in sorted(own.items()) for x in pair)), F.col(name))
+            return total
 
-def estimate(names: list[str], patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> Model:
-    """EM over counted vote patterns, from the majority vote on. Votes are independent given the class.
+        good, *bad = (score(share, rules) for share, rules in zip(self.share, self.weight))
+        odds = F.lit(1.0)
+        for own in bad:
+            odds = odds + F.exp(F.least(own - good, F.lit(700.0)))
+        return 1 / odds
+
+
+def _shares(scores: list[float]) -> list[float]:
+    top = max(scores)
+    parts = [math.exp(s - top) for s in scores]
+    return [p / sum(parts) for p in parts]
 
-    Without texts, or without any vote, a text is as likely good as bad.
+
+def estimate(names: list[str], patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> Model:
+    """EM over counted vote patterns. It starts from good texts as those that no rule rejects, and a
+    bad kind for what each rule rejects. Without texts, a text is as likely good as bad.
     """
-    belief = {p: 0.5 + 0.45 * (sum(p) > 0) - 0.45 * (sum(p) < 0) for p in patterns}
-    good, weight = 0.5, [dict.fromkeys((-1, 0, 1), 0.0) for _ in names]
+    total = sum(patterns.values())
+    rejected = [sum(n for p, n in patterns.items() if p[j] < 0) for j in range(len(names))]
+    kinds = [j for j, n in enumerate(rejected) if 0 < n <= MOST_BAD * total]
+    belief = {}
+    for p in patterns:
+        own = [0.5 if p[j] < 0 else 0.001 for j in kinds]
+        belief[p] = _shares([math.log(x) for x in [0.9 if max(own, default=0) < 0.1 else 0.05, *own]])
+    model = Model(names, [math.log(0.5)] * 2, [[dict.fromkeys((-1, 0, 1), 0.0) for _ in names]] * 2)
     for _ in range(rounds if patterns else 0):
-        total = sum(patterns.values())
-        right = sum(n * belief[p] for p, n in patterns.items())
-        good = min(max((right + 1) / (total + 2), 1e-6), 1 - 1e-6)
-        for j, own in enumerate(weight):
-            for vote in own:
-                voted = [(n, belief[p]) for p, n in patterns.items() if p[j] == vote]
-                if_good = (sum(n * b for n, b in voted) + 1) / (right + 3)
-                if_bad = (sum(n * (1 - b) for n, b in voted) + 1) / (total - right + 3)
-                own[vote] = math.log(if_good / if_bad)
-            # a vote for a class never speaks against it
-            own[1], own[-1] = max(own[1], 0.0), min(own[-1], 0.0)
-        prior = math.log(good / (1 - good))
-        for p in belief:
-            odds = prior + sum(own[vote] for own, vote in zip(weight, p))
-            belief[p] = 1 / (1 + math.exp(-min(max(odds, -700), 700)))
-    return Model(names, good, weight)
+        sizes = [sum(n * belief[p][k] for p, n in patterns.items()) for k in range(len(kinds) + 1)]
+        weight = []
+        for k in range(len(sizes)):
+            rules = []
+            for j in range(len(names)):
+                keep, reject = (
+                    sum(n * belief[p][k] for p, n in patterns.items() if p[j] == vote) + _LEAST for vote in (1, -1)
+                )
+                rules.append({-1: math.log(reject / (keep + reject)), 0: 0.0, 1: math.log(keep / (keep + reject))})
+            weight.append(rules)
+        model = Model(names, [math.log((size + _LEAST) / (total + len(sizes) * _LEAST)) for size in sizes], weight)
+        belief = {p: _shares(model.scores(p)) for p in patterns}
+    return model
 
 
 def with_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:

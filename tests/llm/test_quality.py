@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -43,13 +44,13 @@ def test_repeated_windows(spark):
 def test_em_finds_out_which_rules_to_believe():
     patterns = Counter()
     for k in range(1000):  # two good rules, one that votes at random
-        good = k % 10 < 7
+        good = k % 10 < 8
         right = 1 if good else -1
-        patterns[(right if k % 20 else 0, right if k % 7 else -right, 1 if k % 3 else -1)] += 1
+        patterns[(right if k % 20 else 0, right if k % 70 else -right, 1 if k % 3 else -1)] += 1
     model = quality.estimate(["a", "b", "c"], dict(patterns))
-    assert abs(model.good - 0.7) < 0.1
-    spread = [own[1] - own[-1] for own in model.weight]
-    assert spread[0] > spread[2] and spread[1] > spread[2]
+    assert abs(math.exp(model.share[0]) - 0.8) < 0.1
+    assert model.good((1, 1, -1)) > 0.9 > 0.1 > model.good((-1, -1, 1))
+    assert abs(model.good((1, 1, -1)) - model.good((1, 1, 1))) < 0.05
 
 
 def test_junk_goes_and_clean_stays(spark):
@@ -68,7 +69,7 @@ def test_awkward_rows(spark):
     assert (got[1].n_words, got[2].n_words, got[3].n_words, got[4].n_words, got[6].word_chars) == (0, 0, 0, 40_000, 50_000)
     assert quality.with_quality(table).count() == table.count()
     assert quality.with_quality(table.limit(0)).count() == 0
-    assert quality.estimate(["a"], {}).good == 0.5
+    assert quality.estimate(["a"], {}).good((1,)) == 0.5
 
 
 def test_main_path_is_dataframe_functions_only(spark):
