@@ -7,8 +7,10 @@ learn how far earlier ones can be trusted; the models used afterwards are fitted
 on all sampled rows.
 
 The chain is fitted on at most ``SAMPLE_ROWS`` labelled rows, taken by the hash of their
-id. Words are features if they stand in ``LEAST_TEXTS`` sampled texts at least. Every text
-of the corpus is scored whole.
+id. Features are the words and the beginnings of words (``STEMS`` characters, so that other
+endings of a word count) that stand in ``LEAST_TEXTS`` sampled texts at least. A feature
+weighs in by the log ratio of its frequency in positive and other texts. Every
+text of the corpus is scored whole.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from demandloom.llm.common import slices
 
 SAMPLE_ROWS = 6000
-LEAST_TEXTS = 3
+LEAST_TEXTS = 5
+STEMS = (4, 5, 6)
 FOLDS = 3
 STEPS = 60
 RIDGE = 2.0
@@ -41,8 +44,10 @@ TOXIC = "toxic"
 
 
 def words_of(text: str | None) -> list[str]:
-    """The different words of a text, lower case, in order of the alphabet."""
-    return sorted(set(_WORD.findall(text.lower()))) if text else []
+    """The different words of a text, lower case, and their stems with a star, in order of the alphabet."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    stems = {word[:size] + "*" for size in STEMS for word in words if len(word) > size}
+    return sorted(words | stems)
 
 
 class Rows:
@@ -63,7 +68,7 @@ class Rows:
 
 
 class Linear:
-    """Logistic regression on words and further columns."""
+    """Logistic regression on words, each scaled by its log ratio, and on further columns."""
 
     def __init__(self, n_words: int, n_more: int):
         self.word = np.zeros(n_words)
@@ -75,20 +80,30 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
     def fit(self, rows: Rows, more: np.ndarray, label: np.ndarray) -> Linear:
-        """Gradient steps scaled by each weight's own past gradients; ridge on the words."""
-        past = [np.full_like(self.word, 1e-8), np.full_like(self.more, 1e-8), 1e-8]
-        for _ in range(STEPS if rows.n else 0):
+        """Gradient steps, each scaled by the weight's own past gradients; ridge on the scaled words."""
+        if not rows.n:
+            return self
+        n = len(self.word)
+        positive = np.bincount(rows.word, weights=label[rows.row], minlength=n) + 0.5
+        other = np.bincount(rows.word, minlength=n) + 1 - positive
+        scale = np.log(positive / (label.sum() + 1)) - np.log(other / (len(label) - label.sum() + 1))
+        share = (label.sum() + 0.5) / (len(label) + 1)
+        self.bias = float(np.log(share / (1 - share)))
+        weight = np.zeros(n)
+        past = [np.full_like(weight, 1e-8), np.full_like(self.more, 1e-8), 1e-8]
+        for _ in range(STEPS):
             wrong = self.predict(rows, more) - label
             slopes = [
-                np.bincount(rows.word, weights=wrong[rows.row], minlength=len(self.word)) + RIDGE * self.word,
-                more.T @ wrong,
+                np.bincount(rows.word, weights=wrong[rows.row], minlength=n) * scale + RIDGE * weight,
+                more.T @ wrong + 0.1 * self.more,
                 wrong.sum(),
             ]
             past = [p + s * s for p, s in zip(past, slopes)]
             steps = [0.5 * s / np.sqrt(p) for s, p in zip(slopes, past)]
-            self.word -= steps[0]
+            weight -= steps[0]
             self.more -= steps[1]
             self.bias -= steps[2]
+            self.word = weight * scale
         return self
 
 

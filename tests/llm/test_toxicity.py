@@ -4,7 +4,7 @@ from demandloom.llm import toxicity
 from demandloom.llm.queries import QUERIES
 from tests.llm.cases import SF_DIR, awkward, clashing
 
-SMALL = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.1"
 
 
 def test_accuracy_on_rows_that_are_not_learned_from(spark):
