@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from demandloom.llm.common import slices
 
 _BLANK = "▁"
-_CACHED = 1 << 18
+_CACHED = 1 << 20
 _PAIRS = 1 << 19
-_LONG = 64
+_SLICE_BYTES = 4 << 20
 
 
 class PieceCounter:
@@ -51,14 +52,38 @@ class PieceCounter:
         stop = "".join(map(re.escape, alone))
         single = f"|[{stop}]" if alone else ""
         self.words = re.compile(f"{_BLANK}*[^{_BLANK}{stop}]+{single}|{_BLANK}+")
+        self._number_tokens()
         self.pairs: dict[int, bool] = {}
-        # pieces that their own merges arrive at; no other piece is ever a token
-        self.tokens = {piece: i for i, piece in enumerate(self.score) if self._merged(piece) == [piece]}
-        self.known = _Counts(self)
-
-    def _merged(self, text: str) -> list[str]:
-        """``text`` by its merges: the best-scored neighbours first, of equal ones the left."""
-        parts = list(text)
+        self.known: dict[str, int] = {}  # tokens of whole words
+
+    def _number_tokens(self) -> None:
+        """Numbers of the tokens, what each is made of, and the rank of its last merge: -1 for characters.
+
+        A piece that its own merges do not arrive at is never a token. Equal scores are equal ranks.
+        """
+        singles = [p for p in self.score if len(p) == 1]
+        whole = [p for p in self.score if len(p) > 1 and self._merged(p)[0] == [p]]
+        self.tokens = {piece: number for number, piece in enumerate([*singles, *whole])}
+        places = {score: rank for rank, score in enumerate(sorted({-self.score[p] for p in self.score if len(p) > 1}))}
+        self.rank = [-1] * len(singles) + [places[-self.score[p]] for p in whole]
+        self.halves: list[tuple[int, int] | None] = [None] * len(singles)
+        for piece in whole:
+            left, right = self._merged(piece)[1]
+            self.halves.append((self.tokens[left], self.tokens[right]))
+        # every pair that merges, also into a piece that is no token in the end
+        self.joined = {
+            pair: places[-self.score[p]] for p in self.score if len(p) > 1 for pair in self._splits(p)
+        }
+
+    def _splits(self, piece: str) -> Iterator[tuple[int, int]]:
+        for cut in range(1, len(piece)):
+            left, right = self.tokens.get(piece[:cut]), self.tokens.get(piece[cut:])
+            if left is not None and right is not None:
+                yield left, right
+
+    def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """``text`` by its merges, the best-scored neighbours first, of equal ones the left; and the last merge."""
+        parts, last = list(text), None
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -67,38 +92,83 @@ class PieceCounter:
                     best, at = score, i
             if best is None:
                 break
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _fits(self, left: str, right: str) -> bool:
-        key = self.tokens[left] << 32 | self.tokens[right]
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merged(left + right) == [left, right]
-        return known
-
-    def prefix_counts(self, word: str) -> list[int]:
-        """The number of tokens of every prefix of ``word``, from one character on."""
-        tokens, longest = self.tokens, self.longest
-        last, counts = [""], [0]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                if piece in tokens and (not last[start] or self._fits(last[start], piece)):
-                    last.append(piece)
+        return parts, last
+
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether the two tokens stay two when their texts are merged as one.
+
+        Undoes the merges of both, the later one first, and looks whether the pieces
+        that then touch would have been merged before.
+        """
+        key = left << 32 | right
+        if (known := self.pairs.get(key)) is not None:
+            return known
+        joined, halves, rank, fits = self.joined, self.halves, self.rank, None
+        limit = len(rank)
+        while fits is None:
+            if joined.get((left, right), limit) < limit:
+                fits = False
+            elif rank[left] > rank[right] or not halves[right]:
+                if halves[left]:
+                    limit, left = rank[left], halves[left][1]
+                else:
+                    fits = True
+            else:  # of equal ranks the left merges first, so a pair across would have come before
+                limit, right = rank[right] + 1, halves[right][0]
+        if len(self.pairs) >= _PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = fits
+        return fits
+
+    def _extend(self, word: str, last: list[int | None], counts: list[int]) -> None:
+        """Last token and count of every prefix of ``word`` from those of a shorter prefix on."""
+        tokens, longest, fits = self.tokens.get, self.longest, self._fits
+        for end in range(len(last), len(word) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = tokens(word[start:end])
+                if token is not None and ((before := last[start]) is None or fits(before, token)):
+                    last.append(token)
                     counts.append(counts[start] + 1)
                     break
             else:  # a character outside the vocabulary: its bytes, and nothing merges with them
-                last.append("")
+                last.append(None)
                 counts.append(counts[-1] + len(word[end - 1].encode()))
+
+    def prefix_counts(self, word: str) -> list[int]:
+        """The number of tokens of every prefix of ``word``, from one character on."""
+        last: list[int | None] = [None]
+        counts = [0]
+        self._extend(word, last, counts)
         return counts[1:]
 
-    def split(self, text: str) -> list[str]:
+    def learn(self, words: set[str]) -> None:
+        """Counts of new words. In order of the alphabet, a word goes on where it parts from the one before."""
+        before = ""
+        last: list[int | None] = [None]
+        counts = [0]
+        for word in sorted(words):
+            same = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :], counts[same + 1 :]
+            self._extend(word, last, counts)
+            self.known[word] = counts[-1]
+            before = word
+
+    def split(self, text: str | None) -> list[str]:
         return self.words.findall((_BLANK + text).replace(" ", _BLANK)) if text else []
 
-    def count(self, text: str) -> int:
-        return sum(map(self.known.__getitem__, self.split(text)))
+    def totals(self, texts: list[str | None]) -> list[int]:
+        """The number of tokens of each text."""
+        cut = [self.split(text) for text in texts]
+        if len(self.known) > _CACHED:
+            self.known.clear()
+        self.learn(set(chain.from_iterable(cut)) - self.known.keys())
+        return [sum(map(self.known.__getitem__, words)) for words in cut]
 
     def counts(self, text: str) -> list[int]:
         """The number of tokens of ``text[:n]`` for every ``n`` from 0 to its length."""
@@ -110,22 +180,6 @@ class PieceCounter:
         return [0, *out[1:]]  # the blank in front is no character of the text
 
 
-class _Counts(dict):
-    """Tokens of whole words; emptied when full."""
-
-    def __init__(self, counter: PieceCounter):
-        super().__init__()
-        self.counter = counter
-
-    def __missing__(self, word: str) -> int:
-        n = self.counter.prefix_counts(word)[-1]
-        if len(word) <= _LONG:
-            if len(self) >= _CACHED:
-                self.clear()
-            self[word] = n
-        return n
-
-
 @cache
 def counter(model_file: str) -> PieceCounter:
     return PieceCounter(model_file)
@@ -146,10 +200,10 @@ def token_counts(
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model_file)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, _SLICE_BYTES):
             texts = [text or "" for text in part.column(1).to_pylist()]
             marks = [own.counts(text) for text in texts] if prefixes else None
-            totals = [row[-1] for row in marks] if prefixes else [own.count(text) for text in texts]
+            totals = [row[-1] for row in marks] if prefixes else own.totals(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
