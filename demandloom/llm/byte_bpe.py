@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,39 +33,44 @@ from pyspark.sql import types as T
 from demandloom.llm.common import slices
 
 LONG = 256
-_CACHED = 1 << 18
-_BLOCK_BYTES = 1 << 20
-_SLICE_BYTES = 4 << 20
+_CACHED = 400_000
+_BLOCK_BYTES = 1 << 18
+_SLICE_BYTES = 2 << 20
 
 # White space as the tokenizer's library has it (the Unicode property).
 _WHITE = r"\t-\r \x85\xa0  -     　"
 # No piece crosses these borders: a blank and what is not white, or white space.
 _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
+# Each row points to the position after it. In a round, every piece joins its neighbour
+# pairs to the merges, takes the one of lowest rank and then leftmost (rank and position
+# in one number), and loses the row that was merged into its left neighbour.
 _CONTRACT = """
-with recursive step(piece, pos, token, round) as (
-    select piece, pos, token, 0 from start
+with recursive step(piece, pos, token, next, round) as (
+    select piece, pos, token, lead(pos) over (partition by piece order by pos), 0 from start
     union all
-    select piece, pos, case when pos = best & 16777215 then best >> 24 else token end, round + 1
-    from (
-        select s.piece, s.pos, s.token, s.round, s.before,
-               min((m.merged::bigint << 24) | s.pos) over (partition by s.piece) as best
-        from (
-            select *, lead(token) over w as follower, lag(pos) over w as before
-            from step window w as (partition by piece order by pos)
-        ) s left join merges m on m.first = s.token and m.second = s.follower
+    select * from (
+        with pairs as (
+            select l.piece, l.next as gone, r.next as after, (m.merged::bigint << 24) | l.pos as key
+            from step l join step r on l.piece = r.piece and l.next = r.pos
+            join merges m on m.first = l.token and m.second = r.token
+        ), best as (
+            select piece, min(key) as key, arg_min(gone, key) as gone, arg_min_null(after, key) as after
+            from pairs group by piece
+        )
+        select s.piece, s.pos,
+            case when s.pos = b.key & 16777215 then (b.key >> 24)::int else s.token end,
+            case when s.pos = b.key & 16777215 then b.after else s.next end,
+            s.round + 1
+        from step s join best b using (piece) where s.pos <> b.gone
     )
-    where best is not null and (before is null or before <> best & 16777215)
 )
-select piece, list(token order by pos) as tokens
-from step where (piece, round) in (select piece, max(round) from step group by piece)
-group by piece
+select piece, pos, token, round from step
 """
 
 _DECODE = """
-select number, unhex(string_agg(hex(bytes), '' order by place)) as bytes
-from (select number, unnest(ids) as id, generate_subscripts(ids, 1) as place from sequences)
-join vocabulary using (id) group by number
+select number, string_agg(text, '' order by place) as text
+from sequences join vocabulary using (id) group by number
 """
 
 
@@ -79,8 +85,11 @@ class ByteBpe:
         pattern = pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"(?!\S)", f"(?![^{_WHITE}])")
         self.pattern = regex.compile(pattern.replace(r"\s+", f"[{_WHITE}]+"))
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # packed ids of chunks, and of the pieces that chunks are made of; decoded bytes are
+        # kept only where decoding the ids did not give the bytes of the text
+        self.ids: dict[str, bytes] = {}
+        self.changed: dict[str, bytes] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.db.execute("set temp_directory = ''")
         first, second, merged = [], [], []
         for token, rank in self.ranks.items():
@@ -93,13 +102,16 @@ class ByteBpe:
         merges = pa.table({"first": first, "second": second, "merged": merged}).cast(
             pa.schema([("first", pa.int32()), ("second", pa.int32()), ("merged", pa.int32())])
         )
-        words = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())})
+        # bytes as the characters of the same numbers, so that they add up as text
+        texts = [token.decode("latin-1") for token in self.ranks]
+        words = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "text": pa.array(texts, pa.string())})
         for name, table in (("merges", merges), ("vocabulary", words)):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
 
-    def _recursive(self, pieces: list[bytes]) -> list[list[int]]:
+    def _recursive(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece."""
         lengths = np.array([len(piece) for piece in pieces])
         ends = np.cumsum(lengths)
         start = pa.table(
@@ -110,14 +122,18 @@ class ByteBpe:
             }
         )
         self.db.register("start", start)
-        rows = self.db.execute(_CONTRACT).to_arrow_table()
+        rows = self.db.sql(_CONTRACT).to_arrow_table()
         self.db.unregister("start")
-        out: list[list[int]] = [[]] * len(pieces)
-        for piece, tokens in zip(rows.column("piece").to_pylist(), rows.column("tokens").to_pylist()):
-            out[piece] = tokens
-        return out
-
-    def _by_heap(self, piece: bytes) -> list[int]:
+        piece, pos, token, turn = (rows.column(i).to_numpy() for i in range(4))
+        last = np.zeros(len(pieces), dtype=turn.dtype)
+        np.maximum.at(last, piece, turn)
+        done = np.flatnonzero(turn == last[piece])
+        done = done[np.lexsort((pos[done], piece[done]))]
+        packed = token[done].astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(piece[done], np.arange(len(pieces) + 1))).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _by_heap(self, piece: bytes) -> bytes:
         """The same contraction: lowest rank first, of equal ones the leftmost."""
         parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
         right = [*range(1, len(parts)), -1]
@@ -145,14 +161,15 @@ class ByteBpe:
                 left[right[at]] = at
             offer(left[at])
             offer(at)
-        return [self.ranks[part] for part in parts if part is not None]
+        return _packed(self.ranks[part] for part in parts if part is not None)
 
-    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
+    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of different pieces."""
         out, block, held = {}, [], 0
         todo = []
         for piece in pieces:
             if piece in self.ranks:  # a piece that is a token is that token, whatever its merges
-                out[piece] = [self.ranks[piece]]
+                out[piece] = _packed([self.ranks[piece]])
             elif len(piece) > LONG:
                 out[piece] = self._by_heap(piece)
             else:
@@ -165,40 +182,79 @@ class ByteBpe:
             out.update(zip(block, self._recursive(block)))
         return out
 
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids."""
+    def decode(self, sequences: list[bytes]) -> list[bytes]:
+        """The bytes of each packed list of ids."""
         out = [b""] * len(sequences)
         if any(sequences):
-            table = pa.table({"number": pa.array(range(len(sequences)), pa.int32()), "ids": pa.array(sequences, pa.list_(pa.int32()))})
+            lengths = np.array([len(ids) // 4 for ids in sequences])
+            ids = np.frombuffer(b"".join(sequences), dtype="<u4").astype(np.int32)
+            table = pa.table(
+                {
+                    "number": np.repeat(np.arange(len(sequences), dtype=np.int32), lengths),
+                    "place": np.arange(len(ids), dtype=np.int32),
+                    "id": ids,
+                }
+            )
             self.db.register("sequences", table)
-            rows = self.db.execute(_DECODE).to_arrow_table()
+            rows = self.db.sql(_DECODE).to_arrow_table()
             self.db.unregister("sequences")
-            for number, text in zip(rows.column("number").to_pylist(), rows.column("bytes").to_pylist()):
-                out[number] = text
+            for number, text in zip(rows.column("number").to_pylist(), rows.column("text").to_pylist()):
+                out[number] = text.encode("latin-1")
         return out
 
+    def _pieces(self, chunk: str) -> list[str]:
+        if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha():
+            return [chunk]  # letters behind at most one blank are one piece
+        return self.pattern.findall(chunk)
+
     def learn(self, chunks: set[str]) -> None:
         """Encode and decode chunks that are not known yet."""
-        new = sorted(chunks)
-        cut = [[piece.encode() for piece in self.pattern.findall(chunk)] for chunk in new]
-        ids = self.encode_pieces(dict.fromkeys(chain.from_iterable(cut)))
-        tokens = [list(chain.from_iterable(map(ids.__getitem__, pieces))) for pieces in cut]
+        cut = {chunk: self._pieces(chunk) for chunk in chunks}
+        new = list(set(chain.from_iterable(cut.values())) - self.ids.keys())
+        encoded = [piece.encode() for piece in new]
+        ids = self.encode_pieces(encoded)
+        packed = [ids[piece] for piece in encoded]
         for start in range(0, len(new), 50_000):
             part = slice(start, start + 50_000)
-            for chunk, own, text in zip(new[part], tokens[part], self.decode(tokens[part])):
-                self.chunks[chunk] = (np.array(own, dtype="<u4").tobytes(), text)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """``(ids as little-endian unsigned 32-bit integers, decoded bytes)`` of each text."""
+            self.ids.update(zip(new[part], packed[part]))
+            for piece, own, text in zip(new[part], encoded[part], self.decode(packed[part])):
+                if text != own:
+                    self.changed[piece] = text
+        for chunk, pieces in cut.items():
+            if len(pieces) > 1:
+                self.ids[chunk] = b"".join(map(self.ids.__getitem__, pieces))
+                if self.changed and not self.changed.keys().isdisjoint(pieces):
+                    self.changed[chunk] = b"".join([self.changed.get(piece, piece.encode()) for piece in pieces])
+
+    def encode(self, texts: list[str | None]) -> tuple[pa.BinaryArray, pa.BinaryArray]:
+        """Ids as little-endian unsigned 32-bit integers and decoded bytes of each text.
+
+        Each different chunk is looked up once; its bytes are then laid out in the
+        order of the texts, where a text's bytes are those between its bounds.
+        """
         cut = [_CHUNK.findall(text) if text else [] for text in texts]
-        if len(self.chunks) > _CACHED:
-            self.chunks.clear()
-        self.learn(set(chain.from_iterable(cut)) - self.chunks.keys())
-        out = []
-        for chunks in cut:
-            found = [self.chunks[chunk] for chunk in chunks]
-            out.append((b"".join([ids for ids, _ in found]), b"".join([text for _, text in found])))
-        return out
+        bounds = np.cumsum([0, *map(len, cut)])
+        coded = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if len(self.ids) > _CACHED:
+            self.ids.clear()
+            self.changed.clear()
+        self.learn(set(chunks) - self.ids.keys())
+
+        def laid_out(each: pa.BinaryArray) -> pa.BinaryArray:
+            whole = each.take(coded.indices)
+            _, offsets, data = whole.buffers()
+            ends = np.frombuffer(offsets, dtype=np.int32)[bounds] if len(whole) else np.zeros(len(bounds), dtype=np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), data])
+
+        decoded = coded.dictionary.cast(pa.binary())
+        if self.changed:
+            decoded = pa.array([self.changed.get(c, c.encode()) for c in chunks], pa.binary())
+        return laid_out(pa.array(map(self.ids.__getitem__, chunks), pa.binary())), laid_out(decoded)
+
+
+def _packed(ids: Iterable[int]) -> bytes:
+    return np.fromiter(ids, dtype="<u4").tobytes()
 
 
 @cache
@@ -220,12 +276,8 @@ def encode_texts(
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(rank_file, pattern)
         for part in slices(batches, 1, _SLICE_BYTES):
-            found = own.encode(part.column(1).to_pylist())
-            ids, decoded = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
-                names=["doc_id", "ids", "decoded"],
-            )
+            ids, decoded = own.encode(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
@@ -242,13 +294,13 @@ def with_tokens(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(rank_file, pattern)
         for part in slices(batches, at, _SLICE_BYTES):
-            texts = part.column(at).to_pylist()
-            found = own.encode(texts)
-            same = [decoded == (text or "").encode() for text, (_, decoded) in zip(texts, found)]
-            flat = np.frombuffer(b"".join([ids for ids, _ in found]), dtype="<u4").astype(np.int32)
-            ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)]).astype(np.int32)
+            texts = part.column(at)
+            ids, decoded = own.encode(texts.to_pylist())
+            same = pc.equal(pc.fill_null(texts.cast(pa.binary()), b""), decoded)
+            flat = np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4").astype(np.int32)
+            ends = np.cumsum([0, *(n // 4 for n in pc.binary_length(ids).to_pylist())]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, pa.bool_())],
+                [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), same],
                 names=[*part.schema.names, "token_ids", "round_trip"],
             )
 
