@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.llm import byte_bpe, decontam, langid, pii, simhash
-from demandloom.llm.common import documents, shared_folder
+from demandloom.llm.common import documents, stored
 
 # Texts of which less than this share of trigrams is known in any language are rejected.
 LEAST_SCORE = 0.2
@@ -53,11 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read again for the next one."""
     docs = documents(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
-            path = f"{folder}/{number}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(docs, name)
     return docs
