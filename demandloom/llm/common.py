@@ -52,6 +52,18 @@ def text_hash(text: Column) -> Column:
     return F.when(text.isNotNull(), F.xxhash64(text))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken = {column.lower() for column in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of about ``most`` bytes in column ``text_at``, one row at least."""
     for batch in batches:

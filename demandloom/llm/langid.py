@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from demandloom.llm.common import durable, slices
+from demandloom.llm.common import durable, free_names, slices
 
 POSITIONS = 1 << 18
 HASHES = 2
@@ -219,7 +219,7 @@ def reject_unknown(docs: DataFrame, least_score: float, id_col: str = "doc_id",
     """``docs`` without those whose language cannot be told: no letters, or a score below ``least_score``."""
     learn_from = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     filters = learn_languages(learn_from, lang_col)
-    own = {name: f"__{name}" for name in ("lang_pred", "score") if name in docs.columns}
+    own = dict(zip(("lang_pred", "score"), free_names(docs, "lang_pred", "score")))
     tagged = predict_languages(docs.withColumnsRenamed(own), filters)
     kept = tagged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
     return kept.drop("lang_pred", "score").withColumnsRenamed({new: old for old, new in own.items()})

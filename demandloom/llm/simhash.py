@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from demandloom.llm.common import durable, slices, text_hash, utf8_texts
+from demandloom.llm.common import durable, free_names, slices, text_hash, utf8_texts
 from demandloom.llm.components import connected_components
 
 BITS = 64
@@ -184,11 +184,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     groups = simhash_groups(docs, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text_hash").isNull(), "text_hash")
     keepers = groups.groupBy("group_fp").agg(F.min(order).alias("k"))
-    keepers = keepers.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    tagged = docs.withColumns({"__key_id": F.col("doc_id"), "__key_hash": text_hash(F.col("text"))})
+    own_id, own_hash, key_id, key_hash = free_names(docs, "own_id", "own_hash", "key_id", "key_hash")
+    keepers = keepers.select(F.col("k.doc_id").alias(key_id), F.col("k.text_hash").alias(key_hash))
+    tagged = docs.withColumns({own_id: F.col("doc_id"), own_hash: text_hash(F.col("text"))})
     kept = tagged.join(
         keepers,
-        F.col("__key_id").eqNullSafe(F.col("__id")) & F.col("__key_hash").eqNullSafe(F.col("__hash")),
+        F.col(own_id).eqNullSafe(F.col(key_id)) & F.col(own_hash).eqNullSafe(F.col(key_hash)),
         "left_semi",
     )
-    return kept.dropDuplicates(["__key_id", "__key_hash"]).drop("__key_id", "__key_hash")
+    return kept.dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)
