@@ -16,12 +16,13 @@ text of the corpus is scored whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from demandloom.llm.common import slices
 
@@ -43,21 +44,27 @@ SEEDS = {
 TOXIC = "toxic"
 
 
-def words_of(text: str | None) -> list[str]:
-    """The different words of a text, lower case, and their stems with a star, in order of the alphabet."""
-    words = set(_WORD.findall(text.lower())) if text else set()
+def features(words: Iterable[str]) -> np.ndarray:
+    """Sorted 64-bit hashes of different words, and of their stems with a star."""
+    words = {word.lower() for word in words}
     stems = {word[:size] + "*" for size in STEMS for word in words if len(word) > size}
-    return sorted(words | stems)
+    return np.array(sorted(map(xxh3_64_intdigest, words | stems)), dtype=np.uint64)
+
+
+def features_of(text: str | None) -> np.ndarray:
+    return features(_WORD.findall(text) if text else ())
 
 
 class Rows:
-    """Word numbers of texts, one text after the other."""
+    """Numbers of the known features of texts, one text after the other. ``known`` is sorted."""
 
-    def __init__(self, texts: list[list[str]], words: dict[str, int]):
-        found = [[words[w] for w in text if w in words] for text in texts]
-        self.n = len(found)
-        self.word = np.array([w for text in found for w in text], dtype=np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(text) for text in found])
+    def __init__(self, texts: list[np.ndarray], known: np.ndarray):
+        self.n = len(texts)
+        row = np.repeat(np.arange(self.n), [len(text) for text in texts])
+        every = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
+        at = np.searchsorted(known, every)
+        found = known[np.minimum(at, len(known) - 1)] == every if len(known) else np.zeros(len(every), dtype=bool)
+        self.word, self.row = at[found], row[found]
 
     def take(self, chosen: np.ndarray) -> Rows:
         part = object.__new__(Rows)
@@ -108,42 +115,45 @@ class Linear:
 
 
 class Chain:
-    """``models[i]`` predicts ``categories[i]`` from the words and the probabilities before it."""
+    """``models[i]`` predicts ``categories[i]`` from the known features and the probabilities before it."""
 
-    def __init__(self, categories: list[str], words: dict[str, int], models: list[Linear]):
-        self.categories, self.words, self.models = categories, words, models
+    def __init__(self, categories: list[str], known: np.ndarray, models: list[Linear]):
+        self.categories, self.known, self.models = categories, known, models
 
-    def predict(self, texts: list[list[str]]) -> np.ndarray:
-        rows = Rows(texts, self.words)
-        known = np.zeros((rows.n, 0))
+    def predict(self, texts: list[np.ndarray]) -> np.ndarray:
+        rows = Rows(texts, self.known)
+        chances = np.zeros((rows.n, 0))
         for model in self.models:
-            known = np.column_stack([known, model.predict(rows, known)])
-        return known
-
-
-def fit_chain(texts: list[list[str]], labels: dict[str, np.ndarray], folds: int = FOLDS, least_texts: int = LEAST_TEXTS) -> Chain:
-    """The chain over ``labels``, in their order. Rows of equal number modulo ``folds`` are a fold."""
-    seen: dict[str, int] = {}
-    for text in texts:
-        for word in text:
-            seen[word] = seen.get(word, 0) + 1
-    words = {word: i for i, word in enumerate(sorted(w for w, n in seen.items() if n >= least_texts))}
-    rows = Rows(texts, words)
+            chances = np.column_stack([chances, model.predict(rows, chances)])
+        return chances
+
+
+def fit_chain(
+    texts: list[np.ndarray], labels: dict[str, np.ndarray], folds: int = FOLDS, least_texts: int = LEAST_TEXTS
+) -> Chain:
+    """The chain over ``labels``, in their order, from the features of texts. Rows of equal number
+    modulo ``folds`` are a fold.
+    """
+    every = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
+    known, n = np.unique(every, return_counts=True)
+    known = known[n >= least_texts]
+    del every
+    rows = Rows(texts, known)
     fold = np.arange(rows.n) % folds
-    known, models = np.zeros((rows.n, 0)), []
-    for label in labels.values():
+    chances, models = np.zeros((rows.n, 0)), []
+    for place, label in enumerate(labels.values(), 1):
         unseen = np.zeros(rows.n)
-        for k in range(folds):
+        for k in range(folds if place < len(labels) else 0):  # nothing follows the last category
             train, test = fold != k, fold == k
-            part = Linear(len(words), known.shape[1]).fit(rows.take(train), known[train], label[train])
-            unseen[test] = part.predict(rows.take(test), known[test])
-        models.append(Linear(len(words), known.shape[1]).fit(rows, known, label))
-        known = np.column_stack([known, unseen])
-    return Chain(list(labels), words, models)
+            part = Linear(len(known), chances.shape[1]).fit(rows.take(train), chances[train], label[train])
+            unseen[test] = part.predict(rows.take(test), chances[test])
+        models.append(Linear(len(known), chances.shape[1]).fit(rows, chances, label))
+        chances = np.column_stack([chances, unseen])
+    return Chain(list(labels), known, models)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """``(toxic, words)`` of at most ``sample_rows`` rows that have a label and a text."""
+    """``(doc_id, toxic, features)`` of at most ``sample_rows`` rows that have a label and a text."""
     chosen = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -154,15 +164,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Dat
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
-            words = [words_of(text) for text in part.column(2).to_pylist()]
+            packed = [features_of(text).tobytes() for text in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"]
+                [part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded
     return rows.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(
-        each, f"doc_id {kind}, toxic int, words array<string>"
+        each, f"doc_id {kind}, toxic int, features binary"
     )
 
 
@@ -172,13 +182,15 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     Rows with a null id, label or text teach nothing; of several labels of an id the
     highest holds. Without any label every text has probability 0.5.
     """
-    sample = labelled_sample(docs, labels, sample_rows).collect()  # at most sample_rows, one per labelled id
-    sample.sort(key=lambda row: (str(row["doc_id"]), row["words"]))
-    texts = [row["words"] for row in sample]
+    # at most sample_rows rows, one per labelled id, of 8 bytes a feature
+    sample = labelled_sample(docs, labels, sample_rows).collect()
+    sample.sort(key=lambda row: (str(row["doc_id"]), bytes(row["features"])))
     toxic = np.array([row["toxic"] > 0 for row in sample], dtype=float)
-    marks = {
-        name: np.array([bool(set(seeds) & set(text)) for text in texts], dtype=float) * toxic for name, seeds in SEEDS.items()
-    }
+    texts = [np.frombuffer(row["features"], dtype=np.uint64) for row in sample]
+    marks = {}
+    for name, seeds in SEEDS.items():
+        words = np.array([xxh3_64_intdigest(seed) for seed in seeds], dtype=np.uint64)
+        marks[name] = np.array([np.isin(words, text).any() for text in texts], dtype=float) * toxic
     return fit_chain(texts, {**marks, TOXIC: toxic}, folds)
 
 
@@ -188,12 +200,12 @@ def predict_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text
     Null and empty texts are scored as texts without words. Null ids and repeated rows
     stay, an empty table gives an empty table, and further columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # words of the bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # features of the bounded sample
     names = [f"p_{category}" for category in chain.categories]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            scores = shared.value.predict([words_of(text) for text in part.column(1).to_pylist()])
+            scores = shared.value.predict([features_of(text) for text in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(scores[:, i]) for i in range(len(names)))], names=["doc_id", *names]
             )

@@ -27,11 +27,11 @@ def test_query_scores_every_document(spark):
 def test_later_models_use_earlier_probabilities():
     rng = np.random.default_rng(0)
     first = rng.random(600) < 0.5
-    texts = [sorted({"bad"} if f else {"good"}) for f in first]
+    texts = [toxicity.features(["bad"] if f else ["good"]) for f in first]
     chain = toxicity.fit_chain(texts, {"a": first.astype(float), "b": first.astype(float)})
     assert chain.models[0].more.shape == (0,) and chain.models[1].more.shape == (1,)
     assert chain.models[1].more[0] > 0
-    scores = chain.predict([["bad"], ["good"], []])
+    scores = chain.predict([toxicity.features(words) for words in (["bad"], ["good"], [])])
     assert scores[0, 1] > 0.9 and scores[1, 1] < 0.1
 
 
@@ -39,12 +39,12 @@ def test_out_of_fold_predictions_do_not_see_their_row(monkeypatch):
     seen = []
     fit = toxicity.Linear.fit
     monkeypatch.setattr(toxicity.Linear, "fit", lambda self, rows, more, label: seen.append(rows.n) or fit(self, rows, more, label))
-    toxicity.fit_chain([["a"], ["b"]] * 6, {"x": np.array([1.0, 0.0] * 6)}, folds=3)
-    assert seen == [8, 8, 8, 12]
+    toxicity.fit_chain([toxicity.features(["a"]), toxicity.features(["b"])] * 6, {name: np.array([1.0, 0.0] * 6) for name in "xy"}, folds=3)
+    assert seen == [8, 8, 8, 12, 12]
 
 
 def test_awkward_rows(spark):
-    table = clashing(awkward(spark), ["toxic", "p_toxic", "words"])
+    table = clashing(awkward(spark), ["toxic", "p_toxic", "features"])
     labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (6, None), (4, 0), (99, 1)], "doc_id long, toxic int")
     chain = toxicity.learn_toxicity(table, labels)
     got = toxicity.predict_toxicity(table, chain).collect()
