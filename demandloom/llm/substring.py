@@ -141,18 +141,26 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         raise ValueError("window - anchor has to be from 1 to 62")
     path = ["minimizer", "digest", "edges"]
     places = stored(_document_paths(docs, window, anchor), "paths")
-    shared = (
+    # Written tables on both sides of a join by a key that may be hot: adaptive execution
+    # can then split that key's rows, which it cannot above an aggregation of the same stage.
+    shared = stored(
         places.groupBy("minimizer")
         .agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("doc_id", "digest") for f in (F.min, F.max)))
         .where("min_doc_id < max_doc_id")
-        .select("minimizer", F.expr("min_digest <> max_digest").alias("branches"))
+        .select("minimizer", F.expr("min_digest <> max_digest").alias("branches")),
+        "shared",
     )
     repeated = stored(places.join(shared, "minimizer"), "repeated")
     firsts = stored(repeated.groupBy(*path, "branches").agg(F.min("doc_id").alias("first_doc")), "firsts")
     branching = firsts.where("branches").select(*path, F.col("first_doc").alias("doc_id"))
     sources = repeated.where("branches").join(branching, [*path, "doc_id"]).dropDuplicates(path)
     edges = stored(_unfolded(sources, docs, window), "edges")
-    smallest = edges.groupBy("minimizer", "edge").agg(F.min("first_doc").alias("smallest"))
+    smallest = stored(
+        edges.groupBy("minimizer", "edge")
+        .agg(F.min("first_doc").alias("smallest"), F.max("first_doc").alias("largest"))
+        .where("smallest < largest").drop("largest"),
+        "smallest",
+    )
     masks = (
         edges.join(smallest, ["minimizer", "edge"])
         .where("smallest < first_doc")
