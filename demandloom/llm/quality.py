@@ -9,8 +9,10 @@ good decides.
 Bad texts are of several kinds (all symbols, all capitals, the same line again and
 again), and within a kind the rules are independent; one class for all of them
 would be taken by the kind on which two rules agree. So there is a kind for each
-rule that rejects at most ``MOST_BAD`` of the texts: rules that reject more are not
-believed on their own, only as far as they agree with the kinds of others.
+rule that rejects anything, however many texts it rejects: one family of junk may
+be most of a corpus. Only :func:`estimate` on rules that nobody vouches for does not
+believe those that reject more than ``MOST_BAD`` of the texts on their own, as a rule
+that votes at random cannot be told from junk by counts.
 
 All work on texts is DataFrame functions. The rules' votes are counted by pattern,
 of which there are at most ``3 ** rules`` whatever the size of the corpus; the
@@ -20,7 +22,7 @@ iterations run over those counts.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,13 +174,17 @@ def _shares(scores: list[float]) -> list[float]:
     return [p / sum(parts) for p in parts]
 
 
-def estimate(names: list[str], patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> Model:
+def estimate(
+    names: list[str], patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, believed: Collection[str] = ()
+) -> Model:
     """EM over counted vote patterns. It starts from good texts as those that no rule rejects, and a
     bad kind for what each rule rejects. Without texts, a text is as likely good as bad.
+
+    Rules in ``believed`` have a kind at every share of texts, the others up to ``MOST_BAD``.
     """
     total = sum(patterns.values())
     rejected = [sum(n for p, n in patterns.items() if p[j] < 0) for j in range(len(names))]
-    kinds = [j for j, n in enumerate(rejected) if 0 < n <= MOST_BAD * total]
+    kinds = [j for j, n in enumerate(rejected) if n and (names[j] in believed or n <= MOST_BAD * total)]
     belief = {}
     for p in patterns:
         own = [0.5 if p[j] < 0 else 0.001 for j in kinds]
@@ -210,5 +216,5 @@ def with_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = durable(text_counts(docs, id_col, text_col)).withColumns(votes)
     names = list(votes)
     patterns = counts.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(names) rows
-    model = estimate(names, {tuple(row[name] for name in names): row["n"] for row in patterns}, rounds)
+    model = estimate(names, {tuple(row[name] for name in names): row["n"] for row in patterns}, rounds, believed=names)
     return counts.withColumn("posterior", model.posterior())

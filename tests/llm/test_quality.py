@@ -63,6 +63,34 @@ def test_junk_goes_and_clean_stays(spark):
     assert all(got[i] < 0.5 for i, _ in junk)
 
 
+def test_a_family_of_junk_goes_at_every_share():
+    names = [f"vote_{name}" for name in quality.rules()]
+
+    def pattern(*rejecting):
+        return tuple(-1 if name in rejecting else 1 for name in quality.rules())
+
+    clean, spam, loud = pattern(), pattern("symbols"), pattern("capitals", "marks")
+    both = pattern("symbols", "capitals", "marks")
+    for share in (200, 299, 310, 333, 500, 800):
+        rest = 1000 - share
+        for patterns in (
+            {clean: rest, spam: share},
+            {clean: rest - 30, spam: share, loud: 30},
+            {clean: rest - rest // 30, spam: share - share // 30, loud: rest // 30, both: share // 30},
+        ):
+            model = quality.estimate(names, patterns, believed=names)
+            assert model.good(clean) > 0.9, share
+            assert all(model.good(p) < 0.1 for p in patterns if p != clean), share
+
+
+def test_junk_of_a_third_or_half_of_the_rows_goes(spark):
+    for n in (20, 33, 50):
+        rows = [(i, " ".join(words(60, i))) for i in range(100 - n)]
+        rows += [(100 + i, " ".join(w + " $$$" for w in words(60, 100 + i))) for i in range(n)]
+        got = {r.doc_id: r.posterior for r in quality.with_quality(docs(spark, rows)).collect()}
+        assert all((p > 0.5) == (i < 100) for i, p in got.items()), n
+
+
 def test_awkward_rows(spark):
     table = clashing(awkward(spark), ["n_words", "posterior", "w", "l", "vote_length"])
     got = {r.doc_id: r for r in quality.with_quality(table).collect() if r.doc_id}
