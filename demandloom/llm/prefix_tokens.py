@@ -8,7 +8,7 @@ budget are answered from the stored counts without encoding again.
 
 Made for piece vocabularies whose merges never reach across the start of a word:
 a piece holds its blanks in front only. Then the pass starts anew at every word, and
-words seen before are looked up. The vocabulary file is read in the tasks by its
+the prefixes of words seen before are looked up. The vocabulary file is read in the tasks by its
 path, which has to be valid on every executor.
 """
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from demandloom.llm.common import slices
 
 _BLANK = "▁"
 _CACHED = 1 << 20
+_CACHED_BYTES = 64 << 20
 _PAIRS = 1 << 19
 _SLICE_BYTES = 4 << 20
 
@@ -54,7 +56,8 @@ class PieceCounter:
         self.words = re.compile(f"{_BLANK}*[^{_BLANK}{stop}]+{single}|{_BLANK}+")
         self._number_tokens()
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, int] = {}  # tokens of whole words
+        self.known: dict[str, bytes] = {}  # packed counts of all prefixes of words
+        self.held = 0  # bytes of them
 
     def _number_tokens(self) -> None:
         """Numbers of the tokens, what each is made of, and the rank of its last merge: -1 for characters.
@@ -136,15 +139,8 @@ class PieceCounter:
                 last.append(None)
                 counts.append(counts[-1] + len(word[end - 1].encode()))
 
-    def prefix_counts(self, word: str) -> list[int]:
-        """The number of tokens of every prefix of ``word``, from one character on."""
-        last: list[int | None] = [None]
-        counts = [0]
-        self._extend(word, last, counts)
-        return counts[1:]
-
     def learn(self, words: set[str]) -> None:
-        """Counts of new words. In order of the alphabet, a word goes on where it parts from the one before."""
+        """Counts of the prefixes of new words. In order of the alphabet, a word goes on where it parts from the one before."""
         before = ""
         last: list[int | None] = [None]
         counts = [0]
@@ -156,28 +152,46 @@ class PieceCounter:
                 same += 1
             del last[same + 1 :], counts[same + 1 :]
             self._extend(word, last, counts)
-            self.known[word] = counts[-1]
+            self.known[word] = packed = np.array(counts[1:], dtype=np.int32).tobytes()
+            self.held += len(packed)
             before = word
 
     def split(self, text: str | None) -> list[str]:
         return self.words.findall((_BLANK + text).replace(" ", _BLANK)) if text else []
 
-    def totals(self, texts: list[str | None]) -> list[int]:
-        """The number of tokens of each text."""
-        cut = [self.split(text) for text in texts]
-        if len(self.known) > _CACHED:
+    def store(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each text, and between them the number of tokens of its first ``n`` characters for every
+        ``n`` from 0 to its length.
+
+        Counts within a word are those of the word; what stands before it is added.
+        """
+        cut = [self.split(text) or [_BLANK] for text in texts]
+        if len(self.known) > _CACHED or self.held > _CACHED_BYTES:
             self.known.clear()
+            self.held = 0
         self.learn(set(chain.from_iterable(cut)) - self.known.keys())
-        return [sum(map(self.known.__getitem__, words)) for words in cut]
+        packed = [self.known[word] for words in cut for word in words]
+        counts = np.frombuffer(b"".join(packed), dtype=np.int32).copy()
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ends = np.cumsum(sizes)
+        own = counts[ends - 1]
+        done = np.cumsum(own, dtype=np.int64) - own
+        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
+        words = np.cumsum([0, *n_words])
+        done -= np.repeat(done[words[:-1]], n_words)
+        counts += np.repeat(done.astype(np.int32), sizes)
+        bounds = np.concatenate([[0], ends[words[1:] - 1]])
+        counts[bounds[:-1]] = 0  # the blank in front is no character of the text
+        return bounds, counts
+
+    def totals(self, texts: list[str | None]) -> list[int]:
+        """The number of tokens of each text."""
+        bounds, counts = self.store(texts)
+        return counts[bounds[1:] - 1].tolist()
 
     def counts(self, text: str) -> list[int]:
         """The number of tokens of ``text[:n]`` for every ``n`` from 0 to its length."""
-        out, done = [], 0
-        for word in self.split(text):
-            own = self.prefix_counts(word)
-            out += [done + n for n in own]
-            done += own[-1]
-        return [0, *out[1:]]  # the blank in front is no character of the text
+        return self.store([text])[1].tolist()
 
 
 @cache
@@ -202,14 +216,14 @@ def token_counts(
         own = counter(model_file)
         for part in slices(batches, 1, _SLICE_BYTES):
             texts = [text or "" for text in part.column(1).to_pylist()]
-            marks = [own.counts(text) for text in texts] if prefixes else None
-            totals = [row[-1] for row in marks] if prefixes else own.totals(texts)
+            bounds, counts = own.store(texts)
+            marks = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(counts)) if prefixes else None
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     pa.array([len(text.encode()) for text in texts], pa.int64()),
-                    pa.array(totals, pa.int64()),
-                    pa.array(marks if prefixes else [None] * len(texts), pa.list_(pa.int32())),
+                    pa.array(counts[bounds[1:] - 1], pa.int64()),
+                    marks if prefixes else pa.nulls(len(texts), pa.list_(pa.int32())),
                 ],
                 names=["doc_id", "n_bytes", "n_tokens", "prefix_tokens"],
             )

@@ -57,8 +57,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    counts = prefix_tokens.token_counts(documents(spark, sf_dir), model, prefixes=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    counts = prefix_tokens.token_counts(documents(spark, sf_dir), model)
+    whole = F.size("prefix_tokens") - 1
+    return counts.select(
+        "doc_id",
+        "n_bytes",
+        prefix_tokens.tokens_at("prefix_tokens", whole).cast("long").alias("n_tokens"),
+        (prefix_tokens.longest_within("prefix_tokens", TOKEN_LIMIT) < whole).alias("over_limit"),
+    )
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

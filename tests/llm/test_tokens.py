@@ -71,6 +71,28 @@ def test_budget_questions_from_the_stored_counts(spark, library):
         assert row.fits == max(n for n, c in enumerate(counts) if c <= 5)
 
 
+def test_query_reads_the_prefix_store(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    stores, make = [], prefix_tokens.token_counts
+    monkeypatch.setattr(prefix_tokens, "token_counts", lambda *a, **k: stores.append(make(*a, **k)) or stores[-1])
+    QUERIES["op6_token_counts"](spark, SF_DIR)
+    sizes = stores[0].join(spark.read.parquet(f"{SF_DIR}/documents.parquet"), "doc_id").select(
+        (F.size("prefix_tokens") == F.length("text") + 1).alias("whole")
+    )
+    assert {r.whole for r in sizes.collect()} == {True}
+
+
+def test_store_of_many_texts_and_again_from_the_cache(library):
+    own, mixed = prefix_tokens.counter(PIECES), [*ODD, None, "", *reversed(ODD)]
+    for _ in range(2):
+        bounds, counts = own.store(mixed)
+        for text, a, b in zip(mixed, bounds, bounds[1:]):
+            assert counts[a] == 0 and b - a == len(text or "") + 1
+            assert counts[b - 1] == len(library[1].encode(text or ""))
+    assert [part.tolist() for part in own.store([])] == [[0], []]
+
+
 def test_byte_bpe_as_the_library(spark, library):
     want = {
         (
