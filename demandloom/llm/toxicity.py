@@ -6,6 +6,12 @@ out of fold (from models that have not seen the text), so that later models
 learn how far earlier ones can be trusted; the models used afterwards are fitted
 on all sampled rows.
 
+No table labels kinds of toxicity, so the earlier categories come from the label of the
+last one, in any language: features that stand in toxic texts more often than in others,
+``SURE`` standard deviations above even, are dealt into as many groups, and a toxic text
+that holds a feature of a group is an example of it. What marks is found anew in the
+training rows of each fold.
+
 The chain is fitted on at most ``SAMPLE_ROWS`` labelled rows, taken by the hash of their
 id. Features are the words and the beginnings of words (``STEMS`` characters, so that other
 endings of a word count) that stand in ``LEAST_TEXTS`` sampled texts at least. A feature
@@ -16,7 +22,7 @@ text of the corpus is scored whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +40,10 @@ STEPS = 60
 RIDGE = 2.0
 _WORD = re.compile(r"[^\W\d_]+")
 
-# Seeds of the categories before the last one: a toxic text that holds one of a
-# category's words is an example of it.
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid"),
-    "contempt": ("trash", "scum", "worthless", "disgusting", "pathetic"),
-    "mockery": ("clown", "loser"),
-}
+# Before the last category stand groups of the features that mark toxic texts in the labels.
+# A feature's group is its hash modulo their number, so it is the same in every fold.
+GROUPS = ("insult", "contempt", "mockery")
+SURE = 3.0
 TOXIC = "toxic"
 
 
@@ -128,11 +131,31 @@ class Chain:
         return chances
 
 
+def marked(group: int, toxic: np.ndarray) -> Callable[[Rows, np.ndarray, np.ndarray], np.ndarray]:
+    """The label of ``GROUPS[group]``: for chosen rows, which are toxic and hold one of its marking features."""
+
+    def label(rows: Rows, known: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        own, n = toxic[chosen], len(known)
+        holds = own[rows.row] > 0
+        positive = np.bincount(rows.word[holds], minlength=n) + 0.5
+        other = np.bincount(rows.word[~holds], minlength=n) + 0.5
+        ratio = np.log(positive / (own.sum() + 1)) - np.log(other / (rows.n - own.sum() + 1))
+        marks = (ratio > SURE * np.sqrt(1 / positive + 1 / other)) & (known % np.uint64(len(GROUPS)) == group)
+        found = np.zeros(rows.n)
+        found[rows.row[holds & marks[rows.word]]] = 1
+        return found
+
+    return label
+
+
 def fit_chain(
-    texts: list[np.ndarray], labels: dict[str, np.ndarray], folds: int = FOLDS, least_texts: int = LEAST_TEXTS
+    texts: list[np.ndarray],
+    labels: dict[str, np.ndarray | Callable[[Rows, np.ndarray, np.ndarray], np.ndarray]],
+    folds: int = FOLDS,
+    least_texts: int = LEAST_TEXTS,
 ) -> Chain:
     """The chain over ``labels``, in their order, from the features of texts. Rows of equal number
-    modulo ``folds`` are a fold.
+    modulo ``folds`` are a fold. A label that is a function is made from the rows trained on.
     """
     every = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
     known, n = np.unique(every, return_counts=True)
@@ -141,13 +164,19 @@ def fit_chain(
     rows = Rows(texts, known)
     fold = np.arange(rows.n) % folds
     chances, models = np.zeros((rows.n, 0)), []
+
+    def fitted(label, chosen: np.ndarray) -> Linear:
+        own = rows.take(chosen)
+        target = label(own, known, chosen) if callable(label) else label[chosen]
+        return Linear(len(known), chances.shape[1]).fit(own, chances[chosen], target)
+
     for place, label in enumerate(labels.values(), 1):
         unseen = np.zeros(rows.n)
         for k in range(folds if place < len(labels) else 0):  # nothing follows the last category
             train, test = fold != k, fold == k
-            part = Linear(len(known), chances.shape[1]).fit(rows.take(train), chances[train], label[train])
+            part = fitted(label, train)
             unseen[test] = part.predict(rows.take(test), chances[test])
-        models.append(Linear(len(known), chances.shape[1]).fit(rows, chances, label))
+        models.append(fitted(label, np.ones(rows.n, dtype=bool)))
         chances = np.column_stack([chances, unseen])
     return Chain(list(labels), known, models)
 
@@ -187,10 +216,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     sample.sort(key=lambda row: (str(row["doc_id"]), bytes(row["features"])))
     toxic = np.array([row["toxic"] > 0 for row in sample], dtype=float)
     texts = [np.frombuffer(row["features"], dtype=np.uint64) for row in sample]
-    marks = {}
-    for name, seeds in SEEDS.items():
-        words = np.array([xxh3_64_intdigest(seed) for seed in seeds], dtype=np.uint64)
-        marks[name] = np.array([np.isin(words, text).any() for text in texts], dtype=float) * toxic
+    marks = {name: marked(group, toxic) for group, name in enumerate(GROUPS)}
     return fit_chain(texts, {**marks, TOXIC: toxic}, folds)
 
 

@@ -43,6 +43,18 @@ def test_out_of_fold_predictions_do_not_see_their_row(monkeypatch):
     assert seen == [8, 8, 8, 12, 12]
 
 
+def test_categories_follow_the_labels_whatever_the_words():
+    rng = np.random.default_rng(1)
+    plain = ["".join(chr(0x430 + i) for i in rng.integers(0, 32, 6)) for _ in range(60)]
+    bad = ["".join(chr(0x3B1 + i) for i in rng.integers(0, 24, 8)) for _ in range(12)]
+    toxic = np.arange(400) % 4 == 0
+    texts = [toxicity.features([*rng.choice(plain, 10), *(rng.choice(bad, 5) if t else [])]) for t in toxic]
+    toxic = toxic.astype(float)
+    labels = {name: toxicity.marked(i, toxic) for i, name in enumerate(toxicity.GROUPS)}
+    scores = toxicity.fit_chain(texts, {**labels, toxicity.TOXIC: toxic}).predict(texts)
+    assert (scores[toxic > 0].mean(axis=0) > 0.7).all() and (scores[toxic == 0].mean(axis=0) < 0.2).all()
+
+
 def test_awkward_rows(spark):
     table = clashing(awkward(spark), ["toxic", "p_toxic", "features"])
     labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (6, None), (4, 0), (99, 1)], "doc_id long, toxic int")
