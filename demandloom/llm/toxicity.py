@@ -182,11 +182,16 @@ def fit_chain(
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """``(doc_id, toxic, features)`` of at most ``sample_rows`` rows that have a label and a text."""
+    """``(doc_id, toxic, features)`` of at most ``sample_rows`` ids that have a label and a text, a row for each.
+
+    Of several texts of an id the first in the alphabet is taken.
+    """
+    named = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     chosen = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
+        .join(named.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
@@ -199,8 +204,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Dat
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded
-    return rows.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(
+    rows = named.join(F.broadcast(chosen), "doc_id")  # bounded
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
+    return rows.mapInArrow(
         each, f"doc_id {kind}, toxic int, features binary"
     )
 
@@ -211,7 +217,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     Rows with a null id, label or text teach nothing; of several labels of an id the
     highest holds. Without any label every text has probability 0.5.
     """
-    # at most sample_rows rows, one per labelled id, of 8 bytes a feature
+    # at most sample_rows rows, one for each id, of 8 bytes a feature
     sample = labelled_sample(docs, labels, sample_rows).collect()
     sample.sort(key=lambda row: (str(row["doc_id"]), bytes(row["features"])))
     toxic = np.array([row["toxic"] > 0 for row in sample], dtype=float)

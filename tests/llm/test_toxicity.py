@@ -2,7 +2,7 @@ import numpy as np
 
 from demandloom.llm import toxicity
 from demandloom.llm.queries import QUERIES
-from tests.llm.cases import SF_DIR, awkward, clashing
+from tests.llm.cases import SF_DIR, awkward, clashing, docs
 
 SMALL = "/root/testdata/sf0.1"
 
@@ -55,6 +55,15 @@ def test_categories_follow_the_labels_whatever_the_words():
     assert (scores[toxic > 0].mean(axis=0) > 0.7).all() and (scores[toxic == 0].mean(axis=0) < 0.2).all()
 
 
+def test_sample_has_a_row_for_each_id_with_a_text(spark):
+    rows = [(7, "same words")] * 40 + [(7, "other words")] + [(i, f"text {i}") for i in range(20, 25)] + [(30, None)]
+    labels = spark.createDataFrame([(i, 1) for i in [7, *range(20, 25), 30, *range(100, 200)]], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs(spark, rows), labels, 6).collect()
+    assert sorted(r.doc_id for r in sample) == [7, *range(20, 25)]
+    seven = next(r for r in sample if r.doc_id == 7)
+    assert bytes(seven.features) == toxicity.features_of("other words").tobytes()
+
+
 def test_awkward_rows(spark):
     table = clashing(awkward(spark), ["toxic", "p_toxic", "features"])
     labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (6, None), (4, 0), (99, 1)], "doc_id long, toxic int")
