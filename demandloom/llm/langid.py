@@ -215,11 +215,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def reject_unknown(docs: DataFrame, least_score: float, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those whose language cannot be told: no letters, or a score below ``least_score``."""
-    learn_from = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    filters = learn_languages(learn_from, lang_col)
+def reject_unknown(docs: DataFrame, least_score: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without those whose language cannot be told: no letters, or a score below ``least_score``.
+
+    Every row with text and language is learned from. If there is none, no text has a
+    score, and all with a letter stay.
+    """
+    filters = learn_languages(docs, lang_col, text_col)
+    if not filters.languages:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     own = dict(zip(("lang_pred", "score"), free_names(docs, "lang_pred", "score")))
-    tagged = predict_languages(docs.withColumnsRenamed(own), filters)
+    tagged = predict_languages(docs.withColumnsRenamed(own), filters, text_col)
     kept = tagged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
     return kept.drop("lang_pred", "score").withColumnsRenamed({new: old for old, new in own.items()})

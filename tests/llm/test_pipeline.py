@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline
 from demandloom.llm import decontam, langid, pii, simhash
 from tests.llm.cases import SF_DIR, awkward, clashing
@@ -34,6 +36,21 @@ def test_clean_documents_pass_language_id(spark):
     assert kept.count() == documents.where(r"text rlike '\\p{L}'").count()
 
 
+def test_language_of_one_held_out_document_stays(spark):
+    rare = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows = [(i, "the cat sat on the mat " * 5, "en") for i in range(8)] + [(rare, "γάτα κάθεται στο χαλί " * 5, "el")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.reject_unknown(table, corpus_pipeline.LEAST_SCORE)
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows}
+
+
+def test_without_any_language_texts_with_letters_stay(spark):
+    rows = [(1, "the cat sat", None), (2, "12 !", None), (3, None, "en"), (4, "γάτα", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.reject_unknown(table, corpus_pipeline.LEAST_SCORE)
+    assert {r.doc_id for r in kept.collect()} == {1, 4}
+
+
 def test_awkward_rows(spark):
     table = clashing(awkward(spark), ["score", "fp", "spans", "ids", "__id"])
     for _, stage in corpus_pipeline.STAGES:
