@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import byte_bpe, chat, decontam, langid, pii, prefix_tokens, quality, simhash, substring, toxicity
+from demandloom.llm import byte_bpe, chat, decontam, langid, pii, prefix_tokens, quality, repair, simhash, substring, toxicity
 from demandloom.llm.common import documents
 
 TOKEN_LIMIT = 4096
@@ -131,6 +131,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("is_toxic", F.col("p_toxic") >= 0.5)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = repair.repair(repair.damage(turns))
+    ids = turns.select(F.col("conv_id").alias("original")).distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = ids.join(repaired, F.col("original").eqNullSafe(F.col("conv_id")), "left")  # all rows of some are dropped
+    return every.select(
+        F.col("original").alias("conv_id"),
+        *(F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
@@ -142,5 +156,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op12_repair": op12_repair,
 }
 ORACLES = {"op9_chat": OP9_SQL}
