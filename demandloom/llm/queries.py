@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import byte_bpe, chat, decontam, langid, pii, prefix_tokens, quality, repair, simhash, substring, toxicity
+from demandloom.llm import byte_bpe, chat, decontam, langid, pii, prefix_tokens, quality, repair, simhash, substring, toxicity, whitening
 from demandloom.llm.common import documents
 
 TOKEN_LIMIT = 4096
@@ -145,6 +145,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
@@ -157,5 +162,6 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
     "op12_repair": op12_repair,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {"op9_chat": OP9_SQL}
