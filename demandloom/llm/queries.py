@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import byte_bpe, chat, decontam, langid, pii, prefix_tokens, quality, repair, simhash, substring, toxicity, whitening
+from demandloom.llm import byte_bpe, chat, decontam, langid, main_text, pii, prefix_tokens, quality, repair, simhash, substring, toxicity, whitening
 from demandloom.llm.common import documents
 
 TOKEN_LIMIT = 4096
@@ -131,6 +131,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("is_toxic", F.col("p_toxic") >= 0.5)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    extracted = main_text.extract_main_text(pages, main_text.learn_field(pages))
+    return extracted.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     repaired = repair.repair(repair.damage(turns))
@@ -161,6 +167,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_main_text": op11_main_text,
     "op12_repair": op12_repair,
     "op13_whitening": op13_whitening,
 }

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Vectors
@@ -165,7 +166,7 @@ def whiten(
     vectors = indexed.select("index", array_to_vector(centred).alias("vector"))
     if vectors.rdd.getNumPartitions() < blocks // 8:  # a task that multiplies holds a few blocks
         vectors = vectors.repartition(blocks // 8)
-    matrix = _block_matrix(vectors, n, d, block_rows)
+    matrix = _block_matrix(vectors, n, d, block_rows).persist(StorageLevel.DISK_ONLY)  # read by two products and their set-ups
     covariance = _times(matrix.transpose(), matrix, blocks).toLocalMatrix().toArray() / n
     values, axes = np.linalg.eigh((covariance + covariance.T) / 2)
     values, axes = values[::-1], axes[:, ::-1]
@@ -181,6 +182,7 @@ def whiten(
     found = found.select(F.col("index").alias("of_index"), vector_to_array("vector").alias("z"))
     with_z = indexed.join(found, F.col("index") == F.col("of_index")).select("x", "z")
     coded = stored(_deviations(with_z, n, sums, most), "whitened")
+    matrix._java_matrix_wrapper.call("blocks").unpersist()
 
     pairs = [(i, j) for i in range(m) for j in range(i, m) if varies[i] and varies[j]]
     error = None
