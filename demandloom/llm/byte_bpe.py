@@ -3,9 +3,12 @@
 A task cuts its texts into the tokenizer's pieces and collects the different
 pieces it has not met. Their bytes are rows (piece, position, token); a recursive
 query joins each neighbour pair to the table of merges and contracts, in every
-round, the leftmost pair of lowest rank of each piece, until no pair merges. An
-ordered aggregation puts the tokens of a piece together, and another one their
-bytes, which is the decoding.
+round, the leftmost pair of lowest rank of each piece, until no pair merges. The
+tokens of a piece are then put together in order.
+
+Texts are decoded from their own ids: the bytes of every id, in order, laid end to end
+and cut where a text's ids end. The same as an ordered aggregation in DuckDB (which the tests hold
+it against) took as long as the encoding, so it is a gather here.
 
 A round costs the length of a piece and there are as many rounds as merges, so
 the query's rows grow with the square of the piece. Pieces above ``LONG`` bytes
@@ -85,10 +88,10 @@ class ByteBpe:
         pattern = pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"(?!\S)", f"(?![^{_WHITE}])")
         self.pattern = regex.compile(pattern.replace(r"\s+", f"[{_WHITE}]+"))
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        # packed ids of chunks, and of the pieces that chunks are made of; decoded bytes are
-        # kept only where decoding the ids did not give the bytes of the text
+        # packed ids of chunks, and of the pieces that chunks are made of
         self.ids: dict[str, bytes] = {}
-        self.changed: dict[str, bytes] = {}
+        by_id = {rank: token for token, rank in self.ranks.items()}
+        self.bytes_of = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.binary())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.db.execute("set temp_directory = ''")
         first, second, merged = [], [], []
@@ -182,8 +185,18 @@ class ByteBpe:
             out.update(zip(block, self._recursive(block)))
         return out
 
-    def decode(self, sequences: list[bytes]) -> list[bytes]:
-        """The bytes of each packed list of ids."""
+    def decode(self, ids: pa.BinaryArray) -> pa.BinaryArray:
+        """The bytes of each packed list of ids; an id without bytes is an error."""
+        _, offsets, data = ids.buffers()
+        bounds = np.frombuffer(offsets, dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
+        flat = np.frombuffer(data, dtype="<u4", count=bounds[-1])[bounds[0] :] if bounds[-1] else np.zeros(0, dtype="<u4")
+        whole = self.bytes_of.take(pa.array(flat))
+        if whole.null_count:
+            raise ValueError("ids without bytes")
+        return _cut(whole, bounds - bounds[0])
+
+    def decode_by_query(self, sequences: list[bytes]) -> list[bytes]:
+        """The same by an ordered aggregation."""
         out = [b""] * len(sequences)
         if any(sequences):
             lengths = np.array([len(ids) // 4 for ids in sequences])
@@ -208,29 +221,21 @@ class ByteBpe:
         return self.pattern.findall(chunk)
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode and decode chunks that are not known yet."""
+        """Encode chunks that are not known yet."""
         cut = {chunk: self._pieces(chunk) for chunk in chunks}
         new = list(set(chain.from_iterable(cut.values())) - self.ids.keys())
         encoded = [piece.encode() for piece in new]
         ids = self.encode_pieces(encoded)
-        packed = [ids[piece] for piece in encoded]
-        for start in range(0, len(new), 50_000):
-            part = slice(start, start + 50_000)
-            self.ids.update(zip(new[part], packed[part]))
-            for piece, own, text in zip(new[part], encoded[part], self.decode(packed[part])):
-                if text != own:
-                    self.changed[piece] = text
+        self.ids.update((piece, ids[own]) for piece, own in zip(new, encoded))
         for chunk, pieces in cut.items():
             if len(pieces) > 1:
                 self.ids[chunk] = b"".join(map(self.ids.__getitem__, pieces))
-                if self.changed and not self.changed.keys().isdisjoint(pieces):
-                    self.changed[chunk] = b"".join([self.changed.get(piece, piece.encode()) for piece in pieces])
 
-    def encode(self, texts: list[str | None]) -> tuple[pa.BinaryArray, pa.BinaryArray]:
-        """Ids as little-endian unsigned 32-bit integers and decoded bytes of each text.
+    def encode(self, texts: list[str | None]) -> pa.BinaryArray:
+        """Ids of each text as little-endian unsigned 32-bit integers.
 
-        Each different chunk is looked up once; its bytes are then laid out in the
-        order of the texts, where a text's bytes are those between its bounds.
+        Each different chunk is looked up once; its ids are then laid out in the
+        order of the texts, where a text's ids are those between its bounds.
         """
         cut = [_CHUNK.findall(text) if text else [] for text in texts]
         bounds = np.cumsum([0, *map(len, cut)])
@@ -238,19 +243,15 @@ class ByteBpe:
         chunks = coded.dictionary.to_pylist()
         if len(self.ids) > _CACHED:
             self.ids.clear()
-            self.changed.clear()
         self.learn(set(chunks) - self.ids.keys())
+        return _cut(pa.array(map(self.ids.__getitem__, chunks), pa.binary()).take(coded.indices), bounds)
 
-        def laid_out(each: pa.BinaryArray) -> pa.BinaryArray:
-            whole = each.take(coded.indices)
-            _, offsets, data = whole.buffers()
-            ends = np.frombuffer(offsets, dtype=np.int32)[bounds] if len(whole) else np.zeros(len(bounds), dtype=np.int32)
-            return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), data])
 
-        decoded = coded.dictionary.cast(pa.binary())
-        if self.changed:
-            decoded = pa.array([self.changed.get(c, c.encode()) for c in chunks], pa.binary())
-        return laid_out(pa.array(map(self.ids.__getitem__, chunks), pa.binary())), laid_out(decoded)
+def _cut(parts: pa.BinaryArray, bounds: np.ndarray) -> pa.BinaryArray:
+    """The bytes of ``parts`` between each two bounds as one value, without a copy."""
+    _, offsets, data = parts.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[bounds] if len(parts) else np.zeros(len(bounds), dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.tobytes()), data])
 
 
 def _packed(ids: Iterable[int]) -> bytes:
@@ -276,7 +277,8 @@ def encode_texts(
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(rank_file, pattern)
         for part in slices(batches, 1, _SLICE_BYTES):
-            ids, decoded = own.encode(part.column(1).to_pylist())
+            ids = own.encode(part.column(1).to_pylist())
+            decoded = own.decode(ids)
             yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -295,7 +297,8 @@ def with_tokens(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "
         own = tokenizer(rank_file, pattern)
         for part in slices(batches, at, _SLICE_BYTES):
             texts = part.column(at)
-            ids, decoded = own.encode(texts.to_pylist())
+            ids = own.encode(texts.to_pylist())
+            decoded = own.decode(ids)
             same = pc.equal(pc.fill_null(texts.cast(pa.binary()), b""), decoded)
             flat = np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4").astype(np.int32)
             ends = np.cumsum([0, *(n // 4 for n in pc.binary_length(ids).to_pylist())]).astype(np.int32)

@@ -16,6 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from demandloom.llm.common import slices
 
@@ -146,15 +147,16 @@ def find_leaks(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema[item_col].dataType.simpleString()}, distance bigint, match_end bigint"
     spark = docs.sparkSession
+    kind = to_arrow_type(items.schema[item_col].dataType)
     found = None
     for block in _blocks(items, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast(block)  # at most block_chars characters or one item
-        part = rows.mapInArrow(_scan(shared, error_rate, schema), schema)
+        part = rows.mapInArrow(_scan(shared, error_rate, kind), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def _scan(shared, error_rate: float, schema: str):
+def _scan(shared, error_rate: float, kind: pa.DataType):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, error_rate)
         for part in slices(batches, 1):
@@ -167,7 +169,7 @@ def _scan(shared, error_rate: float, schema: str):
                     ends.append(end)
             if at:
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at, type=pa.int64())), pa.array(numbers), pa.array(distances, type=pa.int64()), pa.array(ends, type=pa.int64())],
+                    [part.column(0).take(pa.array(at, type=pa.int64())), pa.array(numbers, type=kind), pa.array(distances, type=pa.int64()), pa.array(ends, type=pa.int64())],
                     names=["doc_id", "item_id", "distance", "match_end"],
                 )
 

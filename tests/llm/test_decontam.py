@@ -1,4 +1,7 @@
 import random
+from datetime import date
+
+import pytest
 
 from demandloom.llm import decontam
 from demandloom.llm.queries import QUERIES
@@ -79,3 +82,14 @@ def test_awkward_rows(spark):
     assert decontam.drop_leaks(table, items.limit(0)).count() == table.count()
     assert decontam.drop_leaks(table, items).count() == table.count() - 3
     assert decontam.find_leaks(docs(spark, [(1, "x")]), items).columns == ["doc_id", "item_id", "distance", "match_end"]
+
+
+@pytest.mark.parametrize("kind,ids", [("int", [7, None]), ("string", ["a", "b"]), ("long", [None, None]), ("short", [3, 4]), ("date", [None, date(2024, 1, 2)])])
+def test_item_ids_of_any_type(spark, kind, ids):
+    texts = ["one two three four five six seven eight nine", "alpha beta gamma delta epsilon zeta eta theta"]
+    items = spark.createDataFrame(list(zip(ids, texts)), f"item_id {kind}, text string")
+    table = docs(spark, [(1, f"x {texts[0]} y"), (2, texts[1]), (3, "nothing")])
+    for size in (10, 1000):
+        got = decontam.find_leaks(table, items, block_chars=size)
+        assert got.schema["item_id"].dataType == items.schema["item_id"].dataType
+        assert sorted((r.doc_id, r.item_id, r.distance) for r in got.collect()) == [(1, ids[0], 0), (2, ids[1], 0)]

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -110,15 +111,38 @@ def test_byte_bpe_of_odd_texts(library):
     own = byte_bpe.tokenizer(RANKS, public_tokenizers.PATTERN)
     rng = random.Random(2)
     mixed = ["".join(chr(rng.choice([32, 10, 97, 101, 0xE9, 0x4E2D, 0x1F600, 0xA0, 39, 49])) for _ in range(80)) for _ in range(200)]
-    for text, ids, decoded in zip(ODD + mixed, *(part.to_pylist() for part in own.encode(ODD + mixed))):
+    coded = own.encode(ODD + mixed)
+    assert own.decode(coded.slice(3, 40)).to_pylist() == [text.encode() for text in (ODD + mixed)[3:43]]
+    assert own.decode_by_query(coded.to_pylist()) == own.decode(coded).to_pylist()
+    for text, ids, decoded in zip(ODD + mixed, coded.to_pylist(), own.decode(coded).to_pylist()):
         assert np.frombuffer(ids, "<u4").tolist() == library[0].encode_ordinary(text), text
         assert decoded == text.encode()
     for n in (2, 100, 255, 256, 257, 900):  # the recursive query and the heap agree
         piece = bytes(rng.choice(b"theraning") for _ in range(n))
         assert own._recursive([piece])[0] == own._by_heap(piece)
-    assert own.decode([b"", own.encode_pieces([b"ab\xff"])[b"ab\xff"]]) == [b"", b"ab\xff"]
-    assert [part.to_pylist() for part in own.encode([None])] == [[b""], [b""]]
-    assert [part.to_pylist() for part in own.encode([])] == [[], []]
+    assert own.decode(pa.array([b"", own.encode_pieces([b"ab\xff"])[b"ab\xff"]])).to_pylist() == [b"", b"ab\xff"]
+    assert own.encode([None]).to_pylist() == own.decode(own.encode([None])).to_pylist() == [b""]
+    assert own.encode([]).to_pylist() == own.decode(own.encode([])).to_pylist() == []
+    with pytest.raises(ValueError):
+        own.decode(pa.array([np.array([len(own.bytes_of) - 1, 1 << 20], "<u4").tobytes()]))
+
+
+def test_decoding_sees_ids_that_are_wrong(monkeypatch):
+    """Bytes come from the ids that are given out: doubled, exchanged or lost ones change them."""
+    own = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    text = "the dog and the cat"
+    assert own.decode(own.encode([text])).to_pylist() == [text.encode()]
+    dog, cat = own.ids[" dog"], own.ids[" cat"]
+    for wrong in (dog + dog, b"", cat):
+        own.ids[" dog"] = wrong
+        assert own.decode(own.encode([text])).to_pylist() != [text.encode()]
+    own.ids[" dog"] = dog
+    cut = byte_bpe._cut
+    monkeypatch.setattr(byte_bpe, "_cut", lambda parts, bounds: cut(parts[::-1], bounds))  # laid out in the wrong order
+    assert own.encode([text]).to_pylist() != [b""]
+    wrong = own.encode([text])
+    monkeypatch.undo()
+    assert own.decode(wrong).to_pylist() != [text.encode()]
 
 
 def test_awkward_rows(spark):
