@@ -172,7 +172,9 @@ def test_edges_of_other_spaces_do_not_match(spark):
 
 
 def story(spark, surfaces, multiplier, with_box=True, **options):
-    spaces = spark.createDataFrame([("m", "s", multiplier)], "model_id string, space_id string, multiplier double")
+    named = [row.space_id for row in surfaces.select("space_id").distinct().collect()]
+    rows = [("m", space, multiplier) for space in options.pop("spaces", named)]
+    spaces = spark.createDataFrame(rows, "model_id string, space_id string, multiplier double")
     boxes = geometry.bounding_boxes(surfaces) if with_box else None
     return geometry.story_edges(surfaces, spaces, boxes, ("Outdoors", "Ground", "Adiabatic"), **options)
 
@@ -188,8 +190,11 @@ def test_story_perimeter_and_party_walls(spark):
 def test_inner_adiabatic_wall_counts_only_for_a_single_space(spark):
     inner = box(spark, walls=("Outdoors", "Adiabatic", "Outdoors", "Outdoors"))
     larger = inner.unionByName(box(spark, x=10.0, space="t"))
-    assert geometry.story_perimeter(story(spark, larger, 3.0)).first().perimeter == pytest.approx(30.0)
-    assert geometry.story_perimeter(story(spark, larger, 1.0)).first().perimeter == pytest.approx(40.0)
+    assert geometry.story_perimeter(story(spark, inner, 3.0)).first().perimeter == pytest.approx(30.0)
+    # the other space has four walls of its own; without a row in ``spaces`` it counts once as well
+    assert geometry.story_perimeter(story(spark, larger, 3.0)).first().perimeter == pytest.approx(70.0)
+    assert geometry.story_perimeter(story(spark, larger, 3.0, spaces=["s"])).first().perimeter == pytest.approx(70.0)
+    assert geometry.story_perimeter(story(spark, inner, 1.0)).first().perimeter == pytest.approx(40.0)
     scaled = story(spark, inner, 3.0, with_box=False, multiplier_adjustment=2.0)
     assert geometry.story_perimeter(scaled).first().perimeter == pytest.approx(60.0)
 
