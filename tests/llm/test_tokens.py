@@ -123,7 +123,7 @@ def test_byte_bpe_of_odd_texts(library):
     assert own.decode(pa.array([b"", own.encode_pieces([b"ab\xff"])[b"ab\xff"]])).to_pylist() == [b"", b"ab\xff"]
     assert own.encode([None]).to_pylist() == own.decode(own.encode([None])).to_pylist() == [b""]
     assert own.encode([]).to_pylist() == own.decode(own.encode([])).to_pylist() == []
-    with pytest.raises(ValueError):
+    with pytest.raises((ValueError, IndexError)):
         own.decode(pa.array([np.array([len(own.bytes_of) - 1, 1 << 20], "<u4").tobytes()]))
 
 
