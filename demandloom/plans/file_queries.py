@@ -14,7 +14,7 @@ from demandloom.operators import schedule, workflow
 from demandloom.plans import design_queries, inputs, metric_queries
 from demandloom.plans.registry import query
 from demandloom.session import scratch_dir
-from demandloom.sources import readers, writers
+from demandloom.sources import readers, sqlite_reports, writers
 
 
 def text_files(texts, path, name):
@@ -71,6 +71,24 @@ def report_files(spark, sf_dir):
     return wanted.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(
+    "report_sqlite_files",
+    """WITH r AS (
+  SELECT strftime(ts, 'day %d') AS run_id, event_type AS name, value, dayofweek(ts) > 0 AS timestep,
+         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) < 90 AS env FROM events)
+SELECT run_id, name, count(*) AS n, round(sum(value), 4) AS total, CAST(count(*) - 1 AS BIGINT) AS last_step
+FROM r WHERE timestep AND ((name = 'view' AND env) OR name = 'purchase') GROUP BY run_id, name, env""",
+)
+def report_sqlite_files(spark, sf_dir):
+    path = scratch_dir(spark, "report-sqlite")
+    days = metric_queries.report(spark, sf_dir, run=F.date_format("ts", "'day 'dd"))
+    sqlite_reports.write_report_sqlite(days, path)
+    wanted = sqlite_reports.read_report_sqlite(spark, path, metric_queries.REPORT_SPEC)
+    return wanted.groupBy("run_id", "name", "key_value").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("step_no").alias("last_step")
+    ).drop("key_value")
+
+
 @query(
     "design_files",
     """SELECT CAST(p_partkey AS VARCHAR) AS case_no, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part""",

@@ -232,11 +232,11 @@ REPORT_SPEC = {
 }
 
 
-def report(spark, sf_dir):
+def report(spark, sf_dir, run=None):
     from demandloom.functions.calendar import weekday
 
     return inputs.table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("run_id"),
+        (F.col("user_id").cast("string") if run is None else run).alias("run_id"),
         (F.dayofmonth("ts") * 24 + F.hour("ts")).cast("long").alias("step_no"),
         F.when(F.get_json_object("props", "$.k").cast("int") < 90, "Environment")
         .otherwise("Zone").alias("key_value"),

@@ -40,7 +40,7 @@ def test_plan_has_no_cartesian_join_and_no_python(spark, name):
 @needs_data
 def test_queries_read_the_shared_tables(spark):
     for name, query in QUERIES.items():
-        if not name.endswith("round_trip"):
+        if not name.endswith("round_trip") and name != "report_sqlite_files":  # read from what they write
             assert query(spark, SF_DIR).inputFiles(), name
 
 
