@@ -64,6 +64,36 @@ def pair_with_baseline(baseline: DataFrame, scenario: DataFrame, link: DataFrame
     return with_each_scenario(_as_baseline(baseline), link).join(loads, ["run_id", "ts"], "left")
 
 
+# Stored baselines and scenarios lie in buckets of these.
+PAIR_KEYS = ("baseline_id", "ts")
+
+
+def pair_stored(baseline: DataFrame, scenario: DataFrame, link: DataFrame) -> DataFrame:
+    """What :func:`pair_with_baseline` gives, from tables in buckets of ``PAIR_KEYS``, without moving their rows.
+
+    ``baseline`` has ``n_runs``, the number of scenarios of its baseline, and ``scenario`` its
+    ``baseline_id`` and ``floor_area``. Rows meet within their bucket, and scenarios are counted there. Only
+    baseline intervals with fewer than all scenarios are looked at again, and only these go to the list of scenarios.
+    """
+    keys = list(PAIR_KEYS)
+    met = baseline.drop("n_runs").join(scenario.hint("merge"), keys)
+    there = scenario.select(*keys, "run_id").distinct()
+    counted = there.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    lacking = baseline.join(counted.hint("merge"), keys, "left").where(F.coalesce("_n", F.lit(0)) < F.col("n_runs")).drop("_n", "n_runs")
+    found = there.join(lacking.select(*keys).distinct().hint("merge"), keys, "left_semi").groupBy(*keys).agg(F.collect_list("run_id").alias("_there"))
+    # A list holds the scenarios of one baseline.
+    lists = link.groupBy("baseline_id").agg(F.collect_set("run_id").alias("_all"))
+    none = F.array().cast("array<string>")
+    absent = F.explode(F.array_except("_all", F.coalesce("_there", none)))
+    missing = (
+        lacking.join(found.hint("merge"), keys, "left").join(lists, "baseline_id")
+        .select(*keys, "oat_f", "base_kw", absent.alias("run_id"))
+        .join(link.select("run_id", "floor_area"), "run_id")
+        .withColumn("scenario_kw", F.lit(None).cast("double"))
+    )
+    return met.unionByName(missing)
+
+
 def binned_shed(baseline: DataFrame, scenario: DataFrame, link: DataFrame, step_minutes: int = 60) -> DataFrame:
     """Means per run and time bin of what :func:`pair_with_baseline` and :func:`add_shed` give.
 

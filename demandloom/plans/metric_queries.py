@@ -9,6 +9,8 @@ from demandloom.functions.calendar import is_workday_in, minute_stamp, with_cale
 from demandloom.operators import collection, metrics
 from demandloom.plans import inputs, studies
 from demandloom.plans.registry import query
+from demandloom.session import scratch_dir
+from demandloom.sources import stored_pairs
 
 
 def stamp(name: str = "ts"):
@@ -47,18 +49,28 @@ def meter_units(spark, sf_dir):
     return inputs.meter(spark, sf_dir).select("run_id", stamp(), r6("oat_f"), r6("bldg_kw"))
 
 
-@query(
-    "shed_intervals",
+SHED_INTERVALS_SQL = (
     f"WITH {inputs.HOURLY_SQL} SELECT run_id, strftime(ts, '%Y-%m-%d %H:%M') AS ts, "
     "round(base_kw, 6) AS base_kw, round(scenario_kw, 6) AS scenario_kw, "
-    "round(shed_pct, 6) AS shed_pct, round(shed_w_ft2, 6) AS shed_w_ft2 FROM shed",
+    "round(shed_pct, 6) AS shed_pct, round(shed_w_ft2, 6) AS shed_w_ft2 FROM shed"
 )
+
+
+def interval_columns(shed):
+    return shed.select("run_id", stamp(), r6("base_kw"), r6("scenario_kw"), r6("shed_pct"), r6("shed_w_ft2"))
+
+
+@query("shed_intervals", SHED_INTERVALS_SQL)
 def shed_intervals(spark, sf_dir):
     base, scen = inputs.baseline_and_scenarios(spark, sf_dir)
-    out = studies.shed_intervals(base, scen, inputs.link(spark), inputs.MONTHS)
-    return out.select(
-        "run_id", stamp(), r6("base_kw"), r6("scenario_kw"), r6("shed_pct"), r6("shed_w_ft2")
-    )
+    return interval_columns(studies.shed_intervals(base, scen, inputs.link(spark), inputs.MONTHS))
+
+
+@query("shed_intervals_stored", SHED_INTERVALS_SQL)
+def shed_intervals_stored(spark, sf_dir):
+    base, scen = inputs.baseline_and_scenarios(spark, sf_dir)
+    pairs = stored_pairs.write_pairs(base, scen, inputs.link(spark), scratch_dir(spark, "pairs"))
+    return interval_columns(studies.shed_intervals_stored(spark, pairs, inputs.MONTHS))
 
 
 @query(

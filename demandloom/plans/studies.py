@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.functions.calendar import SUMMER_MONTHS, select_workdays
 from demandloom.operators import metrics
+from demandloom.sources.stored_pairs import StoredPairs
 
 
 def shed_intervals(
@@ -23,6 +24,12 @@ def shed_intervals(
     return metrics.add_shed(paired)
 
 
+def shed_intervals_stored(spark: SparkSession, pairs: StoredPairs, months: Sequence[int] = SUMMER_MONTHS) -> DataFrame:
+    """The same from tables that :func:`write_pairs` has stored; their rows stay where they are."""
+    baseline, scenario = (select_workdays(pairs.table(spark, kind), months) for kind in ("baseline", "scenario"))
+    return metrics.add_shed(metrics.pair_stored(baseline, scenario, pairs.link(spark)))
+
+
 def shed_hourly(
     baseline: DataFrame, scenario: DataFrame, link: DataFrame, months: Sequence[int] = SUMMER_MONTHS
 ) -> DataFrame:
