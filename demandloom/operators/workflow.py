@@ -111,18 +111,54 @@ def event_cases(models: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def running_event_steps(cases: DataFrame, order: str = "event_pos") -> DataFrame:
+def running_event_steps(
+    cases: DataFrame, order: str = "event_pos", model_steps: Column | int = 2, block_events: int = 1024
+) -> DataFrame:
     """How many steps a case carries when those of earlier events are not taken out again.
 
-    Documents written without a fresh copy per event pile up: case ``k`` has the two
-    model steps and the two event steps of cases 1..k. ``n_steps`` is that number and
-    ``last_step_pos`` where the last one stands; the piled-up steps are those of the
-    cases up to ``k`` in event order, which a join on the model gives where they
-    are wanted.
+    Documents written without a fresh copy per event pile up: case ``k`` has the
+    ``model_steps`` its steps begin with and the other steps, however many, of cases 1..k. ``n_steps`` is that
+    number and ``last_step_pos`` where the last one stands, -1 for none. Equal positions go by case id;
+    cases without a position come first.
+
+    A running sum in two levels: the events of a model fall into blocks of ``block_events``
+    positions, the sums of the blocks are added up before it, and cases are added up within their block, so a
+    model with any number of events is many tasks.
+    """
+    placed = cases.withColumns(
+        {
+            "_own": F.greatest(F.size("steps") - F.lit(model_steps), F.lit(0)).cast("long"),
+            "_block": F.coalesce(F.floor(F.col(order) / block_events), F.lit(-(1 << 62))).cast("long"),
+        }
+    )
+    sums = placed.groupBy("BaseModelId", "_block").agg(F.sum("_own").alias("_sum"))
+    earlier = Window.partitionBy("BaseModelId").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("BaseModelId", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("BaseModelId", "_block").orderBy(order, "case_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.join(offsets.hint("merge"), ["BaseModelId", "_block"])
+    steps = (F.lit(model_steps) + F.col("_before") + F.sum("_own").over(within)).cast("int")
+    return summed.withColumn("n_steps", steps).withColumn("last_step_pos", F.col("n_steps") - 1).drop("_own", "_block", "_before")
+
+
+def piled_up_steps(cases: DataFrame, order: str = "event_pos", model_steps: int = 2, block_events: int = 1024) -> DataFrame:
+    """``(case_id, step_pos, from_case, step)``: the steps of :func:`running_event_steps` themselves.
+
+    They grow with the square of a model's events. Every step has one place in the pile of its
+    model; a case names the places below its ``n_steps``, and the two meet in an equi-join on the place.
     """
-    nth = F.row_number().over(Window.partitionBy("BaseModelId").orderBy(order))
-    steps = (2 + 2 * nth).cast("int")
-    return cases.withColumns({"n_steps": steps, "last_step_pos": steps - 1})
+    counted = running_event_steps(cases, order, model_steps, block_events)
+    own = F.slice("steps", model_steps + 1, F.greatest(F.size("steps") - model_steps, F.lit(0)))
+    pile = counted.select(
+        "BaseModelId", F.col("case_id").alias("from_case"),
+        (F.col("n_steps") - F.size(own)).alias("_first"), F.posexplode(own).alias("_nth", "step"),
+    ).withColumn("step_pos", F.col("_first") + F.col("_nth"))
+    later = counted.where(F.col("n_steps") > model_steps).select(
+        "BaseModelId", "case_id", F.explode(F.sequence(F.lit(model_steps), F.col("last_step_pos"))).alias("step_pos")
+    )
+    met = later.join(pile.drop("_first", "_nth").hint("merge"), ["BaseModelId", "step_pos"])
+    lead = counted.select("case_id", F.posexplode(F.slice("steps", 1, model_steps)).alias("step_pos", "step"))
+    columns = ["case_id", "step_pos", "from_case", "step"]
+    return met.select(*columns).unionByName(lead.withColumn("from_case", F.col("case_id")).select(*columns))
 
 
 def explode_steps(cases: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:

@@ -87,6 +87,42 @@ def case_steps_running(spark, sf_dir):
     return workflow.running_event_steps(cases).select("case_id", "n_steps", "last_step_pos")
 
 
+def uneven_cases(spark, sf_dir):
+    """Cases without a pre-cool step where there is nothing to pre-cool."""
+    cases = workflow.event_cases(base_models(spark, sf_dir), events(spark, sf_dir))
+    cooled = F.col("precool_hours") != "0"
+    short = F.array(F.col("steps")[0], F.col("steps")[1], F.col("steps")[3])
+    return cases.withColumn("steps", F.when(cooled, F.col("steps")).otherwise(short))
+
+
+@query(
+    "case_steps_running_uneven",
+    f"""WITH {CASES_SQL}
+SELECT case_id, CAST(2 + n AS INTEGER) AS n_steps, CAST(1 + n AS INTEGER) AS last_step_pos
+FROM (SELECT case_id, sum(1 + CAST(k % 4 > 0 AS INTEGER)) OVER (PARTITION BY s_name ORDER BY k) AS n FROM cases)""",
+)
+def case_steps_running_uneven(spark, sf_dir):
+    counted = workflow.running_event_steps(uneven_cases(spark, sf_dir), block_events=4)
+    return counted.select("case_id", "n_steps", "last_step_pos")
+
+
+@query(
+    "case_steps_piled",
+    f"""WITH {CASES_SQL},
+own AS (SELECT s_name, k, case_id AS from_case, n, CAST(CASE n WHEN 0 THEN -(k % 5) ELSE k % 6 END AS VARCHAR) AS adjustment
+  FROM cases, range(2) t(n) WHERE n = 1 OR k % 4 > 0),
+pile AS (SELECT *, 1 + row_number() OVER (PARTITION BY s_name ORDER BY k, n) AS step_pos FROM own)
+SELECT case_id, CAST(step_pos AS INTEGER) AS step_pos, from_case, 'ChangeHeatingAndCoolingSetpoint' AS measure, adjustment
+FROM cases c JOIN pile p ON p.s_name = c.s_name AND p.k <= c.k
+UNION ALL SELECT case_id, 0, case_id, 'CreateDOEPrototypeBuilding', NULL FROM cases
+UNION ALL SELECT case_id, 1, case_id, 'SetTimestep', NULL FROM cases""",
+)
+def case_steps_piled(spark, sf_dir):
+    piled = workflow.piled_up_steps(uneven_cases(spark, sf_dir), block_events=4)
+    adjustment = F.col("step.arguments.cooling_adjustment").cast("string")
+    return piled.select("case_id", "step_pos", "from_case", F.col("step.measure_dir_name").alias("measure"), adjustment.alias("adjustment"))
+
+
 @query(
     "workflow_documents",
     """SELECT s_name AS case_id,

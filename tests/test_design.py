@@ -148,6 +148,48 @@ def test_running_steps_pile_up(spark, tables):
     assert apart == {4} and piled == [(4, 3), (4, 3), (6, 5), (6, 5)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 1024])
+def test_running_steps_of_uneven_cases(spark, block):
+    """Any number of event steps, ties, cases without position or without event steps, in blocks of any size."""
+    sizes = {"m": [(0, 3), (1, 0), (1, 2), (4, 1), (9, 5), (None, 2), (-3, 1)], "n": [(7, 4)]}
+    rows = [
+        (model, f"{model}{i}", pos, [("p", i), ("t", i), *((f"e{j}", i) for j in range(own))])
+        for model, events in sizes.items() for i, (pos, own) in enumerate(events)
+    ]
+    kind = "BaseModelId string, case_id string, event_pos long, steps array<struct<measure_dir_name:string,n:int>>"
+    cases = spark.createDataFrame(rows, kind)
+    got = {r.case_id: (r.n_steps, r.last_step_pos) for r in workflow.running_event_steps(cases, block_events=block).collect()}
+    want, pile = {}, {}
+    for model in sizes:
+        steps = []
+        own = [row for row in rows if row[0] == model]
+        for _, case, _, mine in sorted(own, key=lambda row: (row[2] is not None, row[2] or 0, row[1])):
+            steps += [(case, *step) for step in mine[2:]]
+            want[case] = (2 + len(steps), 1 + len(steps))
+            pile[case] = [(case, *step) for step in mine[:2]] + list(steps)
+    assert got == want
+    found = {}
+    for r in workflow.piled_up_steps(cases, block_events=block).orderBy("step_pos").collect():
+        found.setdefault(r.case_id, []).append((r.step_pos, r.from_case, *r.step))
+    assert found == {case: [(i, *step) for i, step in enumerate(steps)] for case, steps in pile.items()}
+
+
+def test_running_steps_split_a_model_over_tasks(spark):
+    rows = [("m", f"c{i:05}", i, [0, 0, 1]) for i in range(4000)]
+    cases = spark.createDataFrame(rows, "BaseModelId string, case_id string, event_pos long, steps array<int>")
+    keys = ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    before = {key: spark.conf.get(key) for key in keys}
+    try:
+        for key, value in zip(keys, ("false", "-1")):
+            spark.conf.set(key, value)
+        counted = workflow.running_event_steps(cases, block_events=100).withColumn("task", F.spark_partition_id())
+        per_task = [r["count"] for r in counted.groupBy("task").count().collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(per_task) > 2 and max(per_task) < 3000 and sum(per_task) == 4000
+
+
 TEXT_STEP = "struct<measure_dir_name:string,arguments:map<string,string>>"
 
 
