@@ -50,15 +50,10 @@ def insulation_layer(
         if considered == "above_first":
             usable = usable & (F.col("r_value") > F.col("_first_r"))
         candidates = layers.join(whole, list(keys)).where(usable)
-    # Numbers only in the aggregation buffers, so that both are hash aggregations.
-    top = candidates.groupBy(*keys).agg(F.max("r_value").alias("_top"))
-    place = (
-        candidates.join(top, list(keys)).where(F.col("r_value").eqNullSafe(F.col("_top")))
-        .groupBy(*keys).agg(F.min("layer_index").alias("_place"))
-    )
-    best = candidates.join(place, list(keys)).where(F.col("layer_index") == F.col("_place")).select(
-        *keys, "layer_index", "material_id", "kind", "thickness", "r_value"
-    )
+    # The largest of (resistance, place from the outside, facts of the layer) is the layer itself: one pass, one shuffle.
+    facts = F.struct("r_value", (-F.col("layer_index")).alias("_inwards"), "layer_index", "material_id", "kind", "thickness")
+    top = candidates.groupBy(*keys).agg(F.max(facts).alias("_top"))
+    best = top.select(*keys, *(F.col(f"_top.{name}") for name in ("layer_index", "material_id", "kind", "thickness", "r_value")))
     if whole is not None:
         best = whole.select(*keys).join(best, list(keys), "left")
     return best.withColumn("found", F.coalesce(F.col("r_value") > F.lit(min_r), F.lit(False)))

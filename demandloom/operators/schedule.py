@@ -320,10 +320,9 @@ def daily_profiles(
     """Profile in force on each date: the first rule that applies, else the default.
 
     ``rule_order`` is unique within a schedule. Rules unfold to the dates they
-    cover and meet the default days in one aggregation. It keeps two numbers per
+    cover and meet the default days in one aggregation. It keeps one number per
     schedule and date, so it runs as a hash aggregation and is combined before
-    the shuffle; the profile of the number is looked up among the schedule's few
-    different profiles. A range whose start is
+    the shuffle; the order then names the profile. A range whose start is
     after its end runs over the turn of the year.
     """
     y = F.lit(year)
@@ -333,21 +332,19 @@ def daily_profiles(
         F.concat(F.sequence(new_year, F.least(start, end)), F.sequence(F.greatest(start, end), year_end))
     )
     order = F.col("rule_order").cast("long").alias("rule_order")
-    number = F.xxhash64("profile_id").alias("_number")
     ruled = (
-        rules.select(*keys, order, number, "dow", F.explode(covered).alias("date"))
+        rules.select(*keys, order, "dow", F.explode(covered).alias("date"))
         .where(F.get("dow", F.dayofweek("date") - 1)).drop("dow")
     )
     default_days = defaults.select(
-        *keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), number, F.explode(_year_days(y)).alias("date")
+        *keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), F.explode(_year_days(y)).alias("date")
     )
-    first = ruled.unionByName(default_days).groupBy(*keys, "date").agg(F.min_by("_number", "rule_order").alias("_number"))
-    named = (
-        rules.select(*keys, "profile_id").unionByName(defaults.select(*keys, "profile_id"))
-        .distinct().withColumn("_number", number)
+    first = ruled.unionByName(default_days).groupBy(*keys, "date").agg(F.min("rule_order").alias("rule_order"))
+    named = rules.select(*keys, order, "profile_id").unionByName(
+        defaults.select(*keys, F.lit(AFTER_ALL_RULES).alias("rule_order"), "profile_id")
     )
-    # ``first`` has a row per date, which Spark's estimate does not count: no broadcast.
-    return first.join(named.hint("merge"), [*keys, "_number"]).select(*keys, "date", "profile_id")
+    # A left join can only broadcast its right side, whose size Spark knows; ``first`` has a row per date, which it does not count.
+    return first.join(named, [*keys, "rule_order"], "left").select(*keys, "date", "profile_id")
 
 
 def half_hour_values(
