@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom import constants as K
 from demandloom.functions.naming import run_name, seed_id
 from demandloom.operators.pairing import pair_all
+from demandloom.operators.prefix import running_sum
 
 
 def step(measure: str, **arguments: Column) -> Column:
@@ -121,23 +122,12 @@ def running_event_steps(
     number and ``last_step_pos`` where the last one stands, -1 for none. Equal positions go by case id;
     cases without a position come first.
 
-    A running sum in two levels: the events of a model fall into blocks of ``block_events``
-    positions, the sums of the blocks are added up before it, and cases are added up within their block, so a
-    model with any number of events is many tasks.
+    A running sum in blocks of ``block_events`` positions, so a model with any number of events is many tasks.
     """
-    placed = cases.withColumns(
-        {
-            "_own": F.greatest(F.size("steps") - F.lit(model_steps), F.lit(0)).cast("long"),
-            "_block": F.coalesce(F.floor(F.col(order) / block_events), F.lit(-(1 << 62))).cast("long"),
-        }
-    )
-    sums = placed.groupBy("BaseModelId", "_block").agg(F.sum("_own").alias("_sum"))
-    earlier = Window.partitionBy("BaseModelId").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("BaseModelId", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("BaseModelId", "_block").orderBy(order, "case_id").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.join(offsets.hint("merge"), ["BaseModelId", "_block"])
-    steps = (F.lit(model_steps) + F.col("_before") + F.sum("_own").over(within)).cast("int")
-    return summed.withColumn("n_steps", steps).withColumn("last_step_pos", F.col("n_steps") - 1).drop("_own", "_block", "_before")
+    own = F.greatest(F.size("steps") - F.lit(model_steps), F.lit(0)).cast("long")
+    summed = running_sum(cases, ["BaseModelId"], order, own, "n_steps", ["case_id"], block_events)
+    steps = (F.lit(model_steps) + F.col("n_steps")).cast("int")
+    return summed.withColumn("n_steps", steps).withColumn("last_step_pos", F.col("n_steps") - 1)
 
 
 def piled_up_steps(cases: DataFrame, order: str = "event_pos", model_steps: int = 2, block_events: int = 1024) -> DataFrame:

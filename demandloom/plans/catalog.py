@@ -8,6 +8,7 @@ from demandloom.plans import (  # noqa: F401
     geometry_queries,
     metric_queries,
     schedule_queries,
+    story_queries,
 )
 from demandloom.plans.registry import ORACLES, QUERIES
 
