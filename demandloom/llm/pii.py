@@ -4,13 +4,18 @@ Base kinds (a pattern's leftmost matches that do not overlap; a match that fails
 its check is dropped and not tried again): ``email``, ``ip`` (parts at most 255),
 ``card`` (13 to 19 digits, Luhn), ``phone`` (9 to 15 digits). They always stay.
 Added kinds: ``iban`` (mod-97) and ``ssn`` (a bare three-two-four digit group, which
-no checksum can confirm); these stay from a score of ``least_score`` on, which
-``ssn`` reaches only beside a word that speaks for it.
+no checksum can confirm) and ``secret`` (the value of a named setting, or a credential with a
+known beginning); these stay from a score of ``least_score`` on, which
+``ssn`` reaches only beside a word that speaks for it. A setting's score grows with the entropy of its value,
+which is not enough on its own: its name or a word nearby has to say that it is secret. Context words are
+English, German, French and Spanish.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from demandloom.llm.common import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 WINDOW = 40
 LEAST_SCORE = 0.5
@@ -34,26 +39,37 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SETTING = re.compile(r"(?<![\w.-])[^\W\d][\w.-]{0,63}[\"']? {0,3}(?::|=>?) {0,3}[\"']?(?P<value>[A-Za-z0-9_+/=.~-]{12,})")
+# How some credentials begin.
+_CREDENTIAL = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9])"
+)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 # Score of a confirmed span without any context, and the words that raise or lower it.
 _SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 _FOR = {
-    "email": {"mail", "email", "contact", "write", "address"},
-    "ip": {"ip", "host", "server", "address", "login"},
-    "card": {"card", "visa", "credit", "debit", "payment", "pay"},
-    "phone": {"phone", "tel", "call", "mobile", "fax", "contact"},
-    "iban": {"iban", "bank", "account", "transfer"},
-    "ssn": {"ssn", "social", "security", "insurance"},
+    "email": set("mail email contact write address kontakt schreiben adresse courriel contacter écrire correo contacto escribir".split()),
+    "ip": set("ip host server address login rechner adresse serveur hôte servidor dirección".split()),
+    "card": set("card visa credit debit payment pay karte kreditkarte zahlung carte crédit paiement tarjeta crédito pago".split()),
+    "phone": set("phone tel call mobile fax contact telefon handy anruf anrufen téléphone tél appeler teléfono llamar móvil".split()),
+    "iban": set("iban bank account transfer konto überweisung banque compte virement banco cuenta transferencia".split()),
+    "ssn": set("ssn social security insurance sozialversicherung versicherung sécurité sociale seguridad seguro".split()),
+    "secret": set(
+        "token secret password passwd passwort passphrase pwd apikey api key auth authorization bearer credential credentials "
+        "geheim kennwort schlüssel secrète jeton clé passe secreto contraseña clave".split()
+    ),
 }
 _AGAINST = {
     "email": {"noreply", "example"},
-    "ip": {"version", "release", "build"},
-    "card": {"isbn", "serial", "order", "tracking"},
-    "phone": {"isbn", "serial", "order", "tracking"},
+    "ip": set("version release build fassung versión".split()),
+    "card": set("isbn serial order tracking seriennummer bestellung sendung série commande suivi serie pedido seguimiento".split()),
+    "phone": set("isbn serial order tracking seriennummer bestellung sendung série commande suivi serie pedido seguimiento".split()),
     "iban": set(),
-    "ssn": {"order", "part", "serial", "tracking"},
+    "ssn": set("order part serial tracking bestellung teil commande pièce pedido pieza".split()),
+    "secret": set("example placeholder checksum sha md5 commit hash beispiel exemple ejemplo".split()),
 }
 _STEP = 0.2
 
@@ -118,13 +134,39 @@ def _ssns(text: str) -> Iterator[tuple[int, int]]:
     yield from (match.span() for match in _SSN.finditer(text))
 
 
-_FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns}
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    known = {match.start(): match.end() for match in _CREDENTIAL.finditer(text)}
+    found = {**{match.start("value"): match.end() for match in _SETTING.finditer(text)}, **known}
+    for start in sorted(found):
+        if start >= done:
+            done = found[start]
+            yield start, done
+
+
+def entropy(text: str) -> float:
+    """Bits a character, from the frequencies within ``text``."""
+    n = len(text)
+    return -sum(count / n * math.log2(count / n) for count in Counter(text).values())
+
+
+def _secret_score(value: str) -> float:
+    """Of a value alone: at most 0.4, so that its name has to speak for it, but for known beginnings."""
+    if _CREDENTIAL.fullmatch(value):
+        return 0.8
+    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    return min(0.4, 0.1 * max(0.0, entropy(value) - 1)) * (1.0 if mixed else 0.5)
+
+
+_FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "ssn": _ssns, "secret": _secrets}
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]
     words = {word.lower() for word in _WORD.findall(near)}
-    value = _SCORE[kind] + _STEP * bool(words & _FOR[kind]) - _STEP * bool(words & _AGAINST[kind])
+    own = _secret_score(text[start:end]) if kind == "secret" else _SCORE[kind]
+    step = 0.3 if kind == "secret" else _STEP
+    value = own + step * bool(words & _FOR[kind]) - step * bool(words & _AGAINST[kind])
     return min(1.0, max(0.0, round(value, 3)))
 
 

@@ -40,6 +40,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *counts,
         F.sha2(F.array_join(F.transform(base, _span_text), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", _span_text), ",").alias("spans"),
+        F.array_join(F.transform("spans", lambda span: span["score"].cast("string")), ",").alias("scores"),
     )
 
 
