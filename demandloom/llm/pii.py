@@ -40,6 +40,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SETTING = re.compile(r"(?<![\w.-])[^\W\d][\w.-]{0,63}[\"']? {0,3}(?::|=>?) {0,3}[\"']?(?P<value>[A-Za-z0-9_+/=.~-]{12,})")
+_NAME = re.compile(r"[\w.-]+[\"']? {0,3}(?::|=>?) {0,3}[\"']?\Z")
 # How some credentials begin.
 _CREDENTIAL = re.compile(
     r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
@@ -164,9 +165,12 @@ _FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iba
 def score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]
     words = {word.lower() for word in _WORD.findall(near)}
-    own = _secret_score(text[start:end]) if kind == "secret" else _SCORE[kind]
-    step = 0.3 if kind == "secret" else _STEP
-    value = own + step * bool(words & _FOR[kind]) - step * bool(words & _AGAINST[kind])
+    if kind == "secret":  # what speaks against it is the setting's own name; words around belong to other things
+        name = _NAME.search(text[max(0, start - 2 * WINDOW) : start])
+        against = {word.lower() for word in _WORD.findall(name[0])} if name else set()
+        value = _secret_score(text[start:end]) + 0.3 * bool(words & _FOR[kind]) - 0.3 * bool(against & _AGAINST[kind])
+    else:
+        value = _SCORE[kind] + _STEP * bool(words & _FOR[kind]) - _STEP * bool(words & _AGAINST[kind])
     return min(1.0, max(0.0, round(value, 3)))
 
 
