@@ -37,7 +37,7 @@ from demandloom.llm.common import slices
 
 LONG = 256
 _CACHED = 400_000
-_BLOCK_BYTES = 1 << 18
+_BLOCK_BYTES = 1 << 16
 _SLICE_BYTES = 2 << 20
 
 # White space as the tokenizer's library has it (the Unicode property).

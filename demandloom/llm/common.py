@@ -76,6 +76,7 @@ def slices(batches: Iterable[pa.RecordBatch], text_at: int, most: int = SLICE_BY
             held += length + 64
         if start < len(lengths):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker stays for the tasks of other stages
 
 
 def utf8_texts(column: pa.Array) -> list[bytes | None]:
