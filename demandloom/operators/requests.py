@@ -44,11 +44,11 @@ def upsert_meters(
     """
     last = F.max_by("reporting_frequency", order) if order else F.max("reporting_frequency")
     wanted = requested.groupBy(*keys).agg(last.alias("_wanted"))
-    return existing.join(wanted, list(keys), "full").select(
+    return existing.withColumn("_there", F.lit(True)).join(wanted, list(keys), "full").select(
         *keys,
         F.coalesce("_wanted", "reporting_frequency").alias("reporting_frequency"),
-        F.when(F.col("reporting_frequency").isNull(), "added")
-        .when(F.col("_wanted").isNull() | (F.col("_wanted") == F.col("reporting_frequency")), "kept")
+        F.when(F.col("_there").isNull(), "added")
+        .when(F.col("_wanted").isNull() | F.col("_wanted").eqNullSafe(F.col("reporting_frequency")), "kept")
         .otherwise("changed").alias("action"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom.functions.calendar import minute_stamp
-from demandloom.operators import geometry, zones
+from demandloom.operators import geometry, points, zones
 from demandloom.plans import inputs
 from demandloom.plans.registry import query
 
@@ -555,3 +555,36 @@ def preview_meter(spark, sf_dir):
     return head.select(
         "run_id", minute_stamp(F.col("ts")).alias("ts"), F.round("bldg_kw", 6).alias("bldg_kw")
     )
+
+
+# Two floors per space, side by side; the second one rises by half a metre per metre in every third space. Windows are the walls.
+FLOOR_POINT_SQL = f"""WITH {SPACE_SQL},
+wall AS (SELECT sp.*, k, L / 2 AS half, CASE WHEN space_id % 3 = 0 THEN 0.5e0 ELSE 0e0 END AS slope, (space_id % 7) * 2e0 AS d
+  FROM sp, (SELECT unnest([0, 1, 2, 3]) AS k)),
+pt AS (SELECT *, CASE k WHEN 1 THEN x0 + L + j - d WHEN 3 THEN x0 + j + d ELSE x0 + j + L / 2 END - x0 AS a,
+         CASE k WHEN 0 THEN y0 + d WHEN 2 THEN y0 + W - d ELSE y0 + W / 2 END - y0 AS b, 0.75e0 AS z FROM wall),
+off AS (SELECT *, greatest(0, -a, a - half) AS a1, greatest(0, -b, b - W) AS b1,
+         half + ((a - half) + slope * z) / (1 + slope * slope) AS t FROM pt),
+hit AS (SELECT *, a1 * a1 + b1 * b1 <= 0.0001e0 AS first,
+         greatest(0, half - t, t - L) ** 2 * (1 + slope * slope) + b1 * b1 <= 0.0001e0 AS second FROM off)
+SELECT model_id, space_id, space_id * 10 + k AS point_id, CAST(first AS BIGINT) + CAST(second AS BIGINT) AS n_floors,
+       CASE WHEN first THEN space_id * 10 + 5 WHEN second THEN space_id * 10 + 6 END AS floor_id, first OR second AS on_floor FROM hit"""
+
+
+@query("window_points_on_floors", FLOOR_POINT_SQL)
+def window_points_on_floors(spark, sf_dir):
+    space, x0, y0 = F.col("space_id"), F.col("x0"), F.col("y0")
+    half, y1, zero = F.col("L") / 2, F.col("y0") + F.col("W"), F.lit(0.0)
+    rise = F.when(space % 3 == 0, half * 0.5).otherwise(0.0)
+
+    def floor(no, left, right, top):
+        corners = [(left, y0, zero), (left, y1, zero), (right, y1, top), (right, y0, top)]
+        return F.struct((space * 10 + no).alias("surface_id"), F.array(*(geometry.vertex(*c) for c in corners)).alias("vertices"))
+
+    floors = rectangles(spark, sf_dir).select(
+        "model_id", "space_id", F.inline(F.array(floor(5, x0, x0 + half, zero), floor(6, x0 + half, x0 + 2 * half, rise)))
+    )
+    walls = box_surfaces(spark, sf_dir).where(F.col("surface_type") == "Wall").withColumn("vertices", F.reverse("vertices"))
+    reference = floors.where(F.col("surface_id") % 10 == 5)
+    placed = points.window_points(walls.drop("story_id"), reference, space % 7 * 2.0, 0.75)
+    return points.points_on_floors(placed.withColumnRenamed("surface_id", "point_id"), floors)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demandloom.constants import OUTPUT_SPEC
 from demandloom.functions.calendar import is_workday_in, minute_stamp, with_calendar
-from demandloom.operators import collection, metrics
+from demandloom.operators import collection, metrics, quantiles
 from demandloom.plans import inputs, studies
 from demandloom.plans.registry import query
 from demandloom.session import scratch_dir
@@ -154,6 +154,37 @@ def shed_box_stats(spark, sf_dir):
     )
 
 
+def fleet_box_sql(values: str) -> str:
+    return f"""{values},
+q AS (SELECT hour, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM vals GROUP BY 1),
+marked AS (SELECT v, q.*, v BETWEEN q1 - 1.5e0 * (q3 - q1) AND q3 + 1.5e0 * (q3 - q1) AS inside FROM vals JOIN q USING (hour))
+SELECT hour, count(*) AS n, round(avg(v), 6) AS mean, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
+  round(any_value(q3), 6) AS q3, round(least(min(v) FILTER (inside), any_value(q1)), 6) AS whisker_low,
+  round(greatest(max(v) FILTER (inside), any_value(q3)), 6) AS whisker_high, count(*) FILTER (NOT inside) AS n_outliers FROM marked GROUP BY hour"""
+
+
+def rounded_boxes(boxes):
+    return boxes.select(
+        "hour", "n", r6("mean"), r6("q1"), r6("median"), r6("q3"), r6("whisker_low"), r6("whisker_high"), "n_outliers"
+    )
+
+
+@query("fleet_box_stats", fleet_box_sql(f"WITH {inputs.CELLS_SQL}, vals AS (SELECT hour, v FROM cells)"))
+def fleet_box_stats(spark, sf_dir):
+    """The scenarios of all runs in one box per hour of the day."""
+    return rounded_boxes(quantiles.fleet_box_stats(cells(spark, sf_dir), "shed_w_ft2"))
+
+
+@query(
+    "event_box_stats",
+    fleet_box_sql("WITH vals AS (SELECT CAST(hour(ts) AS INTEGER) AS hour, value AS v FROM events WHERE value IS NOT NULL)"),
+)
+def event_box_stats(spark, sf_dir):
+    """Raw readings, one box per hour of the day."""
+    readings = inputs.table(spark, sf_dir, "events").select(F.hour("ts").alias("hour"), "value")
+    return rounded_boxes(quantiles.fleet_box_stats(readings, "value"))
+
+
 @query(
     "shed_box_outliers",
     f"WITH {BOX_SQL} SELECT run_id, day, hour, round(v, 6) AS shed_w_ft2 FROM marked WHERE NOT inside",

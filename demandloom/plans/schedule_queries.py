@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom.functions import profiles as P
-from demandloom.operators import schedule
+from demandloom.operators import schedule, series
 from demandloom.plans import inputs
 from demandloom.plans.registry import query
 
@@ -315,7 +315,7 @@ JOIN range({per_day}) r(h) ON (h + 1) * 30 > s.begin_min AND (h + 1) * 30 <= s.u
 GROUP BY 1, 2"""
 
 
-def half_hour_means(spark, sf_dir, compat):
+def half_hours(spark, sf_dir, compat=False):
     items = inputs.table(spark, sf_dir, "lineitem")
     keys = ("schedule_id", "profile_id")
     by_flag = items.select(
@@ -324,7 +324,10 @@ def half_hour_means(spark, sf_dir, compat):
     )
     flat = by_flag.select("schedule_id", F.lit("D").alias("profile_id"), F.lit(1440).alias("until_min"), "value")
     shapes = to_midnight(schedule.to_profiles(by_flag.unionByName(flat), keys))
-    values = schedule.half_hour_values(ruleset_days(spark, sf_dir), shapes, compat=compat)
+    return schedule.half_hour_values(ruleset_days(spark, sf_dir), shapes, compat=compat)
+
+
+def half_hour_means(values):
     return values.groupBy("schedule_id", "half_hour").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value")
     )
@@ -332,12 +335,42 @@ def half_hour_means(spark, sf_dir, compat):
 
 @query("ruleset_half_hours", half_hour_sql(48))
 def ruleset_half_hours(spark, sf_dir):
-    return half_hour_means(spark, sf_dir, compat=False)
+    return half_hour_means(half_hours(spark, sf_dir))
 
 
 @query("ruleset_half_hours_without_midnight", half_hour_sql(47))
 def ruleset_half_hours_without_midnight(spark, sf_dir):
-    return half_hour_means(spark, sf_dir, compat=True)
+    return half_hour_means(half_hours(spark, sf_dir, compat=True))
+
+
+def half_hour_intervals(spark, sf_dir):
+    """Half-hour values as one series per schedule, numbered from 1970 on, and its variable intervals."""
+    step = F.unix_date("date").cast("long") * 48 + F.col("half_hour")
+    numbered = half_hours(spark, sf_dir).select("schedule_id", step.alias("step"), "value")
+    return series.to_intervals(numbered, ["schedule_id"])
+
+
+SERIES_SQL = half_hour_sql(48).rpartition("SELECT d.schedule_id")[0] + """,
+steps AS (SELECT d.schedule_id, datediff('day', DATE '1970-01-01', CAST(d.date AS DATE)) * 48 + h AS step, s.value
+  FROM days d JOIN seg s ON s.schedule_id = d.schedule_id AND s.profile_id = d.profile_id
+  JOIN range(48) r(h) ON (h + 1) * 30 > s.begin_min AND (h + 1) * 30 <= s.until_min),
+marked AS (SELECT *, CASE WHEN lag(step) OVER w = step - 1 AND lag(value) OVER w IS NOT DISTINCT FROM value THEN 0 ELSE 1 END AS starts
+  FROM steps WINDOW w AS (PARTITION BY schedule_id ORDER BY step)),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY schedule_id ORDER BY step) AS run FROM marked)"""
+
+
+@query(
+    "schedule_intervals",
+    f"{SERIES_SQL} SELECT schedule_id, min(step) AS begin_step, max(step) AS end_step, any_value(value) AS value FROM numbered GROUP BY schedule_id, run",
+)
+def schedule_intervals(spark, sf_dir):
+    return half_hour_intervals(spark, sf_dir)
+
+
+@query("schedule_intervals_unfolded", half_hour_sql(48))
+def schedule_intervals_unfolded(spark, sf_dir):
+    steps = series.from_intervals(half_hour_intervals(spark, sf_dir), ["schedule_id"])
+    return half_hour_means(steps.withColumn("half_hour", F.pmod("step", F.lit(48)).cast("int")))
 
 
 @query(
