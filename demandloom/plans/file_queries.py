@@ -71,6 +71,19 @@ def report_files(spark, sf_dir):
     return wanted.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(
+    "report_clustered_files",
+    """SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS name, count(*) AS n, round(sum(value), 4) AS total FROM events
+WHERE dayofweek(ts) > 0 AND ((event_type = 'view' AND CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) < 90)
+  OR event_type = 'purchase') GROUP BY 1, 2""",
+)
+def report_clustered_files(spark, sf_dir):
+    path = scratch_dir(spark, "report-clustered")
+    writers.write_report(metric_queries.report(spark, sf_dir), path)
+    wanted = readers.read_report(spark, path, metric_queries.REPORT_SPEC)
+    return wanted.groupBy("run_id", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query(
     "report_sqlite_files",
     """WITH r AS (

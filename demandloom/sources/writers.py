@@ -69,6 +69,20 @@ def write_meter(meter: DataFrame, path: str, rows_per_file: int = 50_000_000) ->
     )
 
 
+def write_report(report: DataFrame, path: str, row_group_bytes: int = 128 * 1024**2, distinct: int = 100_000) -> None:
+    """Long report table, laid out so that a scan for some outputs skips the rest.
+
+    Rows are in ranges of name, key and run, which split a name that most rows have, and sorted, so the
+    smallest and largest name and key of a row group tell most groups apart. Bloom filters (sized for ``distinct``
+    values of a row group) tell whether a group that spans a name, key or run holds it.
+    """
+    place = ["name", "key_value", "run_id"]
+    out = report.repartitionByRange(*place).sortWithinPartitions(*place, "step_no").write.mode("overwrite")
+    for column in place:
+        out = out.option(f"parquet.bloom.filter.enabled#{column}", True).option(f"parquet.bloom.filter.expected.ndv#{column}", distinct)
+    out.option("parquet.block.size", row_group_bytes).parquet(path)
+
+
 def with_published_headers(wide: DataFrame) -> DataFrame:
     """Wide series with the column titles of the interval files."""
     return wide.select(

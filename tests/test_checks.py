@@ -133,10 +133,11 @@ def test_change_report(spark, rows):
 
 def test_meter_upsert(spark, rows):
     schema = "model_id string, name string, reporting_frequency string"
-    existing = spark.createDataFrame([("m", "Fans", "hourly"), ("m", "Gas", "daily"), ("m", "Heat", "daily")], schema)
-    wanted = spark.createDataFrame([("m", "Fans", "timestep"), ("m", "New", "hourly"), ("m", "Heat", "daily")], schema)
+    existing = spark.createDataFrame([("m", "Fans", "hourly"), ("m", "Gas", "daily"), ("m", "Heat", "daily"), ("m", "Pumps", None), ("m", "Rest", None)], schema)
+    wanted = spark.createDataFrame([("m", "Fans", "timestep"), ("m", "New", "hourly"), ("m", "Heat", "daily"), ("m", "Pumps", "daily")], schema)
     assert rows(requests.upsert_meters(existing, wanted), "name", "reporting_frequency", "action") == [
-        ("Fans", "timestep", "changed"), ("Gas", "daily", "kept"), ("Heat", "daily", "kept"), ("New", "hourly", "added")
+        ("Fans", "timestep", "changed"), ("Gas", "daily", "kept"), ("Heat", "daily", "kept"), ("New", "hourly", "added"),
+        ("Pumps", "daily", "changed"), ("Rest", None, "kept"),
     ]
 
 
