@@ -38,6 +38,13 @@ def map_values(points: Column, edit: Edit) -> Column:
     return F.transform(points, lambda p: point(p["until_min"], edit(p["value"])))
 
 
+def canonical(points: Column) -> Column:
+    """The same step function without needless breakpoints: those with the value of the next one go."""
+    last = F.size(points) - 1
+    needed = F.filter(points, lambda p, i: (i == last) | ~F.get(points, i + 1)["value"].eqNullSafe(p["value"]))
+    return F.transform(needed, lambda p: point(p["until_min"], p["value"] + F.lit(0.0)))  # -0.0 is 0.0
+
+
 def edit_window(points: Column, start, end, inside: Edit, outside: Edit | None = None) -> Column:
     """Apply ``inside`` on ``(start, end]`` and ``outside`` elsewhere.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom.functions import profiles as P
-from demandloom.operators import schedule, series
+from demandloom.operators import schedule, series, shared
 from demandloom.plans import inputs
 from demandloom.plans.registry import query
 
@@ -244,6 +244,64 @@ def distinct_day_shapes(spark, sf_dir):
     )
 
 
+# Whole quantities in tens, so that many profiles are the same step function.
+TENS_SQL = f"""{PROFILE_SQL},
+tens AS (SELECT profile_id, until_min, CAST(floor(value / 10) AS DOUBLE) AS value FROM prof),
+needed AS (SELECT profile_id, until_min, value FROM (
+  SELECT *, lead(value) OVER (PARTITION BY profile_id ORDER BY until_min) AS next FROM tens) WHERE next IS NULL OR next <> value),
+shapes AS (SELECT profile_id, string_agg(until_min || ':' || CAST(value AS INTEGER), ' ' ORDER BY until_min) AS shape FROM needed GROUP BY 1)"""
+
+
+def in_tens(spark, sf_dir):
+    return profiles(spark, sf_dir).withColumn("points", P.map_values(F.col("points"), lambda v: F.floor(v / 10)))
+
+
+@query(
+    "shared_day_profiles",
+    f"WITH {TENS_SQL} SELECT shape, count(*) AS n_uses, min(profile_id) AS first_profile FROM shapes GROUP BY 1",
+)
+def shared_day_profiles(spark, sf_dir):
+    days = in_tens(spark, sf_dir)
+    shape = F.array_join(
+        F.transform("points", lambda p: F.concat_ws(":", p["until_min"].cast("string"), p["value"].cast("int").cast("string"))), " "
+    )
+    owners = shared.links(days).groupBy("shape_id").agg(F.min("profile_id").alias("first_profile"))
+    return shared.dictionary(days).join(owners, "shape_id").select(shape.alias("shape"), "n_uses", "first_profile")
+
+
+@query(
+    "shared_day_profiles_edited",
+    f"""WITH {TENS_SQL}, edited AS (SELECT profile_id, until_min, least(value, 2) + 0.5e0 AS value FROM needed)
+SELECT profile_id, until_min, value FROM (
+  SELECT *, lead(value) OVER (PARTITION BY profile_id ORDER BY until_min) AS next FROM edited) WHERE next IS NULL OR next <> value""",
+)
+def shared_day_profiles_edited(spark, sf_dir):
+    """Each content is edited once, contents that became equal become one, then all profiles get theirs."""
+    days = in_tens(spark, sf_dir)
+    edit = P.map_values(F.col("points"), lambda v: F.least(v, F.lit(2.0)) + 0.5)
+    owned, shapes = shared.readdress(shared.links(days), shared.dictionary(days).withColumn("points", edit))
+    return schedule.to_points(shared.expand(owned, shapes))
+
+
+@query(
+    "shared_schedule_clones",
+    """WITH entry AS (SELECT l_orderkey AS schedule_id, l_returnflag AS kind, floor(l_quantity / 10) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+s AS (SELECT schedule_id, string_agg(kind || v || 'x' || n, ' ' ORDER BY kind, v) AS content FROM entry GROUP BY 1),
+f AS (SELECT schedule_id, min(schedule_id) OVER (PARTITION BY content) AS shared_id FROM s)
+SELECT shared_id, count(*) AS n_users, shared_id || ' adjusted' AS new_shared_id FROM orders JOIN f ON o_orderkey = schedule_id GROUP BY 1""",
+)
+def shared_schedule_clones(spark, sf_dir):
+    """An order uses its own schedule, whose entries are its line items' flags and tens of quantity."""
+    items = inputs.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("profile_id"), F.col("l_orderkey").alias("schedule_id"), F.col("l_returnflag").alias("kind"),
+        F.array(P.point(F.lit(P.DAY), F.floor(F.col("l_quantity") / 10))).alias("points"),
+    )
+    entries = shared.links(items, ("schedule_id", "kind"))
+    same = shared.same_schedules(entries, ("kind", "shape_id"))
+    users = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("schedule_id")).join(same, "schedule_id")
+    return schedule.clones(users, "shared_id", F.lit(" adjusted"), keys=())
+
+
 YEAR = 2017
 
 RULES_SQL = f"""
