@@ -8,7 +8,8 @@ from demandloom import constants as K
 from demandloom.operators import logs, requests, validate
 from demandloom.plans import inputs
 from demandloom.plans.registry import query
-from demandloom.session import fixed_table
+from demandloom.session import fixed_table, scratch_dir
+from demandloom.sources import stored_update
 from demandloom.sources.readers import explode_keys
 
 
@@ -301,14 +302,11 @@ def request_counts(spark, sf_dir):
     return requests.request_counts(matched)
 
 
-@query(
-    "request_upsert",
-    """WITH e AS (SELECT s_nationkey AS model_id, 'm' || s_suppkey AS name, 'hourly' AS f FROM supplier WHERE s_suppkey % 3 > 0),
-q AS (SELECT s_nationkey AS model_id, 'm' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'daily' ELSE 'hourly' END AS w FROM supplier WHERE s_acctbal > 2000)
-SELECT model_id, name, coalesce(w, f) AS reporting_frequency, CASE WHEN f IS NULL THEN 'added' WHEN w IS NULL OR w = f THEN 'kept' ELSE 'changed' END AS action
-FROM e FULL JOIN q USING (model_id, name)""",
-)
-def request_upsert(spark, sf_dir):
+UPSERT_SQL = """e AS (SELECT s_nationkey AS model_id, 'm' || s_suppkey AS name, 'hourly' AS f FROM supplier WHERE s_suppkey % 3 > 0),
+q AS (SELECT s_nationkey AS model_id, 'm' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'daily' ELSE 'hourly' END AS w FROM supplier WHERE s_acctbal > 2000)"""
+
+
+def meters_and_requests(spark, sf_dir):
     supplier = inputs.table(spark, sf_dir, "supplier").select(
         F.col("s_nationkey").alias("model_id"), F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("name"),
         "s_suppkey", "s_acctbal",
@@ -320,7 +318,28 @@ def request_upsert(spark, sf_dir):
         "model_id", "name",
         F.when(F.col("s_suppkey") % 2 == 0, "daily").otherwise("hourly").alias("reporting_frequency"),
     )
-    return requests.upsert_meters(existing, wanted)
+    return existing, wanted
+
+
+@query(
+    "request_upsert",
+    f"""WITH {UPSERT_SQL}
+SELECT model_id, name, coalesce(w, f) AS reporting_frequency, CASE WHEN f IS NULL THEN 'added' WHEN w IS NULL OR w = f THEN 'kept' ELSE 'changed' END AS action
+FROM e FULL JOIN q USING (model_id, name)""",
+)
+def request_upsert(spark, sf_dir):
+    return requests.upsert_meters(*meters_and_requests(spark, sf_dir))
+
+
+@query(
+    "request_upsert_stored",
+    f"WITH {UPSERT_SQL} SELECT model_id, name, coalesce(w, f) AS reporting_frequency FROM e FULL JOIN q USING (model_id, name)",
+)
+def request_upsert_stored(spark, sf_dir):
+    existing, wanted = meters_and_requests(spark, sf_dir)
+    table = stored_update.write_table(existing, scratch_dir(spark, "meters"), ("model_id", "name"))
+    stored_update.update(table, wanted, requests.upsert_meters)
+    return table.read(spark)
 
 
 @query(

@@ -14,7 +14,7 @@ from demandloom.operators import schedule, workflow
 from demandloom.plans import design_queries, inputs, metric_queries
 from demandloom.plans.registry import query
 from demandloom.session import scratch_dir
-from demandloom.sources import readers, sqlite_reports, writers
+from demandloom.sources import readers, sqlite_reports, stored_update, writers
 
 
 def text_files(texts, path, name):
@@ -58,6 +58,20 @@ def stored_meter(spark, sf_dir):
     return workdays.select("run_id", minute_stamp(F.col("ts")).alias("ts"), F.round("bldg_kw", 6).alias("bldg_kw"))
 
 
+@query(
+    "stored_runs_done_again",
+    f"WITH {inputs.RAW_METER_SQL} SELECT run_id, strftime(ts, '%Y-%m-%d %H:%M') AS ts, "
+    "round(CASE WHEN run_id = 'error' THEN bldg_kw / 2 ELSE bldg_kw END, 6) AS bldg_kw FROM meter WHERE run_id <> 'error' OR hour(ts) < 12",
+)
+def stored_runs_done_again(spark, sf_dir):
+    """One run is done again, with other and fewer rows; the files of the others stay."""
+    meter = inputs.meter(spark, sf_dir)
+    table = stored_update.write_table(meter, scratch_dir(spark, "runs"), ("run_id",))
+    again = table.read(spark).where((F.col("run_id") == "error") & (F.hour("ts") < 12)).withColumn("bldg_kw", F.col("bldg_kw") / 2)
+    stored_update.update(table, again, stored_update.replace_groups(table))
+    return table.read(spark).select("run_id", minute_stamp(F.col("ts")).alias("ts"), F.round("bldg_kw", 6).alias("bldg_kw"))
+
+
 @query(
     "report_files",
     """SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total FROM events
