@@ -127,8 +127,14 @@ def read_params(spark: SparkSession, path: str, names: Sequence[str]) -> DataFra
     return _header_csv(spark, path).toDF(*names)
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``file, value``."""
+def _texts(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """One row per text: ``file, value``.
+
+    ``files``: one text per file, named by its path. ``buckets``: many texts per file with their names, as
+    :func:`write_documents` leaves them under the case ``file``; a file costs more than most texts.
+    """
+    if layout == "buckets":
+        return read_documents(spark, path, "file").withColumnRenamed("document", "value")
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value"
     )
@@ -146,8 +152,8 @@ def parse_params_json(texts: DataFrame, names: Sequence[str], keys: Sequence[str
     return rows.select(*keys, *(F.col(f"record.{n}").alias(n) for n in names), "status")
 
 
-def read_params_json(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    return parse_params_json(_whole_files(spark, path), names, ["file"])
+def read_params_json(spark: SparkSession, path: str, names: Sequence[str], layout: str = "files") -> DataFrame:
+    return parse_params_json(_texts(spark, path, layout), names, ["file"])
 
 
 def parse_model_list(texts: DataFrame, key: str = "file") -> DataFrame:
@@ -164,8 +170,8 @@ def parse_model_list(texts: DataFrame, key: str = "file") -> DataFrame:
     return steps.select(key, "model_no", "step_pos", "step", status.alias("status"))
 
 
-def read_model_list(spark: SparkSession, path: str) -> DataFrame:
-    return parse_model_list(_whole_files(spark, path))
+def read_model_list(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
+    return parse_model_list(_texts(spark, path, layout))
 
 
 def parse_workflow_results(texts: DataFrame, key: str = "file") -> DataFrame:
@@ -192,8 +198,8 @@ def parse_workflow_results(texts: DataFrame, key: str = "file") -> DataFrame:
     )
 
 
-def read_workflow_results(spark: SparkSession, path: str) -> DataFrame:
-    return parse_workflow_results(_whole_files(spark, path)).withColumnRenamed("file", "document")
+def read_workflow_results(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
+    return parse_workflow_results(_texts(spark, path, layout)).withColumnRenamed("file", "document")
 
 
 def explode_keys(requests: DataFrame) -> DataFrame:

@@ -169,3 +169,33 @@ def test_workflow_results(spark, tmp_path):
     assert values.where("measure = 'NotRun'").count() == 1
     first = requests.first_step_with(values, "timestep", ["document"]).first()
     assert (first.step_pos, first.measure, first.value) == (0, "SetTimestep", "4")
+
+
+@pytest.mark.parametrize("name", ["model_list_files", "workflow_result_files", "params_json_files"])
+def test_texts_take_files_by_bucket_and_not_by_row(spark, tmp_path, monkeypatch, name):
+    from demandloom.plans import file_queries
+    from demandloom.plans.catalog import QUERIES
+
+    (tmp_path / "in").mkdir()
+    suppliers = spark.range(300).selectExpr(
+        "id AS s_suppkey", "format_string('Supplier#%09d', id) AS s_name", "CAST(id % 25 AS INT) AS s_nationkey", "0.5D AS s_acctbal"
+    )
+    suppliers.write.parquet(str(tmp_path / "in" / "supplier.parquet"))
+    monkeypatch.setattr(file_queries, "scratch_dir", lambda _, label: str(tmp_path / "scratch" / label))
+    assert QUERIES[name](spark, str(tmp_path / "in")).count() >= 300
+    written = [p for p in (tmp_path / "scratch").rglob("part-*") if p.is_file()]
+    assert 0 < len(written) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_in_buckets_and_in_files_read_alike(spark, tmp_path, rows):
+    texts = {"a": '[[{"measure_dir_name":"M",\n"arguments":{"x":"1"}}]]', "b": "[]", "c": "[[{", "d": "x"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    stored = spark.createDataFrame(list(texts.items()), "file string, document string")
+    writers.write_documents(stored, str(tmp_path / "buckets"), "file", buckets=2)
+    in_files = readers.read_model_list(spark, str(tmp_path / "*.json"))
+    in_buckets = readers.read_model_list(spark, str(tmp_path / "buckets"), "buckets")
+    name = F.regexp_extract("file", "([a-d])(.json)?$", 1).alias("name")
+    shown = [name, F.col("step.measure_dir_name"), "status"]
+    assert rows(in_buckets.select(*shown)) == rows(in_files.select(*shown))
+    assert in_buckets.count() == 4
