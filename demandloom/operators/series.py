@@ -39,13 +39,32 @@ def to_intervals(
     runs = series.where(F.col(step).isNotNull()).select(
         *keys, F.col(step).cast("long").alias("begin_step"), F.col(step).cast("long").alias("end_step"), value
     )
-    done = []
+    return stitch_runs(runs, keys, value, blocks)
+
+
+def stitch_runs(
+    runs: DataFrame, keys: Sequence[str], value: str = "value", blocks: Sequence[int] = BLOCKS, within: int | None = None
+) -> DataFrame:
+    """The same from runs (``begin_step``, ``end_step``) that do not cross a border of the first ``blocks``.
+
+    With ``within`` they are the longest ones in blocks of that many steps already, such as days, and cross none of
+    their borders: the inner ones are done as they are, and no more than two of a block go through the windows.
+    """
+    keys, done = list(keys), []
+
+    def split(size: int) -> DataFrame:
+        """What touches a border of its block; the rest is done."""
+        inner = (F.col("begin_step") > F.col("_block") * size) & (F.col("end_step") < (F.col("_block") + 1) * size - 1)
+        done.append(runs.where(inner))
+        return runs.where(~inner)
+
+    if within:
+        runs = runs.withColumn("_block", F.floor(F.col("begin_step") / F.lit(within)))
+        runs = split(within)
     for size in blocks:
         block = F.floor(F.col("begin_step") / F.lit(size))
         runs = _stitched(runs.withColumn("_block", block), [*keys, "_block"], value)
-        inner = (F.col("begin_step") > F.col("_block") * size) & (F.col("end_step") < (F.col("_block") + 1) * size - 1)
-        done.append(runs.where(inner))
-        runs = runs.where(~inner)
+        runs = split(size)
     done.append(_stitched(runs.drop("_block"), keys, value))
     columns = [*keys, "begin_step", "end_step", value]
     return reduce(DataFrame.unionByName, (part.select(*columns) for part in done))

@@ -303,6 +303,8 @@ def shared_schedule_clones(spark, sf_dir):
 
 
 YEAR = 2017
+# Half hours in 8192 days, of which at most two runs each are stitched.
+DAY_BLOCKS = (48 * 8192,)
 
 RULES_SQL = f"""
 item AS (SELECT l_suppkey AS schedule_id, (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS rule_order, l_returnflag AS profile_id,
@@ -373,7 +375,7 @@ JOIN range({per_day}) r(h) ON (h + 1) * 30 > s.begin_min AND (h + 1) * 30 <= s.u
 GROUP BY 1, 2"""
 
 
-def half_hours(spark, sf_dir, compat=False):
+def ruleset_shapes(spark, sf_dir):
     items = inputs.table(spark, sf_dir, "lineitem")
     keys = ("schedule_id", "profile_id")
     by_flag = items.select(
@@ -381,8 +383,11 @@ def half_hours(spark, sf_dir, compat=False):
         (F.col("l_linenumber") * 180).alias("until_min"), F.col("l_extendedprice").alias("value"),
     )
     flat = by_flag.select("schedule_id", F.lit("D").alias("profile_id"), F.lit(1440).alias("until_min"), "value")
-    shapes = to_midnight(schedule.to_profiles(by_flag.unionByName(flat), keys))
-    return schedule.half_hour_values(ruleset_days(spark, sf_dir), shapes, compat=compat)
+    return to_midnight(schedule.to_profiles(by_flag.unionByName(flat), keys))
+
+
+def half_hours(spark, sf_dir, compat=False):
+    return schedule.half_hour_values(ruleset_days(spark, sf_dir), ruleset_shapes(spark, sf_dir), compat=compat)
 
 
 def half_hour_means(values):
@@ -402,10 +407,13 @@ def ruleset_half_hours_without_midnight(spark, sf_dir):
 
 
 def half_hour_intervals(spark, sf_dir):
-    """Half-hour values as one series per schedule, numbered from 1970 on, and its variable intervals."""
-    step = F.unix_date("date").cast("long") * 48 + F.col("half_hour")
-    numbered = half_hours(spark, sf_dir).select("schedule_id", step.alias("step"), "value")
-    return series.to_intervals(numbered, ["schedule_id"])
+    """Half-hour values as one series per schedule, numbered from 1970 on, and its variable intervals: the days' runs stitched."""
+    runs = schedule.half_hour_runs(ruleset_days(spark, sf_dir), ruleset_shapes(spark, sf_dir))
+    midnight = F.unix_date("date").cast("long") * 48
+    numbered = runs.select(
+        "schedule_id", (midnight + F.col("first_half_hour")).alias("begin_step"), (midnight + F.col("last_half_hour")).alias("end_step"), "value"
+    )
+    return series.stitch_runs(numbered, ["schedule_id"], blocks=DAY_BLOCKS, within=48)
 
 
 SERIES_SQL = half_hour_sql(48).rpartition("SELECT d.schedule_id")[0] + """,

@@ -52,6 +52,15 @@ def test_alternating_steps_and_empty_series(spark, rows):
     assert series.from_intervals(spark.createDataFrame([("a", 5, 4, 1.0)], RUNS), ["k"]).count() == 0
 
 
+def test_runs_of_days_are_stitched_without_a_row_per_step(spark, rows):
+    rng = random.Random(11)
+    data = [("k", s, float(rng.random() < 0.1)) for s in range(-96, 960) if s // 48 != 3] + [("flat", s, None) for s in range(480)]
+    days = [(k, d, list(g)) for (k, d), g in itertools.groupby(data, key=lambda r: (r[0], r[1] // 48))]
+    within = [run for _, _, day in days for run in plain(day)]
+    runs = series.stitch_runs(spark.createDataFrame(within, RUNS).repartition(5), ["k"], blocks=(96, 480), within=48)
+    assert rows(runs, "k", "begin_step", "end_step", "value") == plain(data)
+
+
 def test_no_window_over_a_whole_series(spark):
     """Raw steps only meet a window together with their block."""
     df = spark.createDataFrame([("a", 1, 1.0)], STEPS)
