@@ -216,12 +216,29 @@ def match_edges(floor_edges: DataFrame, wall_edges: DataFrame, space: Sequence[s
     return met.where(close).drop("_cell")
 
 
+def edges_at_floors(walls: DataFrame, floors: DataFrame, space: Sequence[str]) -> DataFrame:
+    """Edges of the walls that lie at the height of the space's floors; no other can match a floor's edge.
+
+    Heights meet the walls while these are one row each. A wall has three or more edges and mostly one at
+    a floor, so the match shuffles few of them.
+    """
+    low, high = extent("z")
+    heights = floors.groupBy(*space).agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
+    used = edges(walls.join(heights.hint("merge"), list(space)))
+    at_floor = F.lit(True)
+    for end in ("p", "q"):
+        z = F.col(f"{end}.z")
+        # Twice the tolerance, as rounding here must not decide; the match does.
+        at_floor = at_floor & (z >= F.col("_low") - 2 * TOLERANCE) & (z <= F.col("_high") + 2 * TOLERANCE)
+    return used.where(at_floor).drop("_low", "_high")
+
+
 def perimeter(surfaces: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:
     """Length of the edges shared by a ground floor and an exterior wall of the same space."""
-    used = edges(surfaces)
-    ground = used.where((F.col("surface_type") == "Floor") & (F.col("boundary") == "Ground"))
-    outdoor = used.where((F.col("surface_type") == "Wall") & (F.col("boundary") == "Outdoors"))
-    matched = match_edges(ground, outdoor, [*keys, "space_id"])
+    space = [*keys, "space_id"]
+    ground = surfaces.where((F.col("surface_type") == "Floor") & (F.col("boundary") == "Ground"))
+    outdoor = surfaces.where((F.col("surface_type") == "Wall") & (F.col("boundary") == "Outdoors"))
+    matched = match_edges(edges(ground), edges_at_floors(outdoor, ground, space), space)
     return matched.groupBy(*keys).agg(F.sum(edge_length("fp", "fq")).alias("perimeter"))
 
 
@@ -239,11 +256,10 @@ def story_edges(
     itself only.
     """
     keys = ["model_id", "story_id", "space_id"]
-    used = edges(surfaces)
-    floors = used.where(F.col("surface_type") == "Floor")
-    walls = used.where((F.col("surface_type") == "Wall") & F.col("boundary").isin(*boundaries))
+    floors = surfaces.where(F.col("surface_type") == "Floor")
+    walls = surfaces.where((F.col("surface_type") == "Wall") & F.col("boundary").isin(*boundaries))
     # A space without its row stands for itself once.
-    matched = match_edges(floors, walls, keys).join(
+    matched = match_edges(edges(floors), edges_at_floors(walls, floors, keys), keys).join(
         spaces.select("model_id", "space_id", "multiplier"), ["model_id", "space_id"], "left"
     ).withColumn("multiplier", F.coalesce("multiplier", F.lit(1)))
     length, party = edge_length("p", "q"), F.lit(False)

@@ -327,3 +327,19 @@ def test_densities_and_areas(spark):
     }
     empty = spaces.withColumn("floor_area", F.lit(0.0))
     assert zones.power_density(empty, "lighting_power").first().density is None
+
+
+def test_only_wall_edges_at_a_floor_are_matched(spark):
+    def ring(*corners):
+        return [dict(zip("xyz", map(float, c))) for c in corners]
+
+    data = [
+        ("m", "s", "low", ring((4, 0, 0), (0, 0, 0), (0, 0, 3), (4, 0, 3))), ("m", "s", "above", ring((4, 0, 3), (0, 0, 3), (0, 0, 6), (4, 0, 6))),
+        ("m", "s", "slope", ring((4, 0, 2), (0, 0, 0), (0, 0, 3), (4, 0, 3))), ("m", "none", "lost", ring((4, 0, 0), (0, 0, 0), (0, 0, 3), (4, 0, 3))),
+    ]
+    shape = "model_id string, space_id string, surface_id string, vertices array<struct<x:double,y:double,z:double>>"
+    walls = spark.createDataFrame(data, shape)
+    floors = spark.createDataFrame([("m", "s", "f", ring((0, 0, 0), (4, 0, 0.00005), (4, 4, 0), (0, 4, 0)))], shape)
+    used = geometry.edges_at_floors(walls, floors, ["model_id", "space_id"])
+    assert [r.surface_id for r in used.collect()] == ["low"]
+    assert used.columns == geometry.edges(walls).columns
