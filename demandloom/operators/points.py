@@ -7,6 +7,7 @@ how far the plane is; so each point gets its place once per facing, and points a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -16,17 +17,33 @@ from pyspark.sql import functions as F
 from demandloom.operators.geometry import vertex
 
 TOLERANCE = 0.01
-# A floor lies in at most this many cells to a side.
+# A floor lies in at most this many cells to a side; so many floors of a space and facing are one cell.
 MOST_CELLS = 256
+FEW_FLOORS = 8
+# Rings of up to so many corners are written out.
+SMALL = 4
 FACING = ["_fx", "_fy", "_fz"]
+BOUNDS = ["_a0", "_a1", "_b0", "_b1"]
 
 
-def _dot(a: Column, b: Column) -> Column:
+Place = Column | dict[str, Column]
+
+
+def _dot(a: Place, b: Place) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
-def _cross(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    return a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"]
+def _cross(a: Place, b: Place) -> dict[str, Column]:
+    parts = a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"]
+    return dict(zip("xyz", parts))
+
+
+def _parts(place: Column, fields: Sequence[str] = "xyz") -> dict[str, Column]:
+    return {f: place[f] for f in fields}
+
+
+def _struct(parts: dict[str, Column]) -> Column:
+    return F.struct(*(part.alias(f) for f, part in parts.items()))
 
 
 def _with_next(ring: Column, fn: Callable[[Column, Column], Column]) -> Column:
@@ -39,15 +56,35 @@ def _sum(parts: Column, fields: Sequence[str]) -> Column:
     return F.aggregate(parts, zero, lambda a, p: F.struct(*((a[f] + p[f]).alias(f) for f in fields)))
 
 
-def area_vector(ring: Column) -> Column:
-    """Along the normal, right-handed around the ring, and twice as long as the area; of a closed ring on a plane."""
-    first = F.get(ring, F.lit(0))
+def _small(ring: Column) -> Column:
+    """Whether the ring has three or four corners, as most have: these are written out, for lambdas take ten times as long."""
+    return F.size(ring).between(3, SMALL)
+
+
+def _corners(ring: Column) -> list[Column]:
+    """The corners of a :func:`_small` ring; a triangle's first one comes again."""
+    first, *others, last = (F.get(ring, F.lit(i)) for i in range(SMALL))
+    return [first, *others, F.when(F.size(ring) == SMALL, last).otherwise(first)]
 
-    def part(v: Column, w: Column) -> Column:
-        a, b = (vertex(*(p[c] - first[c] for c in "xyz")) for p in (v, w))
-        return vertex(*_cross(a, b))
 
-    return _sum(_with_next(ring, part), "xyz")
+def _sum_of_fan(ring: Column, fn: Callable[[Place, Place], dict[str, Column]], fields: Sequence[str]) -> Column:
+    """Sums of ``fn`` of the two far corners, as seen from the first one, of each triangle around the first corner."""
+    first, *others = map(_parts, _corners(ring))
+
+    def seen(v: Place) -> Place:
+        return {c: v[c] - first[c] for c in "xyz"}
+
+    far = [seen(v) for v in others]
+    parts = [fn(v, w) for v, w in zip(far, far[1:])]
+    written = _struct({f: sum((p[f] for p in parts[1:]), start=parts[0][f]) for f in fields})
+    n = F.greatest(F.size(ring) - 2, F.lit(0))
+    fan = F.zip_with(F.slice(ring, F.lit(2), n), F.slice(ring, F.lit(3), n), lambda v, w: _struct(fn(seen(v), seen(w))))
+    return F.when(_small(ring), written).otherwise(_sum(fan, fields))
+
+
+def area_vector(ring: Column) -> Column:
+    """Along the normal, right-handed around the ring, and twice as long as the area; of a closed ring on a plane."""
+    return _sum_of_fan(ring, _cross, "xyz")
 
 
 def with_normal(surfaces: DataFrame, name: str) -> DataFrame:
@@ -55,20 +92,19 @@ def with_normal(surfaces: DataFrame, name: str) -> DataFrame:
     sized = surfaces.withColumn("_area", area_vector(F.col("vertices")))
     sized = sized.withColumn("_length", F.sqrt(_dot(F.col("_area"), F.col("_area"))))
     # Adding zero turns a negative zero into zero.
-    unit = vertex(*(F.round(F.col("_area")[c] / F.col("_length"), 9) + 0.0 for c in "xyz"))
+    unit = vertex(*(F.rint(F.col("_area")[c] / F.col("_length") * 1e9) / 1e9 + 0.0 for c in "xyz"))
     return sized.withColumn(name, F.when(F.col("_length") > 1e-9, unit)).drop("_area", "_length")
 
 
 def centroid(ring: Column, n: Column) -> Column:
-    """``w`` and ``x, y, z``, the centre of area times ``w``: triangles around the first corner, weighted by their area along the normal ``n``."""
-    first = F.get(ring, F.lit(0))
+    """``w`` and ``x, y, z``, the centre of area as seen from the first corner times ``3 * w``: triangles weighted by their area along the normal ``n``."""
+    normal = _parts(n)
 
-    def part(v: Column, w: Column) -> Column:
-        a, b = (vertex(*(p[c] - first[c] for c in "xyz")) for p in (v, w))
-        weight = _dot(vertex(*_cross(a, b)), n)
-        return F.struct(weight.alias("w"), *((weight * (first[c] + v[c] + w[c]) / 3).alias(c) for c in "xyz"))
+    def part(a: Place, b: Place) -> dict[str, Column]:
+        weight = _dot(_cross(a, b), normal)
+        return {"w": weight, **{c: weight * (a[c] + b[c]) for c in "xyz"}}
 
-    return _sum(_with_next(ring, part), "wxyz")
+    return _sum_of_fan(ring, part, "wxyz")
 
 
 def window_points(
@@ -79,9 +115,11 @@ def window_points(
     ``floors`` has one reference floor (``vertices``) per space. Floors look down, windows out of the space. The point is null
     for a window or floor without area and for a space without reference floor.
     """
-    planes = with_normal(floors, "_down").select(*keys, "_down", F.get("vertices", F.lit(0)).alias("_on"))
+    first = F.get("vertices", F.lit(0))
+    planes = with_normal(floors, "_down").select(*keys, "_down", first.alias("_on"))
     centred = with_normal(windows, "_out").withColumn("_sum", centroid(F.col("vertices"), F.col("_out")))
-    start = {f"_s{c}": F.when(F.col("_sum.w") > 0, F.col("_sum")[c] / F.col("_sum.w")) - F.col("_out")[c] * inward for c in "xyz"}
+    centre = {c: first[c] + F.when(F.col("_sum.w") > 0, F.col("_sum")[c] / (F.col("_sum.w") * 3)) for c in "xyz"}
+    start = {f"_s{c}": centre[c] - F.col("_out")[c] * inward for c in "xyz"}
     placed = centred.withColumns(start).join(planes, list(keys), "left")
     down, on = F.col("_down"), F.col("_on")
     above = sum((F.col(f"_s{c}") * down[c] for c in "xyz"), start=-_dot(on, down))
@@ -107,39 +145,49 @@ def _axes(n: Column) -> tuple[Column, Column]:
 
 
 def _flat_floors(floors: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Floors with the ring on the axes of their facing, its edges and its bounds."""
-    faced = with_normal(floors.select(*keys, "surface_id", "vertices"), "_normal").where(F.col("_normal").isNotNull())
+    """Floors with the ring on the axes of their facing, and its bounds."""
+    faced = with_normal(floors.select(*keys, "surface_id", "vertices"), "_normal")
+    # Unfolded, so that no filter on what follows from the normal works the normal out again below.
+    faced = faced.withColumn("_normal", F.explode_outer(F.array("_normal"))).where(F.col("_normal").isNotNull())
     # Whole numbers as keys: billionths of the normal.
-    faced = faced.withColumns({f"_f{c}": F.round(F.col("_normal")[c] * 1e9).cast("long") for c in "xyz"})
+    faced = faced.withColumns({f"_f{c}": F.rint(F.col("_normal")[c] * 1e9).cast("long") for c in "xyz"})
     u, w = _axes(F.col("_normal"))
     axed = faced.withColumns({"_u": u, "_w": w}).drop("_normal")
-    ring = F.transform("vertices", lambda v: F.struct(_dot(v, F.col("_u")).alias("a"), _dot(v, F.col("_w")).alias("b")))
+
+    u, w = _parts(F.col("_u")), _parts(F.col("_w"))
+
+    def place(v: Place) -> Column:
+        return _struct({"a": _dot(v, u), "b": _dot(v, w)})
+
+    written = F.array(*map(place, _corners(F.col("vertices"))))
+    ring = F.when(_small(F.col("vertices")), written).otherwise(F.transform("vertices", place))
     flat = axed.withColumn("_ring", ring).drop("vertices")
-    edges = _with_next(F.col("_ring"), lambda v, w: F.struct(v.alias("p"), w.alias("q")))
     bounds = {}
     for axis in ("a", "b"):
         values = F.col(f"_ring.{axis}")
         bounds |= {f"_{axis}0": F.array_min(values) - tolerance, f"_{axis}1": F.array_max(values) + tolerance}
-    return flat.withColumns({"_edges": edges, **bounds}).drop("_ring")
+    return flat.withColumns(bounds)
 
 
-def _lands(a: Column, b: Column, edges: Column, tolerance: float) -> Column:
-    """Whether the place lies in the polygon of ``edges`` (an odd number of edges to one side) or within the tolerance of one."""
-    def crosses(e: Column) -> Column:
-        p, q = e["p"], e["q"]
+def _lands(a: Column, b: Column, ring: Column, tolerance: float) -> Column:
+    """Whether the place lies in the polygon (an odd number of edges to one side) or within the tolerance of an edge."""
+    def crosses(p: Place, q: Place) -> Column:
         spans = (p["b"] > b) != (q["b"] > b)
         return F.when(spans, a < p["a"] + (b - p["b"]) / (q["b"] - p["b"]) * (q["a"] - p["a"])).otherwise(False)
 
-    def near(e: Column) -> Column:
-        p, q = e["p"], e["q"]
+    def near(p: Place, q: Place) -> Column:
         da, db = q["a"] - p["a"], q["b"] - p["b"]
         square = da * da + db * db
         t = F.when(square > 0, ((a - p["a"]) * da + (b - p["b"]) * db) / square).otherwise(0.0)
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
         return F.hypot(p["a"] + t * da - a, p["b"] + t * db - b) <= tolerance
 
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd | F.exists(edges, near)
+    corners = [_parts(v, "ab") for v in _corners(ring)]
+    pairs = list(zip(corners, [*corners[1:], corners[0]]))
+    written = reduce(Column.__ne__, (crosses(*e) for e in pairs)) | reduce(Column.__or__, (near(*e) for e in pairs))
+    edges = _with_next(ring, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    odd = F.size(F.filter(edges, lambda e: crosses(e["p"], e["q"]))) % 2 == 1
+    return F.when(_small(ring), written).otherwise(odd | F.exists(edges, lambda e: near(e["p"], e["q"])))
 
 
 def points_on_floors(
@@ -153,26 +201,29 @@ def points_on_floors(
     on none; without coordinates it is on none and ``on_floor`` is null. Floors without area have no plane and are left out. Rows of
     one point id count together: on a floor when one of them is. Keys are not null.
 
-    A cell is as wide as the mean floor of its space and facing, and at least a 256th of the widest.
+    A cell is as wide as the mean floor of its space and facing, and at least a 256th of the widest; a few floors are in one cell.
     """
     keys = list(keys)
     faced, place = [*keys, *FACING], ["_cell_a", "_cell_b"]
     flat = _flat_floors(floors, keys, tolerance)
     extent = F.greatest(F.col("_a1") - F.col("_a0"), F.col("_b1") - F.col("_b0"))
-    widths = flat.groupBy(*faced).agg(F.greatest(F.avg(extent), F.max(extent) / MOST_CELLS).alias("_width"), F.first("_u").alias("_u"), F.first("_w").alias("_w"))
+    width = F.when(F.count(F.lit(1)) > FEW_FLOORS, F.greatest(F.avg(extent), F.max(extent) / MOST_CELLS)).otherwise(math.inf)
+    widths = flat.groupBy(*faced).agg(width.alias("_width"), F.first("_u").alias("_u"), F.first("_w").alias("_w"))
 
     def cells(low: str, high: str) -> Column:
         return F.explode(F.sequence(F.floor(F.col(low) / F.col("_width")), F.floor(F.col(high) / F.col("_width"))))
 
     # Unfolded rows are more than their estimate says, so no side is offered for broadcast; hot spaces are split as they run.
     celled = flat.join(widths.select(*faced, "_width"), faced).withColumn("_cell_a", cells("_a0", "_a1")).withColumn("_cell_b", cells("_b0", "_b1"))
-    celled = celled.select(*faced, *place, "surface_id", "_edges")
+    celled = celled.select(*faced, *place, "surface_id", "_ring", *BOUNDS)
 
     axes = {"_a": "_u", "_b": "_w"}
     seen = points.select(*keys, point_id, "x", "y", "z").join(widths.hint("merge"), keys, "left")
     seen = seen.withColumns({k: sum((F.col(c) * F.col(axis)[c] for c in "yz"), start=F.col("x") * F.col(axis)["x"]) for k, axis in axes.items()})
     placed = seen.withColumns({f"_cell{k}": F.floor(F.col(k) / F.col("_width")) for k in axes}).drop("_u", "_w", "_width")
-    lands = _lands(F.col("_a"), F.col("_b"), F.col("_edges"), tolerance)
+    # Edges are tested only where the place is in the bounds.
+    near = F.col("_a").between(F.col("_a0"), F.col("_a1")) & F.col("_b").between(F.col("_b0"), F.col("_b1"))
+    lands = F.when(near, _lands(F.col("_a"), F.col("_b"), F.col("_ring"), tolerance))
     met = placed.join(celled.hint("merge"), [*faced, *place], "left")
     known = reduce(Column.__and__, (F.col(c).isNotNull() & ~F.isnan(c) for c in "xyz"))
     counted = met.select(*keys, point_id, F.when(lands, F.col("surface_id")).alias("_floor"), known.alias("_known")).groupBy(*keys, point_id).agg(

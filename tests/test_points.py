@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandloom.operators import points
+from tests.plan_audit import plan_of
 
 RING = "array<struct<x:double,y:double,z:double>>"
 FLOORS = f"model_id string, space_id long, surface_id long, vertices {RING}"
@@ -100,3 +101,30 @@ def test_window_points_stand_on_the_floor(spark):
     placed = points.window_points(windows, spark.createDataFrame([("m", 1, 9, floor)], FLOORS), F.lit(2.0), 0.8)
     got = {r.surface_id: tuple(None if c is None else round(c, 9) for c in (r.x, r.y, r.z)) for r in placed.collect()}
     assert got == {1: (3, 2, 0.8), 2: (1, 2, 0.8), 3: (None,) * 3, 4: (None,) * 3}
+
+
+def test_no_filter_works_a_normal_out_again(spark):
+    floors = spark.createDataFrame([("m", 1, 11, L_SHAPE)], FLOORS).repartition(2)
+    plan = plan_of(points.points_on_floors(spark.createDataFrame([("m", 1, 1, 2.0, 2.0, 0.0)], POINTS), floors))
+    filters = [line for line in plan.splitlines() if "Filter " in line or line.startswith("Condition")]
+    assert filters and not any("zip_with" in line for line in filters)
+
+
+def test_rings_written_out_are_like_longer_ones(spark):
+    """A corner more on an edge makes no difference, but takes the ring past the corners that are written out."""
+    rng = random.Random(3)
+    floors, longer, spots = [], [], []
+    for surface in range(40):
+        u, w = ([rng.uniform(-9, 9) for _ in range(3)] for _ in range(2))
+        at = [rng.uniform(-5, 5) for _ in range(3)]
+        shape = [(0, 0), (0, 1), (1, 1), (1, 0)] if surface % 2 else [(0, 0), (0, 1), (1, 0)]
+        middle = [*shape[:1], (0, 0.5), *shape[1:]] + [(0.5, 0)] * (len(shape) == 3)
+        for rows, corners in ((floors, shape), (longer, middle)):
+            rows.append(("m", surface % 4, surface, [tuple(at[i] + a * u[i] + b * w[i] for i in range(3)) for a, b in corners]))
+    spots = [("m", space, no, *(rng.uniform(-9, 9) for _ in range(3))) for space in range(4) for no in range(80)]
+    got = found(spark, spots, floors)
+    assert got == found(spark, spots, longer)
+    assert got == {
+        (s, no): (len(hit), min(hit, default=None), bool(hit))
+        for _, s, no, *xyz in spots for hit in [[f for _, space, f, ring in floors if space == s and brute(xyz, ring)]]
+    }
