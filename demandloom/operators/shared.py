@@ -18,8 +18,12 @@ from demandloom.functions import profiles as P
 
 def address(points: Column) -> Column:
     """Content address of a profile; equal for profiles that are the same step function."""
-    shape = P.canonical(points)
-    return F.sha2(F.when(shape.isNull(), "none").otherwise(F.to_json(shape)), 256)
+    return _address_of_shape(P.canonical(points))
+
+
+def _address_of_shape(shape: Column) -> Column:
+    """Never null, and Spark is told so: a join would else look for nulls below all edits, and work them out again there, nested in each other."""
+    return F.coalesce(F.sha2(F.when(shape.isNull(), "none").otherwise(F.to_json(shape)), 256), F.lit(""))
 
 
 def links(profiles: DataFrame, keys: Sequence[str] = ("profile_id",)) -> DataFrame:
@@ -33,7 +37,7 @@ def dictionary(profiles: DataFrame) -> DataFrame:
     Grouped by address and content, so content that met another's address is a
     second row and not lost: :func:`colliding` finds it. Copies are counted before the shuffle.
     """
-    shaped = profiles.select(address(F.col("points")).alias("shape_id"), P.canonical(F.col("points")).alias("points"))
+    shaped = profiles.select(P.canonical(F.col("points")).alias("points")).withColumn("shape_id", _address_of_shape(F.col("points")))
     return shaped.groupBy("shape_id", "points").agg(F.count(F.lit(1)).alias("n_uses"))
 
 
@@ -53,10 +57,8 @@ def expand(profile_links: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def readdress(profile_links: DataFrame, edited: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and dictionary after an edit has made some contents equal, or an address outdated."""
-    renamed = edited.select(
-        F.col("shape_id").alias("_old"), address(F.col("points")).alias("shape_id"),
-        P.canonical(F.col("points")).alias("points"), "n_uses",
-    )
+    renamed = edited.select(F.col("shape_id").alias("_old"), P.canonical(F.col("points")).alias("points"), "n_uses")
+    renamed = renamed.withColumn("shape_id", _address_of_shape(F.col("points")))
     moved = profile_links.withColumnRenamed("shape_id", "_old").join(renamed.select("_old", "shape_id").hint("merge"), "_old")
     shapes = renamed.groupBy("shape_id", "points").agg(F.sum("n_uses").alias("n_uses"))
     return moved.drop("_old"), shapes

@@ -106,3 +106,10 @@ def test_proposals_are_verified(spark, monkeypatch):
     monkeypatch.setattr(shared.F, "xxhash64", lambda *columns: F.lit(1))
     got = shared.same_schedules(spark.createDataFrame(rows, ENTRIES), ("kind", "position", "shape_id"))
     assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "b"), ("c", "a"), ("d", "d")]
+
+
+def test_no_join_looks_for_nulls_below_the_edits(spark):
+    df = spark.createDataFrame([("a", [(480, 1.0), (1440, 2.0)])], PROFILES)
+    edited = shared.dictionary(df).withColumn("points", P.map_values(F.col("points"), lambda v: v + 1))
+    plan = plan_of(shared.expand(*shared.readdress(shared.links(df), edited)))
+    assert "sha2" in plan and not any("sha2" in line for line in plan.splitlines() if "Filter " in line)
