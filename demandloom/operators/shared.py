@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import profiles as P
+from demandloom.session import shuffle_width
 
 
 def address(points: Column) -> Column:
@@ -71,23 +72,52 @@ def same_schedules(entries: DataFrame, content: Sequence[str], key: str = "sched
     kind, the position of the rule and the ``shape_id``. Repeated entries count as often as they occur, a
     null is a value like another, and rows without a schedule belong to none.
 
-    A schedule may have any number of entries, so they are not gathered: two sums of hashes
-    propose who is equal, and every entry of a schedule is then looked up among those of the proposed
-    one. A schedule that fails this stays on its own.
+    A schedule may have any number of entries, so they are not gathered: its size and a hash propose
+    who is equal. Schedules proposed for each other are equal if together they have no more different
+    entries than each of them; that is counted before the shuffle, so one content that most schedules
+    have is no hot key. Where they have more, :func:`_looked_up` compares entry by entry.
+
+    Entries move by schedule once, to as many partitions as shuffles start from. These are not joined to
+    larger ones: they compress well, so that tasks of the usual size on disk need many times that in memory.
     """
-    unique = entries.where(F.col(key).isNotNull()).groupBy(key, *content).agg(F.count(F.lit(1)).alias("_n"))
+    width = shuffle_width(entries.sparkSession)
+    dealt = entries.where(F.col(key).isNotNull()).select(key, *content).repartition(width, key)
+    unique = dealt.groupBy(key, *content).agg(F.count(F.lit(1)).alias("_n"))
+    size, mark = F.count(F.lit(1)), F.bit_xor(_hash_of_entry(content, 1))
+    own = Window.partitionBy(key)
+    by = ["_size", "_mark"]
+    # Never null, and Spark is told so: both uses of the marks can then share a shuffle.
+    marks = unique.groupBy(key).agg(size.alias("_size"), F.coalesce(mark, F.lit(0)).alias("_mark"))
+    marked = unique.select("*", size.over(own).alias("_size"), F.coalesce(mark.over(own), F.lit(0)).alias("_mark"))
+    contents = marked.groupBy(*by, *content, "_n").agg(F.min(key).alias("_first"))
+    groups = contents.groupBy(*by).agg(F.min("_first").alias("shared_id"), F.count(F.lit(1)).alias("_union"))
+    alike = marks.join(groups.where("_union = _size").hint("merge"), by).select(key, "shared_id")
+    doubtful = marks.join(groups.where("_union > _size").hint("merge"), by).select(key, F.col("shared_id").alias("_proposed"))
+    return alike.unionByName(_looked_up(unique.join(doubtful, key), content, key))
+
+
+def _hash_of_entry(content: Sequence[str], seed: int) -> Column:
     presence = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content] + [F.col(c).isNull() for c in content]
-    columns = [*presence, F.col("_n")]
-    sums = [F.sum(F.xxhash64(*columns, F.lit(seed)).cast("decimal(38,0)")).alias(f"_sum{seed}") for seed in (1, 2)]
-    marks = unique.groupBy(key).agg(F.count(F.lit(1)).alias("_size"), *sums)
-    by = ["_size", "_sum1", "_sum2"]
-    proposed = marks.join(marks.groupBy(*by).agg(F.min(key).alias("_first")).hint("merge"), by).select(key, "_first", "_size")
+    return F.xxhash64(*presence, F.col("_n"), F.lit(seed))
+
+
+def _looked_up(unique: DataFrame, content: Sequence[str], key: str) -> DataFrame:
+    """:func:`same_schedules` entry by entry, for different entries with their number ``_n``, among those ``_proposed`` alike.
+
+    Two sums of hashes propose once more who is equal, and every entry of a schedule is then looked up among those of
+    the proposed one. A schedule that fails this stays on its own.
+    """
+    sums = [F.sum(_hash_of_entry(content, seed).cast("decimal(38,0)")).alias(f"_sum{seed}") for seed in (1, 2)]
+    marks = unique.groupBy(key, "_proposed").agg(F.count(F.lit(1)).alias("_size"), *sums)
+    by = ["_proposed", "_size", "_sum1", "_sum2"]
+    proposed = marks.join(marks.groupBy(*by).agg(F.min(key).alias("_first")).hint("merge"), by).select(key, "_proposed", "_first", "_size")
 
     others = proposed.where(F.col(key) != F.col("_first"))
-    mine = unique.join(others, key).alias("mine")
+    mine = unique.join(others, [key, "_proposed"]).alias("mine")
     theirs = unique.withColumnRenamed(key, "_owner").alias("theirs")
     same = [F.col(f"mine.{c}").eqNullSafe(F.col(f"theirs.{c}")) for c in (*content, "_n")]
-    met = mine.join(theirs, reduce(and_, same, F.col("mine._first") == F.col("theirs._owner")))
+    here = (F.col("mine._proposed") == F.col("theirs._proposed")) & (F.col("mine._first") == F.col("theirs._owner"))
+    met = mine.join(theirs, reduce(and_, same, here))
     held = met.groupBy(F.col(f"mine.{key}").alias(key)).agg(F.count(F.lit(1)).alias("_held"))
     equal = F.coalesce(F.col("_held") == F.col("_size"), F.lit(False))
     return proposed.join(held, key, "left").select(key, F.when(equal, F.col("_first")).otherwise(F.col(key)).alias("shared_id"))

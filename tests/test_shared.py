@@ -108,6 +108,24 @@ def test_proposals_are_verified(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "b"), ("c", "a"), ("d", "d")]
 
 
+def test_only_proposals_with_differences_are_looked_up(spark, monkeypatch):
+    """Also with one hash for all: the pairs agree, of the single ones some have their entry twice."""
+    rows = [(s, "default", 0, "x") for s in ("a", "a", "b", "c", "c", "d")]
+    rows += [(s, "rule", p, "y") for s in ("p", "q") for p in (0, None)]
+    monkeypatch.setattr(shared.F, "xxhash64", lambda *columns: F.lit(1))
+    got = shared.same_schedules(spark.createDataFrame(rows, ENTRIES), ("kind", "position", "shape_id"))
+    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "b"), ("c", "a"), ("d", "d"), ("p", "p"), ("q", "p")]
+
+
+def test_entries_stay_in_as_many_tasks_as_shuffles_start_from(spark):
+    """Joined to larger ones, they need many times the size of their shuffle in memory."""
+    df = spark.range(4000).selectExpr("cast(id as string) schedule_id", "'rule' kind", "0 position", "repeat(cast(id % 7 as string), 64) shape_id")
+    got = shared.same_schedules(df, ("kind", "position", "shape_id"))
+    assert got.groupBy("shared_id").count().count() == 7
+    exchanges = [line for line in plan_of(got).splitlines() if "Exchange hashpartitioning(schedule_id" in line]
+    assert any("REPARTITION_BY_NUM" in line for line in exchanges)
+
+
 def test_no_join_looks_for_nulls_below_the_edits(spark):
     df = spark.createDataFrame([("a", [(480, 1.0), (1440, 2.0)])], PROFILES)
     edited = shared.dictionary(df).withColumn("points", P.map_values(F.col("points"), lambda v: v + 1))
