@@ -79,6 +79,7 @@ def same_schedules(entries: DataFrame, content: Sequence[str], key: str = "sched
 
     Entries move by schedule once, to as many partitions as shuffles start from. These are not joined to
     larger ones: they compress well, so that tasks of the usual size on disk need many times that in memory.
+    All entries of one schedule meet in one task, which goes to disk if they are millions.
     """
     width = shuffle_width(entries.sparkSession)
     dealt = entries.where(F.col(key).isNotNull()).select(key, *content).repartition(width, key)
